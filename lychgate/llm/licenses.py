@@ -66,19 +66,22 @@ def template_words(text: str) -> list[str]:
     return re.findall(r"[^\W_]+", text.lower())
 
 
-def telling_words(templates: dict[str, str]) -> list[str]:
-    """Words of which every shingle of every template has one: long and rare ones first, until all shingles are hit."""
+def telling_pattern(templates: dict[str, str]) -> str:
+    """A pattern that every text with a shingle of a template matches: a long word of each shingle, else the shingle itself."""
     left = {tuple(ws[i : i + SHINGLE]) for ws in map(template_words, templates.values()) for i in range(len(ws) - SHINGLE + 1)}
     out = []
     while left:
         found: dict[str, int] = {}
         for s in left:
-            for w in set(s):
+            for w in {w for w in s if len(w) >= 5}:
                 found[w] = found.get(w, 0) + 1
+        if not found:
+            break
         best = max(found, key=lambda w: (min(len(w), 7) + found[w] / len(left) * 4, w))
         out.append(best)
         left = {s for s in left if best not in s}
-    return out
+    phrases = ["[^\\p{L}\\p{N}]+".join(s) for s in sorted(left)]
+    return "(?i)(?<![\\p{L}\\p{N}])(?:" + "|".join([*out, *phrases]) + ")(?![\\p{L}\\p{N}])"
 
 
 def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
@@ -99,11 +102,10 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, contained: fl
     templates = TEMPLATES if templates is None else templates
     table = template_table(spark, templates)
     known = [(r["license"], r["length"], r["step"], r["t_shingles"]) for r in table.collect()]  # the templates themselves
-    pattern = "(?i)(?<![\\p{L}\\p{N}])(?:" + "|".join(map(re.escape, telling_words(templates))) + ")(?![\\p{L}\\p{N}])"
-    some = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).where(F.col("t").rlike(pattern))
-    # each step that a later one reads many times is written, so that no lambda evaluates it anew for every element
-    some = materialise(some.select("doc_id", words(F.col("t")).alias("ws")), "words")
-    hashed = materialise(some.select("doc_id", shingles(F.col("ws")).alias("h")), "shingles")
+    some = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).where(F.col("t").rlike(telling_pattern(templates)))
+    # words and shingles pass through a generator, so that they are made once a row and no lambda makes them anew
+    some = some.select("doc_id", F.explode(F.array(words(F.col("t")))).alias("ws"))
+    hashed = some.select("doc_id", F.explode(F.array(shingles(F.col("ws")))).alias("h"))
     everything = F.array(*[F.lit(h) for h in sorted({h for _, _, _, hs in known for h in hs})]).cast("array<long>")
     hits = F.filter(F.transform("h", lambda h, i: F.when(F.array_contains(everything, h), F.struct(i.alias("i"), h.alias("h")))), lambda x: x.isNotNull())
     signed = materialise(hashed.where(F.arrays_overlap("h", everything)).withColumn("hits", hits), "hits")

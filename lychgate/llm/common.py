@@ -67,20 +67,27 @@ def mix(x: np.ndarray) -> np.ndarray:
 def connected_components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFrame:
     """(node, component): component is the smallest node that can be reached over edges (a, b).
 
-    Hooks every node to the least label among its neighbours and halves the paths, with a written table each round. Labels
-    and links stay on the cluster. Nodes without an edge do not appear; edges with a null end are ignored.
+    Every round hooks each node to its least neighbour, takes one more step down, and contracts the edges: of two nodes that
+    share an edge at least the larger one goes, so edges shrink from round to round and rounds grow with the logarithm
+    of the nodes. Labels and links stay on the cluster, written each round. Nodes without an edge do not appear; edges
+    with a null end are ignored.
     """
-    spark = edges.sparkSession
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
-    both = materialise(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
-    labels = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("label")), "labels")
+    left = materialise(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
+    total = None
     for _ in range(most_rounds):
-        near = both.join(labels.select(F.col("u").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("least"))
-        hooked = labels.join(near, "u").select("u", F.least("label", "least").alias("hook"), F.col("label").alias("before"))
-        jump = labels.select(F.col("u").alias("hook"), F.col("label").alias("far"))
-        new = hooked.join(jump, "hook", "left").select("u", F.coalesce(F.least("hook", "far"), "hook").alias("label"), "before")
-        new = materialise(new, "labels")
-        labels = new.select("u", "label")
-        if new.where("label <> before").isEmpty():
-            return labels.select(F.col("u").alias("node"), F.col("label").alias("component"))
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds over {spark.sparkContext.appName}")
+        both = left.select("u", "v").unionByName(left.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        hook = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("hook")), "hooks")
+        far = hook.select(F.col("u").alias("hook"), F.col("hook").alias("far"))
+        down = materialise(hook.join(far, "hook").select("u", F.col("far").alias("to")), "labels")
+        if total is None:
+            total = down.select(F.col("u").alias("node"), F.col("to").alias("component"))
+        else:
+            step = down.select(F.col("u").alias("component"), "to")
+            total = materialise(total.join(step, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "components")
+        first = left.join(down, "u").select(F.col("to").alias("x"), "v")
+        ends = first.join(down.select(F.col("u").alias("v"), F.col("to").alias("y")), "v").where("x <> y")
+        left = materialise(ends.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct(), "edges")
+        if left.isEmpty():
+            return total
+    raise RuntimeError(f"components did not settle in {most_rounds} rounds")

@@ -1,4 +1,342 @@
-"""All queries by name, with SQL where SQL can express them."""
+"""All queries by name, with SQL where SQL can express them. Every query reads its whole tables."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+from functools import partial
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import validators as V
+from .operators import classify, detect, evaluate, images, policy, profile, redact
+from .plans.recognizers import RECOGNIZERS, select
+from .sources import router
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def only(*names: str):
+    return [r for r in RECOGNIZERS if r.name in names]
+
+
+def found(spark: SparkSession, sf_dir: str, source: str, key: str, text: str, *names: str) -> DataFrame:
+    """One row for each finding of the named recognizers (all, if none)."""
+    df = table(spark, sf_dir, source).select(key, F.col(text).alias("text"), *(["lang"] if source == "documents" else []))
+    df = detect.scan(df, recognizers=only(*names) if names else RECOGNIZERS)
+    return df.select(key, *(["lang"] if source == "documents" else []), F.explode("findings").alias("f"))
+
+
+def counts(spark: SparkSession, sf_dir: str, source: str, key: str, text: str, name: str) -> DataFrame:
+    return found(spark, sf_dir, source, key, text, name).groupBy(key).agg(F.count("*").alias("n"))
+
+
+EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
+IP = r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b"
+CARD = r"\b((?:[0-9][ -]?){12,18}[0-9])\b"
+LUHN = """(len(d) >= 13 AND len(list_distinct(string_split(d, ''))) > 1 AND list_sum(list_transform(range(0, len(d)),
+  lambda i: CASE WHEN i % 2 = 1 THEN 2 * CAST(d[len(d) - i] AS INTEGER) - CASE WHEN d[len(d) - i] > '4' THEN 9 ELSE 0 END
+  ELSE CAST(d[len(d) - i] AS INTEGER) END)) % 10 = 0)"""
+
+
+def _emails(key: str = "doc_id", source: str = "documents", text: str = "text", more: str = "") -> str:
+    return f"SELECT {key}{more}, unnest(regexp_extract_all({text}, '{EMAIL}')) AS v FROM {source}"
+
+
+def _ips(key: str = "doc_id", source: str = "documents", text: str = "text", more: str = "") -> str:
+    ok = "len(list_filter(string_split(v, '.'), lambda p: CAST(p AS INTEGER) > 255)) = 0"
+    return f"SELECT * FROM (SELECT {key}{more}, unnest(regexp_extract_all({text}, '{IP}')) AS v FROM {source}) WHERE {ok}"
+
+
+def _cards(key: str = "doc_id", source: str = "documents", text: str = "text", more: str = "") -> str:
+    more_out = more.replace(", ", ", ")
+    return f"SELECT {key}{more_out}, v FROM (SELECT *, translate(v, ' -', '') AS d FROM (SELECT {key}{more}, unnest(regexp_extract_all({text}, '{CARD}', 1)) AS v FROM {source})) WHERE {LUHN}"
+
+
+def count_sql(inner: str, key: str) -> str:
+    return f"SELECT {key}, count(*) AS n FROM ({inner}) GROUP BY {key}"
+
+
+def egress_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = policy.decide(detect.scan(table(spark, sf_dir, "documents")))
+    return df.groupBy("lang", "action").agg(F.count("*").alias("documents"), F.sum("findings_considered").alias("findings_considered"))
+
+
+def scan_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return found(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", "f.*").drop("ord")
+
+
+def entity_counts_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = found(spark, sf_dir, "documents", "doc_id", "text", "email", "credit_card", "ip_address")
+    return f.groupBy("lang", F.col("f.entity_type").alias("entity")).agg(F.count("*").alias("n"))
+
+
+def context_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = found(spark, sf_dir, "documents", "doc_id", "text", "email")
+    return f.groupBy("doc_id").agg(F.count_if("f.context_boosted").alias("boosted"), F.min("f.start").alias("first_start"))
+
+
+def egress_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = detect.scan(table(spark, sf_dir, "documents"), recognizers=only("email", "credit_card", "ip_address"))
+    return policy.decide(df).select("doc_id", "action", "findings_considered", "escalates")
+
+
+def redacted(spark: SparkSession, sf_dir: str, strategy: str) -> DataFrame:
+    df = detect.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), recognizers=only("email"))
+    return redact.redact(df, strategies={}, default=strategy).select("doc_id", "redacted")
+
+
+def replacements(spark: SparkSession, sf_dir: str, strategy: str) -> DataFrame:
+    df = detect.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), recognizers=only("email"))
+    df = redact.redact(df, strategies={}, default=strategy).select("doc_id", F.explode("applied").alias("a"))
+    return df.groupBy("doc_id", F.col("a.replacement").alias("replacement")).agg(F.count("*").alias("n"))
+
+
+def identifiers(spark: SparkSession, sf_dir: str, make: Callable[[Column], Column], test: Callable[[Column], Column]) -> DataFrame:
+    """Identifiers made from the keys of orders, and whether they are valid."""
+    v = make(F.col("o_orderkey")).alias("value")
+    return table(spark, sf_dir, "orders").select("o_orderkey", v).select("o_orderkey", "value", test(F.col("value")).alias("valid"))
+
+
+def pad(c: Column, n: int, step: int = 1) -> Column:
+    return F.lpad((c * step % 10**n).cast("string"), n, "0")
+
+
+def letter(c: Column, k: int = 26) -> Column:
+    return F.char(65 + c % k)
+
+
+MADE: dict[str, tuple[Callable[[Column], Column], Callable[[Column], Column], str, str]] = {
+    # name: (make, validator, make in SQL, validity in SQL over d, the text)
+    "validate_luhn": (lambda k: pad(k, 16, 7919), V.luhn, "lpad(CAST(o_orderkey * 7919 % 10000000000000000 AS VARCHAR), 16, '0')", LUHN),
+    "validate_sg_nric": (
+        lambda k: F.concat(F.element_at(F.array(*map(F.lit, "STFGM")), (k % 5 + 1).cast("int")), pad(k, 7, 7919), letter(k)),
+        V.sg_nric,
+        "['S', 'T', 'F', 'G', 'M'][CAST(o_orderkey % 5 + 1 AS INTEGER)] || lpad(CAST(o_orderkey * 7919 % 10000000 AS VARCHAR), 7, '0') || chr(CAST(65 + o_orderkey % 26 AS INTEGER))",
+        "substr(CASE WHEN d[1] IN ('S', 'T') THEN 'JZIHGFEDCBA' WHEN d[1] IN ('F', 'G') THEN 'XWUTRQPNMLK' ELSE 'KLJNPQRTUWX' END, CAST((list_sum(list_transform(range(1, 8), lambda i: CAST(d[i + 1] AS INTEGER) * [2, 7, 6, 5, 4, 3, 2][i])) + CASE WHEN d[1] IN ('T', 'G') THEN 4 WHEN d[1] = 'M' THEN 3 ELSE 0 END) % 11 + 1 AS INTEGER), 1) = d[9]",
+    ),
+    "validate_hk_hkid": (
+        lambda k: F.concat(letter(k), pad(k, 6, 7919), (k % 10).cast("string")),
+        V.hk_hkid,
+        "chr(CAST(65 + o_orderkey % 26 AS INTEGER)) || lpad(CAST(o_orderkey * 7919 % 1000000 AS VARCHAR), 6, '0') || CAST(o_orderkey % 10 AS VARCHAR)",
+        "(11 - (324 + (ascii(d) - 55) * 8 + list_sum(list_transform(range(1, 7), lambda i: CAST(d[i + 1] AS INTEGER) * (8 - i)))) % 11) % 11 = CAST(d[8] AS INTEGER)",
+    ),
+    "validate_jp_my_number": (
+        lambda k: pad(k, 12, 7919),
+        V.jp_my_number,
+        "lpad(CAST(o_orderkey * 7919 % 1000000000000 AS VARCHAR), 12, '0')",
+        "len(list_distinct(string_split(d, ''))) > 1 AND CAST(d[12] AS INTEGER) = (WITH r AS (SELECT list_sum(list_transform(range(1, 12), lambda n: CAST(d[12 - n] AS INTEGER) * CASE WHEN n <= 6 THEN n + 1 ELSE n - 5 END)) % 11 AS m) SELECT CASE WHEN m <= 1 THEN 0 ELSE 11 - m END FROM r)",
+    ),
+    "validate_au_tfn": (lambda k: pad(k, 9, 7919), V.au_tfn, "lpad(CAST(o_orderkey * 7919 % 1000000000 AS VARCHAR), 9, '0')", "list_sum(list_transform(range(1, 10), lambda i: CAST(d[i] AS INTEGER) * [1, 4, 3, 7, 5, 8, 6, 9, 10][i])) % 11 = 0"),
+    "validate_au_abn": (
+        lambda k: F.concat((k % 9 + 1).cast("string"), pad(k, 10, 7919)),
+        V.au_abn,
+        "CAST(o_orderkey % 9 + 1 AS VARCHAR) || lpad(CAST(o_orderkey * 7919 % 10000000000 AS VARCHAR), 10, '0')",
+        "(list_sum(list_transform(range(1, 12), lambda i: CAST(d[i] AS INTEGER) * [10, 1, 3, 5, 7, 9, 11, 13, 15, 17, 19][i])) - 10) % 89 = 0",
+    ),
+    "validate_au_medicare": (
+        lambda k: F.concat((k % 6 + 1).cast("string"), pad(k, 9, 7919)),
+        V.au_medicare,
+        "CAST(o_orderkey % 6 + 1 AS VARCHAR) || lpad(CAST(o_orderkey * 7919 % 1000000000 AS VARCHAR), 9, '0')",
+        "d[1] BETWEEN '2' AND '6' AND list_sum(list_transform(range(1, 9), lambda i: CAST(d[i] AS INTEGER) * [1, 3, 7, 9, 1, 3, 7, 9][i])) % 10 = CAST(d[9] AS INTEGER)",
+    ),
+    "validate_iban": (
+        lambda k: F.concat(F.lit("GB"), pad(k, 2), F.lit("WEST"), pad(k, 14, 7919)),
+        V.iban,
+        "'GB' || lpad(CAST(o_orderkey % 100 AS VARCHAR), 2, '0') || 'WEST' || lpad(CAST(o_orderkey * 7919 % 100000000000000 AS VARCHAR), 14, '0')",
+        "list_reduce(list_prepend(0, list_transform(string_split(d[5:] || d[1:4], ''), lambda c: CAST(CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END AS INTEGER))), lambda a, x: CASE WHEN x > 9 THEN (a * 100 + x) % 97 ELSE (a * 10 + x) % 97 END) = 1",
+    ),
+    "validate_ipv4": (
+        lambda k: F.concat_ws(".", (k % 300).cast("string"), (k % 257).cast("string"), (k % 7).cast("string"), (k % 999).cast("string")),
+        V.ipv4,
+        "concat_ws('.', o_orderkey % 300, o_orderkey % 257, o_orderkey % 7, o_orderkey % 999)",
+        "len(list_filter(string_split(d, '.'), lambda p: CAST(p AS INTEGER) > 255)) = 0",
+    ),
+    "validate_us_ssn": (
+        lambda k: F.concat_ws("-", pad(k, 3, 7), pad(k, 2, 3), pad(k, 4, 79)),
+        V.us_ssn,
+        "concat_ws('-', lpad(CAST(o_orderkey * 7 % 1000 AS VARCHAR), 3, '0'), lpad(CAST(o_orderkey * 3 % 100 AS VARCHAR), 2, '0'), lpad(CAST(o_orderkey * 79 % 10000 AS VARCHAR), 4, '0'))",
+        "d[1:3] NOT IN ('000', '666') AND d[1:3] < '900' AND d[5:6] <> '00' AND d[8:11] <> '0000'",
+    ),
+    "validate_phone": (lambda k: F.concat(F.lit("+"), pad(k, 3), F.lit(" "), k.cast("string")), V.phone, "'+' || lpad(CAST(o_orderkey % 1000 AS VARCHAR), 3, '0') || ' ' || CAST(o_orderkey AS VARCHAR)", "len(regexp_replace(d, '[^0-9]', '', 'g')) BETWEEN 8 AND 15"),
+    "validate_date_of_birth": (
+        lambda k: F.concat_ws("/", (k % 32).cast("string"), (k % 14).cast("string"), pad(k, 4, 7)),
+        V.date_of_birth,
+        "concat_ws('/', o_orderkey % 32, o_orderkey % 14, lpad(CAST(o_orderkey * 7 % 10000 AS VARCHAR), 4, '0'))",
+        "try_cast(string_split(d, '/')[3] || '-' || lpad(string_split(d, '/')[2], 2, '0') || '-' || lpad(string_split(d, '/')[1], 2, '0') AS DATE) IS NOT NULL AND string_split(d, '/')[3] <> '0000'",
+    ),
+}
+
+
+def jurisdiction_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = MADE["validate_sg_nric"][0](F.col("c_custkey"))
+    df = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("ref "), made, F.lit(" ok")).alias("text"))
+    out = None
+    for pack in ("SG", "US"):
+        n = detect.scan(df, recognizers=select([pack])).select(F.lit(pack).alias("pack"), F.size("findings").alias("n"))
+        out = n if out is None else out.unionByName(n)
+    return out.groupBy("pack").agg(F.sum("n").alias("findings"))
+
+
+def jurisdiction_sql() -> str:
+    _, _, make, valid = MADE["validate_sg_nric"]
+    return f"SELECT 'SG' AS pack, count_if({valid}) AS findings FROM (SELECT {make.replace('o_orderkey', 'c_custkey')} AS d FROM customer) UNION ALL SELECT 'US', 0"
+
+
+def profiles(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
+    """Profiles of whole tables."""
+    out = None
+    for name in names:
+        one = profile.long_form(table(spark, sf_dir, name), name, sample=None)
+        out = one if out is None else out.unionByName(one)
+    return profile.profile(out)
+
+
+def profile_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profiles(spark, sf_dir, "customer", "nation").select("table", "column", "total_count", "null_count", "distinct_count", "sample_size", "avg_length")
+
+
+def infer_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profiles(spark, sf_dir, "region", "nation").select("table", "column", "inferred_type")
+
+
+def classify_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = profiles(spark, sf_dir, "region", "nation", "customer", "supplier", "part", "orders", "events")
+    return classify.classify(p).select("table", "column", "category", "score", "entity_type", "needs_review", "recommended_action")
+
+
+def fail_on_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify.roll_up(classify.classify(profiles(spark, sf_dir, "region", "nation", "customer")))
+
+
+def adjudication_nudge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = profiles(spark, sf_dir, "nation")
+    first = classify.classify(p)
+    verdicts = first.where("needs_review").select("table", "column", F.lit(True).alias("is_pii"), F.lit(0.8).alias("confidence"), F.lit("looks like names").alias("rationale"))
+    return classify.classify(p, verdicts).select("column", "category", "score", "needs_review", "llm_adjudicated")
+
+
+def model_findings_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = F.array(
+        F.struct(F.lit("PERSON_NAME").alias("entity_type"), F.lit(0).alias("start"), (F.length("c_name") - F.col("c_custkey") % 3 + 1).cast("int").alias("end"), F.lit(0.99).alias("confidence"), F.lit("m").alias("recognizer"))
+    )
+    df = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("text"), model.alias("m"))
+    df = detect.scan(df, recognizers=[], model_col="m", engines=["m"])
+    return df.select("c_custkey", F.size("findings").alias("n"), F.get("findings", F.lit(0))["confidence"].alias("confidence"), F.get("findings", F.lit(0))["text"].alias("found"))
+
+
+def deterministic_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return router.sample(table(spark, sf_dir, "customer"), "c_name", 500).select("value")
+
+
+def name_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.concat(F.element_at(F.array(*map(F.lit, ["custEmail", "NRICNumber", "filename", "full_name", "homeAddress", "ip_address"])), (F.col("n_nationkey") % 6 + 1).cast("int")), F.when(F.col("n_nationkey") > 12, "_2").otherwise(""))
+    df = table(spark, sf_dir, "nation").select("n_nationkey", names.alias("name"))
+    rule = classify.name_rule(classify.normalise(F.col("name")))
+    return df.select("n_nationkey", classify.normalise(F.col("name")).alias("normalised"), rule["entity"].alias("entity"), rule["category"].alias("category"))
+
+
+NAME_RULES_SQL = r"""
+WITH n AS (SELECT n_nationkey, ['custEmail', 'NRICNumber', 'filename', 'full_name', 'homeAddress', 'ip_address'][n_nationkey % 6 + 1] || CASE WHEN n_nationkey > 12 THEN '_2' ELSE '' END AS name FROM nation),
+m AS (SELECT n_nationkey, lower(regexp_replace(regexp_replace(name, '([A-Z])([A-Z][a-z])', '\1_\2', 'g'), '([a-z0-9])([A-Z])', '\1_\2', 'g')) AS normalised FROM n),
+t AS (SELECT *, string_split(normalised, '_') AS w FROM m)
+SELECT n_nationkey, normalised,
+  CASE WHEN list_contains(w, 'email') THEN 'EMAIL_ADDRESS' WHEN list_contains(w, 'nric') THEN 'SG_NRIC' WHEN list_contains(w, 'name') THEN 'PERSON_NAME' WHEN list_contains(w, 'address') THEN 'ADDRESS' END AS entity,
+  CASE WHEN list_has_any(w, ['email', 'nric', 'name', 'address']) THEN 'PII_DIRECT' END AS category
+FROM t
+"""
+
+
+def eval_precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E-mail findings of documents against all e-mails of pages' and documents' texts, as an exercise of the multisets."""
+    e = found(spark, sf_dir, "documents", "doc_id", "text", "email", "ip_address").select(F.col("doc_id").alias("case_id"), F.col("f.entity_type").alias("label"), F.col("f.text").alias("text"))
+    p = e.where("label = 'EMAIL_ADDRESS'").unionByName(found(spark, sf_dir, "documents", "doc_id", "text", "credit_card").select(F.col("doc_id").alias("case_id"), F.col("f.entity_type").alias("label"), F.col("f.text").alias("text")))
+    return evaluate.precision_recall(e, p)
+
+
+EVAL_SQL = f"""
+WITH n AS (SELECT (SELECT count(*) FROM ({_emails()})) AS emails, (SELECT count(*) FROM ({_ips()})) AS ips, (SELECT count(*) FROM ({_cards()})) AS cards)
+SELECT emails AS tp, cards AS fp, ips AS fn, emails / (emails + cards) AS precision, emails / (emails + ips) AS recall FROM n
+"""
+
+
+def ocr_box_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as if read by OCR: words of fixed size in a row, and the boxes of e-mail addresses among them."""
+    words = F.transform(F.split("text", " "), lambda w, i: F.struct(w.alias("text"), (i * 10).cast("int").alias("left"), F.lit(0).alias("top"), F.lit(8).alias("width"), F.lit(5).alias("height"), F.lit(90.0).alias("confidence")))
+    df = table(spark, sf_dir, "documents").select("doc_id", words.alias("words"))
+    df = images.scan_images(df, recognizers=only("email"))
+    return df.where(F.size("boxes") > 0).select("doc_id", F.size("boxes").alias("boxes"), F.get("boxes", F.lit(0))["left"].alias("first_left"))
+
+
+OCR_SQL = f"""
+WITH w AS (SELECT doc_id, text, string_split(text, ' ') AS ws FROM documents),
+x AS (SELECT doc_id, i, regexp_matches(ws[i + 1], '{EMAIL}') AS hit FROM (SELECT doc_id, ws, unnest(range(0, len(ws))) AS i FROM w))
+SELECT doc_id, CAST(count(*) AS INTEGER) AS boxes, CAST(min(i) * 10 AS INTEGER) AS first_left FROM x WHERE hit GROUP BY doc_id
+"""
+
+PROFILE_SQL = " UNION ALL ".join(
+    f"SELECT '{t}' AS \"table\", '{c}' AS \"column\", count(*) AS total_count, count(*) - count(v) AS null_count, count(DISTINCT v) AS distinct_count, least(count(v), 500) AS sample_size, round(sum(len(v)) / count(v), 2) AS avg_length FROM (SELECT CAST({c} AS VARCHAR) AS v FROM {t})"
+    for t, cols in (("customer", ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")), ("nation", ("n_nationkey", "n_name", "n_regionkey")))
+    for c in cols
+)
+TYPE_SQL = " UNION ALL ".join(
+    f"SELECT '{t}' AS \"table\", '{c}' AS \"column\", CASE WHEN bool_and(lower(v) IN ('true', 'false', 'yes', 'no', 'y', 'n', '0', '1', 't', 'f')) THEN 'boolean' WHEN bool_and(regexp_full_match(v, '[+-]?[0-9]+([.][0-9]+)?')) THEN 'numeric' ELSE 'text' END AS inferred_type FROM (SELECT CAST({c} AS VARCHAR) AS v FROM {t})"
+    for t, cols in (("region", ("r_regionkey", "r_name")), ("nation", ("n_nationkey", "n_name", "n_regionkey")))
+    for c in cols
+)
+
+QUERIES: dict[str, Query] = {
+    "egress_summary": egress_summary,
+    "scan_findings": scan_findings,
+    "scan_email": lambda s, d: counts(s, d, "documents", "doc_id", "text", "email"),
+    "scan_email_pages": lambda s, d: counts(s, d, "pages", "page_id", "html", "email"),
+    "scan_ip": lambda s, d: counts(s, d, "documents", "doc_id", "text", "ip_address"),
+    "scan_credit_card": lambda s, d: counts(s, d, "documents", "doc_id", "text", "credit_card"),
+    "entity_counts_by_lang": entity_counts_by_lang,
+    "context_boost": context_boost,
+    "egress_decision": egress_decision,
+    "redact_tag": partial(redacted, strategy="tag"),
+    "redact_remove": partial(redacted, strategy="remove"),
+    "redact_mask": partial(replacements, strategy="mask"),
+    "redact_hash": partial(replacements, strategy="hash"),
+    **{name: partial(identifiers, make=made, test=test) for name, (made, test, _, _) in MADE.items()},
+    "jurisdiction_filter": jurisdiction_filter,
+    "profile_columns": profile_columns,
+    "infer_type": infer_type,
+    "classify_columns": classify_columns,
+    "fail_on_pii": fail_on_pii,
+    "adjudication_nudge": adjudication_nudge,
+    "model_findings_cap": model_findings_cap,
+    "deterministic_sample": deterministic_sample,
+    "name_rules": name_rules,
+    "eval_precision_recall": eval_precision_recall,
+    "ocr_box_overlap": ocr_box_overlap,
+}
+
+ORACLES: dict[str, str] = {
+    "scan_email": count_sql(_emails(), "doc_id"),
+    "scan_email_pages": count_sql(_emails("page_id", "pages", "html"), "page_id"),
+    "scan_ip": count_sql(_ips(), "doc_id"),
+    "scan_credit_card": count_sql(_cards(), "doc_id"),
+    "entity_counts_by_lang": " UNION ALL ".join(f"SELECT lang, '{e}' AS entity, count(*) AS n FROM ({q}) GROUP BY lang" for e, q in (("EMAIL_ADDRESS", _emails(more=", lang")), ("IP_ADDRESS", _ips(more=", lang")), ("CREDIT_CARD", _cards(more=", lang")))),
+    "context_boost": f"WITH e AS (SELECT doc_id, any_value(text) AS t, count(*) AS n, min(strpos(text, v)) AS p FROM (SELECT doc_id, text, unnest(regexp_extract_all(text, '{EMAIL}')) AS v FROM documents) GROUP BY doc_id) SELECT doc_id, CAST(p - 1 AS INTEGER) AS first_start, (SELECT count(*) FROM (SELECT unnest(regexp_extract_all(e.t, '{EMAIL}')) AS v) WHERE contains(lower(substr(e.t, greatest(strpos(e.t, v) - 48, 1), len(v) + 48 + least(48, strpos(e.t, v) - 1))), 'mail') OR contains(lower(substr(e.t, greatest(strpos(e.t, v) - 48, 1), len(v) + 48 + least(48, strpos(e.t, v) - 1))), 'メール')) AS boosted FROM e",
+    "egress_decision": f"WITH c AS ({count_sql(_cards(), 'doc_id')}), r AS (SELECT doc_id, count(*) AS n FROM ({_emails()} UNION ALL {_ips()}) GROUP BY doc_id) SELECT doc_id, CASE WHEN c.n > 0 THEN 'BLOCK' WHEN r.n > 0 THEN 'REDACT' ELSE 'ALLOW' END AS action, CAST(coalesce(c.n, 0) + coalesce(r.n, 0) AS INTEGER) AS findings_considered, coalesce(c.n, 0) > 0 AS escalates FROM documents LEFT JOIN c USING (doc_id) LEFT JOIN r USING (doc_id)",
+    "redact_tag": f"SELECT doc_id, regexp_replace(text, '{EMAIL}', '<EMAIL_ADDRESS>', 'g') AS redacted FROM documents",
+    "redact_remove": f"SELECT doc_id, regexp_replace(text, '{EMAIL}', '', 'g') AS redacted FROM documents",
+    "redact_mask": f"SELECT doc_id, CASE WHEN len(v) > 4 THEN repeat('*', len(v) - 4) || right(v, 4) ELSE repeat('*', len(v)) END AS replacement, count(*) AS n FROM ({_emails()}) GROUP BY ALL",
+    "redact_hash": f"SELECT doc_id, '<EMAIL_ADDRESS#' || substr(sha256('{redact.DEFAULT_SALT}' || v), 1, 12) || '>' AS replacement, count(*) AS n FROM ({_emails()}) GROUP BY ALL",
+    **{name: f"SELECT o_orderkey, d AS value, coalesce({valid}, false) AS valid FROM (SELECT o_orderkey, {make} AS d FROM orders)" for name, (_, _, make, valid) in MADE.items()},
+    "jurisdiction_filter": jurisdiction_sql(),
+    "profile_columns": PROFILE_SQL,
+    "infer_type": TYPE_SQL,
+    "model_findings_cap": "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE 1 END AS n, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 0.85::DOUBLE END AS confidence, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE left(c_name, CAST(len(c_name) - c_custkey % 3 + 1 AS INTEGER)) END AS found FROM customer",
+    "adjudication_nudge": "SELECT * FROM (VALUES ('n_name', 'PII_DIRECT', 0.62::DOUBLE, false, true), ('n_nationkey', 'NON_PII', 0.0::DOUBLE, false, false), ('n_regionkey', 'NON_PII', 0.0::DOUBLE, false, false)) AS t(\"column\", category, score, needs_review, llm_adjudicated)",
+    "deterministic_sample": "SELECT c_name AS value FROM customer ORDER BY c_name IS NULL, sha256(c_name), octet_length(encode(c_name)), hex(encode(c_name)) LIMIT 500",
+    "name_rules": NAME_RULES_SQL,
+    "eval_precision_recall": EVAL_SQL,
+    "ocr_box_overlap": OCR_SQL,
+}

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -48,6 +49,11 @@ def weighted(value: Column, weights: tuple[int, ...]) -> Column:
     return reduce(Column.__add__, [digit(value, k) * w for k, w in enumerate(weights)])
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value made once, however often it is read."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def guarded(shape: Column, test: Column) -> Column:
     """test is only evaluated where the shape is right, so that no cast can fail."""
     return F.coalesce(F.when(shape, test), F.lit(False))
@@ -58,12 +64,14 @@ def not_all_alike(value: Column) -> Column:
 
 
 def luhn(value: Column) -> Column:
-    d = without(value, " -")
-    return guarded(d.rlike(r"\A[0-9]{13,}\z"), not_all_alike(d) & F.call_function("luhn_check", d))
+    return let(without(value, " -"), lambda d: guarded(d.rlike(r"\A[0-9]{13,}\z"), not_all_alike(d) & F.call_function("luhn_check", d)))
 
 
 def sg_nric(value: Column) -> Column:
-    v = F.upper(ascii_digits(value))
+    return let(F.upper(ascii_digits(value)), _sg_nric)
+
+
+def _sg_nric(v: Column) -> Column:
     prefix = F.substring(v, 1, 1)
     total = weighted(F.substring(v, 2, 7), NRIC_WEIGHTS) + F.when(prefix.isin("T", "G"), 4).when(prefix == "M", 3).otherwise(0)
     table = F.when(prefix.isin("S", "T"), NRIC_TABLES["ST"]).when(prefix.isin("F", "G"), NRIC_TABLES["FG"]).otherwise(NRIC_TABLES["M"])
@@ -71,40 +79,42 @@ def sg_nric(value: Column) -> Column:
 
 
 def hk_hkid(value: Column) -> Column:
-    v = F.translate(F.upper(ascii_digits(value)), "()", "")
+    return let(F.upper(ascii_digits(value)), lambda raw: let(F.translate(raw, "()", ""), lambda v: _hk_hkid(raw, v)))
+
+
+def _hk_hkid(raw: Column, v: Column) -> Column:
     letters = F.length(v) - 7
     first, second = F.ascii(v) - 55, F.ascii(F.substring(v, 2, 1)) - 55
     lead = F.when(letters == 1, 36 * 9 + first * 8).otherwise(first * 9 + second * 8)
     total = lead + weighted(v.substr(letters + 1, F.lit(6)), (7, 6, 5, 4, 3, 2))
     rest = (11 - total % 11) % 11
     check = F.when(rest == 10, "A").otherwise(rest.cast("string"))
-    shape = F.upper(ascii_digits(value)).rlike(r"\A[A-Z]{1,2}[0-9]{6}\(?[0-9A]\)?\z")
+    shape = raw.rlike(r"\A[A-Z]{1,2}[0-9]{6}\(?[0-9A]\)?\z")
     return guarded(shape, check == F.right(v, F.lit(1)))
 
 
 def jp_my_number(value: Column) -> Column:
-    d = without(value, " -")
-    rest = weighted(d, MY_NUMBER_WEIGHTS) % 11
-    return guarded(d.rlike(r"\A[0-9]{12}\z"), not_all_alike(d) & (digit(d, 11) == F.when(rest <= 1, 0).otherwise(11 - rest)))
+    check = lambda d: let(weighted(d, MY_NUMBER_WEIGHTS) % 11, lambda rest: digit(d, 11) == F.when(rest <= 1, 0).otherwise(11 - rest))
+    return let(without(value, " -"), lambda d: guarded(d.rlike(r"\A[0-9]{12}\z"), not_all_alike(d) & check(d)))
 
 
 def au_tfn(value: Column) -> Column:
-    d = without(value, " -")
-    return guarded(d.rlike(r"\A[0-9]{9}\z"), weighted(d, TFN_WEIGHTS) % 11 == 0)
+    return let(without(value, " -"), lambda d: guarded(d.rlike(r"\A[0-9]{9}\z"), weighted(d, TFN_WEIGHTS) % 11 == 0))
 
 
 def au_abn(value: Column) -> Column:
-    d = without(value, " ")
-    return guarded(d.rlike(r"\A[1-9][0-9]{10}\z"), (weighted(d, ABN_WEIGHTS) - ABN_WEIGHTS[0]) % 89 == 0)
+    return let(without(value, " "), lambda d: guarded(d.rlike(r"\A[1-9][0-9]{10}\z"), (weighted(d, ABN_WEIGHTS) - ABN_WEIGHTS[0]) % 89 == 0))
 
 
 def au_medicare(value: Column) -> Column:
-    d = without(value, " /")
-    return guarded(d.rlike(r"\A[2-6][0-9]{9,10}\z"), weighted(d, MEDICARE_WEIGHTS) % 10 == digit(d, 8))
+    return let(without(value, " /"), lambda d: guarded(d.rlike(r"\A[2-6][0-9]{9,10}\z"), weighted(d, MEDICARE_WEIGHTS) % 10 == digit(d, 8)))
 
 
 def iban(value: Column) -> Column:
-    v = without(F.upper(value), " ")
+    return let(without(F.upper(value), " "), _iban)
+
+
+def _iban(v: Column) -> Column:
     turned = F.concat(v.substr(F.lit(5), F.length(v)), F.substring(v, 1, 4))
     # 34 characters overflow a long: the remainder is carried along
     step = lambda acc, c: F.when(c.rlike("[0-9]"), (acc * 10 + F.ascii(c) - 48) % 97).otherwise((acc * 100 + F.ascii(c) - 55) % 97)
@@ -118,7 +128,10 @@ def ipv4(value: Column) -> Column:
 
 
 def us_ssn(value: Column) -> Column:
-    d = without(value, "- ")
+    return let(without(value, "- "), _us_ssn)
+
+
+def _us_ssn(d: Column) -> Column:
     area, group, serial = F.substring(d, 1, 3), F.substring(d, 4, 2), F.substring(d, 6, 4)
     return guarded(d.rlike(r"\A[0-9]{9}\z"), ~area.isin("000", "666") & (area < "900") & (group != "00") & (serial != "0000"))
 
@@ -129,7 +142,10 @@ def phone(value: Column) -> Column:
 
 def date_of_birth(value: Column) -> Column:
     """A real calendar date, day first, ISO, or with the month's name or first three letters; years 1 to 9999."""
-    v = ascii_digits(value)
+    return let(ascii_digits(value), _date_of_birth)
+
+
+def _date_of_birth(v: Column) -> Column:
     parts = lambda p, sep: F.split(v, sep)[p]
     year_of = lambda y: F.when(F.length(y) == 2, F.concat(F.lit("20"), y)).otherwise(F.lpad(y, 4, "0"))
 

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WordHash, materialise, mix, small_batches
@@ -129,24 +129,14 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS, k: int = K, id_col: st
     empty table gives an empty result.
     """
     found = repeated_windows(docs, min_words, k, id_col, text_col)
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for first in (False, True):
-            part = pdf[(pdf["owner"] == key[0]) == first].sort_values("start")
-            begin = end = owner = None
-            for s, w, o in zip(part["start"], part["windows"], part["owner"], strict=True):
-                if end is not None and s <= end:
-                    end, owner = max(end, s + w), min(owner, o)
-                else:
-                    if end is not None:
-                        out.append((key[0], first, begin, end + min_words - 1, end + min_words - 1 - begin, owner))
-                    begin, end, owner = s, s + w, o
-            if end is not None:
-                out.append((key[0], first, begin, end + min_words - 1, end + min_words - 1 - begin, owner))
-        return pd.DataFrame(out, columns=["doc_id", "first", "start", "end", "words", "owner"])
-
-    return found.groupBy("doc_id").applyInPandas(run, "doc_id long, first boolean, start int, end int, words int, owner long")
+    found = found.withColumn("first", F.col("owner") == F.col("doc_id")).withColumn("to", F.col("start") + F.col("windows"))
+    # a text's own windows: runs that touch are one passage
+    before = Window.partitionBy("doc_id", "first").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("doc_id", "first").orderBy("start").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    gaps = found.withColumn("gap", F.coalesce(F.col("start") > F.max("to").over(before), F.lit(True)).cast("int"))
+    runs = gaps.withColumn("run", F.sum("gap").over(upto)).groupBy("doc_id", "first", "run")
+    out = runs.agg(F.min("start").alias("start"), (F.max("to") + min_words - 1).cast("int").alias("end"), F.min("owner").alias("owner"))
+    return out.select("doc_id", "first", "start", "end", (F.col("end") - F.col("start")).alias("words"), "owner")
 
 
 def without_words(text: str, spans: list[tuple[int, int]]) -> str:

@@ -60,7 +60,7 @@ def rebalance(old: list[int], sizes: list[int], shards: int, slack: float = 0.01
 
 def map_table(spark: SparkSession, version: int, shards: list[int]) -> DataFrame:
     """The map as a table (version, virtual_slot, map_shard) of len(shards) rows."""
-    at = F.element_at(F.array(*map(F.lit, shards)), (F.col("id") + 1).cast("int"))
+    at = F.element_at(F.split(F.lit(",".join(map(str, shards))), ","), (F.col("id") + 1).cast("int")).cast("int")
     return spark.range(0, len(shards), 1, 1).select(F.lit(version).alias("version"), F.col("id").cast("int").alias("virtual_slot"), at.alias("map_shard"))
 
 

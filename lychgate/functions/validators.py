@@ -8,7 +8,6 @@ from __future__ import annotations
 import sys
 import unicodedata
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -46,7 +45,11 @@ def digit(value: Column, k: int) -> Column:
 
 
 def weighted(value: Column, weights: tuple[int, ...]) -> Column:
-    return reduce(Column.__add__, [digit(value, k) * w for k, w in enumerate(weights)])
+    """The sum of digits times weights, as a balanced tree: deep expressions cost stack."""
+    terms = [digit(value, k) * w for k, w in enumerate(weights)]
+    while len(terms) > 1:
+        terms = [a + b for a, b in zip(terms[::2], terms[1::2], strict=False)] + terms[len(terms) - len(terms) % 2 :]
+    return terms[0]
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:

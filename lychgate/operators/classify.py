@@ -6,6 +6,7 @@ All steps are projections over the profile (a row for each column); verdicts of
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,12 +33,12 @@ def normalise(name: Column) -> Column:
 def name_rule(normalised: Column) -> Column:
     """struct(synonym, entity, category, weight) of the first rule that matches whole words of the name, else null."""
     framed = F.concat(F.lit("_"), normalised, F.lit("_"))
-    out = F.lit(None).cast("struct<synonym: string, entity: string, category: string, weight: decimal(12,8)>")
-    for synonyms, entity, category, weight in reversed(NAME_RULES):
-        for s in reversed(synonyms):
-            made = F.struct(F.lit(s).alias("synonym"), F.lit(entity).cast("string").alias("entity"), F.lit(category).alias("category"), dec(F.lit(weight) / 10000).alias("weight"))
-            out = F.when(F.contains(framed, F.lit(f"_{s}_")), made).otherwise(out)
-    return out
+    found = []
+    for synonyms, entity, category, weight in NAME_RULES:
+        for s in synonyms:
+            made = F.struct(F.lit(s).alias("synonym"), F.lit(entity).cast("string").alias("entity"), F.lit(category).alias("category"), F.lit(Decimal(weight) / 10000).cast("decimal(12,8)").alias("weight"))
+            found.append(F.when(F.contains(framed, F.lit(f"_{s}_")), made))
+    return F.coalesce(*found)
 
 
 def dec(c: Column) -> Column:

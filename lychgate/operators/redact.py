@@ -36,10 +36,9 @@ def redact(df: DataFrame, text_col: str = "text", findings_col: str = "findings"
     text, findings = F.col(text_col), F.col(findings_col)
 
     def chosen(f: Column) -> tuple[Column, Column]:
-        name, by = F.lit(default), replacement(f, default, salt)
-        for label, strategy in strategies.items():
-            name = F.when(f["entity_type"] == label, F.lit(strategy)).otherwise(name)
-            by = F.when(f["entity_type"] == label, replacement(f, strategy, salt)).otherwise(by)
+        own = [(f["entity_type"] == label, strategy) for label, strategy in strategies.items()]
+        name = F.coalesce(*[F.when(test, F.lit(strategy)) for test, strategy in own], F.lit(default))
+        by = F.coalesce(*[F.when(test, replacement(f, strategy, salt)) for test, strategy in own], replacement(f, default, salt))
         return name, by
 
     applied = F.transform(findings, lambda f: F.struct(f["entity_type"].alias("entity_type"), f["start"].alias("start"), f["end"].alias("end"), chosen(f)[0].alias("strategy"), chosen(f)[1].alias("replacement")))

@@ -105,7 +105,9 @@ def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS, k: int = K, id
     """doc_id, start, windows, owner: runs of windows that other documents have too; owner is the least of these documents."""
     rows = materialise(suffix_rows(docs, min_words, k, id_col, text_col), "suffixes")
     runs = rows.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min("seg").alias("s1"), F.max("seg").alias("s2")).where("low < high")
-    near = materialise(rows.join(runs.select("key", "low", F.when(F.col("s1") != F.col("s2"), True).alias("differ")), "key"), "near")
+    # written first, so that both sides of the join are plain shuffles, of which Spark splits a hot key
+    runs = materialise(runs.select("key", "low", F.when(F.col("s1") != F.col("s2"), True).alias("differ")), "runs")
+    near = materialise(rows.join(runs, "key"), "near")
     whole = near.where("differ IS NULL").select("doc_id", "start", "windows", F.col("low").alias("owner"))
     mixed = near.where("differ")
     kinds = mixed.groupBy("seg").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min(F.struct("doc_id", "start", "windows")).alias("r"))
@@ -113,7 +115,9 @@ def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS, k: int = K, id
     wanted = kinds.groupBy(F.col("r.doc_id").alias("rep")).agg(F.collect_list(place).alias("places"))  # at most a text's own stretches
     windows = materialise(window_rows(docs, wanted, min_words, id_col, text_col), "windows")
     again = windows.groupBy("window").agg(F.min("low").alias("owner"), F.max("high").alias("last")).where("owner < last").select("window", "owner")
+    again = materialise(again, "again")
     found = windows.join(again, "window").groupBy("seg").agg(F.collect_list(F.struct("at", "owner")).alias("hits"))  # at most min_words - k + 1
+    found = materialise(found, "found")
     spread = mixed.join(found, "seg").select("doc_id", "start", F.explode("hits").alias("h"))
     single = spread.select("doc_id", (F.col("start") + F.col("h.at")).alias("start"), F.lit(1).alias("windows"), F.col("h.owner").alias("owner"))
     return whole.unionByName(single)

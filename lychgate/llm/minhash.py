@@ -119,6 +119,7 @@ def candidate_families(classes: DataFrame) -> DataFrame:
     """(class, family) of the classes that bands and estimates put together."""
     buckets = classes.select("class", F.explode("bands").alias("bucket"))
     stars = buckets.groupBy("bucket").agg(F.min("class").alias("hub"), F.max("class").alias("last")).where("hub < last").select("bucket", "hub")
+    stars = materialise(stars, "stars")  # so that both sides of the join are plain shuffles, of which Spark splits a hot bucket
     spokes = buckets.join(stars, "bucket").where(F.col("class") != F.col("hub")).select("class", "hub").distinct()
     sig = classes.select("class", "sig")
     near = (

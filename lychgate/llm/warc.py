@@ -30,7 +30,7 @@ def resolve(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     whole = pages.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha2(F.encode("payload", "UTF-8"), 256))
     heads = materialise(whole.where(F.col("payload_bytes") >= least_bytes).select("page_id", "payload_digest"), "heads")
     repeated = heads.groupBy("payload_digest").agg(F.min("page_id").alias("original"), F.count("*").alias("n")).where("n > 1 AND original IS NOT NULL").drop("n")
-    again = heads.join(repeated, "payload_digest").where(F.col("page_id").isNull() | (F.col("page_id") != F.col("original"))).distinct()
+    again = heads.join(materialise(repeated, "repeated"), "payload_digest").where(F.col("page_id").isNull() | (F.col("page_id") != F.col("original"))).distinct()
     w, a = whole.alias("w"), materialise(again, "revisits").alias("a")
     return w.join(a, F.col("w.page_id").eqNullSafe(F.col("a.page_id")) & (F.col("w.payload_digest") == F.col("a.payload_digest")), "left").select("w.*", "a.original")
 

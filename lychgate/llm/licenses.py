@@ -17,8 +17,9 @@ from .common import materialise
 SHINGLE = 5
 CONTAINED = 0.8
 #: A window of L + L / 4 words holds an occurrence of L words whole, so its similarity to the template is at least
-#: 0.8 x 0.8 = 0.64 where containment is 0.8: 1 - (1 - 0.64^2)^24 leaves out one in 300,000 occurrences.
-ROWS, BANDS = 2, 24
+#: 0.8 x 0.8 = 0.64 where containment is 0.8: 32 bands of one minimum leave out one in 10^14 occurrences, and one in 10^5
+#: at a similarity of 0.3.
+ROWS, BANDS = 1, 32
 
 #: Common short license notices.
 TEMPLATES = {

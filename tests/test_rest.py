@@ -66,19 +66,17 @@ def test_entities_are_verbatim():
     assert [(e["start"], e["end"]) for e in engines.entities(raw, "Ann and Ann", "m")] == [(0, 3), (8, 11)]
 
 
-def ask():
-    return lambda text: json.dumps({"entities": [{"type": "PERSON_NAME", "text": "Ann"}]})
-
-
-def failing():
-    def away(*_):
-        raise OSError("away")
+def test_engines(spark):
+    from pyspark.sql import functions as F
 
-    return away
+    def ask():
+        return lambda text: json.dumps({"entities": [{"type": "PERSON_NAME", "text": "Ann"}]})
 
+    def failing():
+        def away(*_):
+            raise OSError("away")
 
-def test_engines(spark):
-    from pyspark.sql import functions as F
+        return away
 
     df = spark.createDataFrame([("Ann is in",), (None,)], "text string")
     got = detect.scan(df.withColumn("m", engines.ask_for_entities(F.col("text"), ask, "m")), model_col="m", engines=["m"]).collect()

@@ -148,7 +148,6 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, seed: int = 7) -> R
     from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    spark = labelled.sparkSession
     chosen = labelled.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(sample_rows)  # bounded: fitted in a single partition
     chosen = materialise(chosen.withColumn("label", F.col("quality").cast("double")).coalesce(1), "sample")
     n, ones = chosen.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()

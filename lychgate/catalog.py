@@ -53,8 +53,7 @@ def _ips(key: str = "doc_id", source: str = "documents", text: str = "text", mor
 
 
 def _cards(key: str = "doc_id", source: str = "documents", text: str = "text", more: str = "") -> str:
-    more_out = more.replace(", ", ", ")
-    return f"SELECT {key}{more_out}, v FROM (SELECT *, translate(v, ' -', '') AS d FROM (SELECT {key}{more}, unnest(regexp_extract_all({text}, '{CARD}', 1)) AS v FROM {source})) WHERE {LUHN}"
+    return f"SELECT {key}{more}, v FROM (SELECT *, translate(v, ' -', '') AS d FROM (SELECT {key}{more}, unnest(regexp_extract_all({text}, '{CARD}', 1)) AS v FROM {source})) WHERE {LUHN}"
 
 
 def count_sql(inner: str, key: str) -> str:

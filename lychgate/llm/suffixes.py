@@ -81,24 +81,24 @@ def suffix_rows(docs: DataFrame, min_words: int, k: int, id_col: str, text_col:
 
 
 def window_rows(docs: DataFrame, wanted: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
-    """seg, at, window, low, high: the windows of the stretches in wanted (rep, places array<struct<seg, start, windows, low, high>>)."""
+    """seg, at, window, low, high, doc_id, start, single: the windows of the stretches in wanted (rep, places)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHash()
         for pdf in batches:
-            for text, places in zip(pdf["t"], pdf["places"], strict=True):
+            for doc, text, places in zip(pdf["rep"], pdf["t"], pdf["places"], strict=True):
                 p = Prefixes(mix(hashes.of(text.encode("utf-8", "surrogatepass").split())))
                 last = len(p.sums) - min_words  # a row that repeats an id may bring a shorter text
                 good = [x for x in places if x["start"] + x["windows"] <= last]
                 if not good:
                     continue
-                seg, start, n, low, high = (np.array([x[c] for x in good], np.int64) for c in ("seg", "start", "windows", "low", "high"))
+                seg, start, n, low, high, single = (np.array([x[c] for x in good], np.int64) for c in ("seg", "start", "windows", "low", "high", "single"))
                 at = np.concatenate([np.arange(c) for c in n])
                 w = np.repeat(start, n) + at
-                yield pd.DataFrame({"seg": np.repeat(seg, n), "at": at.astype(np.int32), "window": p.of(w, w + min_words).view(np.int64), "low": np.repeat(low, n), "high": np.repeat(high, n)})
+                yield pd.DataFrame({"seg": np.repeat(seg, n), "at": at.astype(np.int32), "window": p.of(w, w + min_words).view(np.int64), "low": np.repeat(low, n), "high": np.repeat(high, n), "doc_id": doc, "start": w.astype(np.int32), "single": np.repeat(single > 0, n)})
 
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("t")).where("t IS NOT NULL")
-    return texts.join(wanted, "rep").select("t", "places").mapInPandas(run, "seg long, at int, window long, low long, high long")
+    return texts.join(wanted, "rep").select("rep", "t", "places").mapInPandas(run, "seg long, at int, window long, low long, high long, doc_id long, start int, single boolean")
 
 
 def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -110,16 +110,18 @@ def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS, k: int = K, id
     near = materialise(rows.join(runs, "key"), "near")
     whole = near.where("differ IS NULL").select("doc_id", "start", "windows", F.col("low").alias("owner"))
     mixed = near.where("differ")
-    kinds = mixed.groupBy("seg").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min(F.struct("doc_id", "start", "windows")).alias("r"))
-    place = F.struct("seg", F.col("r.start").alias("start"), F.col("r.windows").alias("windows"), "low", "high")
+    kinds = mixed.groupBy("seg").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min(F.struct("doc_id", "start", "windows")).alias("r"), (F.count("*") == 1).alias("single"))
+    place = F.struct("seg", F.col("r.start").alias("start"), F.col("r.windows").alias("windows"), "low", "high", "single")
     wanted = kinds.groupBy(F.col("r.doc_id").alias("rep")).agg(F.collect_list(place).alias("places"))  # at most a text's own stretches
     windows = materialise(window_rows(docs, wanted, min_words, id_col, text_col), "windows")
     again = windows.groupBy("window").agg(F.min("low").alias("owner"), F.max("high").alias("last")).where("owner < last").select("window", "owner")
-    again = materialise(again, "again")
-    found = windows.join(again, "window").groupBy("seg").agg(F.collect_list(F.struct("at", "owner")).alias("hits"))  # at most min_words - k + 1
+    hits = materialise(windows.join(materialise(again, "again"), "window"), "hits")
+    # a stretch that occurs once is its own; others are looked up once for each place where they occur
+    own = hits.where("single").select("doc_id", "start", F.lit(1).alias("windows"), "owner")
+    found = hits.where("NOT single").groupBy("seg").agg(F.collect_list(F.struct("at", "owner")).alias("hits"))  # at most min_words - k + 1
     found = materialise(found, "found")
     spread = mixed.join(found, "seg").select("doc_id", "start", F.explode("hits").alias("h"))
-    single = spread.select("doc_id", (F.col("start") + F.col("h.at")).alias("start"), F.lit(1).alias("windows"), F.col("h.owner").alias("owner"))
+    single = spread.select("doc_id", (F.col("start") + F.col("h.at")).alias("start"), F.lit(1).alias("windows"), F.col("h.owner").alias("owner")).unionByName(own)
     return whole.unionByName(single)
 
 

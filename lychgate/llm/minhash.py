@@ -4,8 +4,8 @@ Bands of full minima propose candidates; two low bits of each minimum, packed in
 counts, corrected for chance collisions; exact Jaccard on full shingle sets confirms every link.
 
 Texts with the same shingle set form a class, and only classes are compared, so thousands of copies cost one row. A bucket is
-read as a star around its least class, never as pairs; stars whose estimate is far too low go. What hangs together is a
-family; a family is compared in blocks of at most 2 x BLOCK texts, and a block returns a spanning forest of its confirmed
+read as a star around its least class; members whose estimate to that is far too low are compared with the others of the bucket
+by their signatures, in blocks, each returning a spanning forest. What hangs together is a family; a family is compared in blocks of at most 2 x BLOCK texts, and a block returns a spanning forest of its confirmed
 links, so neither a bucket nor a family is ever in one task and no task returns all pairs.
 """
 
@@ -23,12 +23,13 @@ from .common import WordHash, connected_components, materialise, mix, small_batc
 HASHES = 128
 ROWS, BANDS = 5, 25
 BITS = 2
-#: Candidates are followed if their estimate is this high. Linked texts x and y (distance at most 0.15 or 0.2) that share a
-#: bucket whose least class is nearer than 0.65 to one of them both pass; they share about eleven of the 25 buckets.
+#: Candidates of a bucket are followed if their estimate is this high: linked texts are over seven deviations above it.
 FOLLOW = 0.5
 #: A pair within a family is confirmed exactly unless its estimate is lower than the threshold by this: over four deviations.
 MARGIN = 0.25
 BLOCK = 64
+#: Members of a bucket whose signatures are compared with as many others at once.
+PART = 512
 #: Elements of a block's incidence matrix up to which intersections are counted by one matrix product.
 DENSE = 30_000_000
 
@@ -115,18 +116,79 @@ def signatures(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str =
     return read.mapInPandas(run, "id long, n_shingles long, class long, bands array<long>, sig array<long>")
 
 
+def _ties(sigs: np.ndarray, stray: np.ndarray, sides: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs with a stray whose estimate is at least FOLLOW. sides: as in _linked, but pairs within a side only if there is one."""
+    n = len(sigs)
+    x = sigs.view(np.uint64)
+    same = np.zeros((n, n), np.int16)
+    for k in range(x.shape[1]):
+        eq = ~(x[:, None, k] ^ x[None, :, k])
+        same += np.bitwise_count(eq & (eq >> np.uint64(1)) & np.uint64(0x5555555555555555))
+    near = ((same / HASHES - 2.0**-BITS) / (1 - 2.0**-BITS) >= FOLLOW) & (stray[:, None] | stray[None, :])
+    if sides.any() and not sides.all():
+        near &= sides[:, None] != sides[None, :]
+    np.fill_diagonal(near, False)
+    out, left = [], near.any(axis=1)
+    for k in range(n):
+        if not left[k]:
+            continue
+        left[k] = False
+        front = np.array([k])
+        while len(front):
+            front = np.nonzero(near[front].any(axis=0) & left)[0]
+            left[front] = False
+            out.extend((k, int(m)) for m in front)
+    return out
+
+
+def stray_links(flagged: DataFrame, sig: DataFrame) -> DataFrame:
+    """Links (class, hub) between strays and other members of their bucket. flagged: bucket, class, near (to the bucket's hub), no hubs.
+
+    Members near the hub hang together by it, so only pairs with a stray are compared, in blocks of at most 2 x PART members.
+    """
+    mixed = flagged.groupBy("bucket").agg(F.count("*").alias("members"), F.every("near").alias("whole")).where("members > 1 AND NOT whole")
+    mixed = materialise(mixed.select("bucket", F.ceil(F.col("members") / PART).cast("int").alias("parts")), "mixed")
+    rows = flagged.join(mixed, "bucket").join(sig, "class")
+    rows = (
+        rows.withColumn("part", F.pmod(F.xxhash64("class"), "parts").cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .groupBy("bucket", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
+        .agg(F.collect_list(F.struct("class", "near", (F.col("part") != F.least("part", "other")).alias("side"), "sig")).alias("m"))
+        .where(F.size("m") > 1)
+        .select(F.col("m.class").alias("class"), F.col("m.near").alias("near"), F.col("m.side").alias("side"), F.flatten("m.sig").alias("sig"))
+    )
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            x, y = [], []
+            for cls, near, side, sigs in zip(pdf["class"], pdf["near"], pdf["side"], pdf["sig"], strict=True):
+                pairs = _ties(np.array(sigs, np.int64).reshape(len(cls), -1), ~np.array(near, bool), np.array(side, bool))
+                x.extend(int(cls[a]) for a, _ in pairs)
+                y.extend(int(cls[b]) for _, b in pairs)
+            yield pd.DataFrame({"class": x, "hub": y}, dtype="int64")
+
+    small_batches(flagged.sparkSession, 100)
+    return rows.mapInPandas(run, "class long, hub long")
+
+
 def candidate_families(classes: DataFrame) -> DataFrame:
-    """(class, family) of the classes that bands and estimates put together."""
+    """(class, family) of the classes that bands and estimates put together: all that share a bucket and have an estimate of FOLLOW."""
     buckets = classes.select("class", F.explode("bands").alias("bucket"))
-    stars = buckets.groupBy("bucket").agg(F.min("class").alias("hub"), F.max("class").alias("last")).where("hub < last").select("bucket", "hub")
+    stars = buckets.groupBy("bucket").agg(F.min("class").alias("hub"), F.max("class").alias("last"), F.count("*").alias("members"))
+    stars = stars.where("hub < last").select("bucket", "hub", "members")
     stars = materialise(stars, "stars")  # so that both sides of the join are plain shuffles, of which Spark splits a hot bucket
-    spokes = buckets.join(stars, "bucket").where(F.col("class") != F.col("hub")).select("class", "hub").distinct()
+    spokes = materialise(buckets.join(stars, "bucket").where(F.col("class") != F.col("hub")), "spokes")
     sig = classes.select("class", "sig")
-    near = (
-        spokes.join(sig, "class")
+    seen = (
+        spokes.select("class", "hub").distinct()
+        .join(sig, "class")
         .join(sig.select(F.col("class").alias("hub"), F.col("sig").alias("hub_sig")), "hub")
-        .where(estimate(F.col("sig"), F.col("hub_sig")) >= FOLLOW)
+        .select("class", "hub", (estimate(F.col("sig"), F.col("hub_sig")) >= FOLLOW).alias("near"))
     )
+    seen = materialise(seen, "seen")
+    # a bucket's hub may be unlike members that are like each other: these are compared among themselves
+    flagged = materialise(spokes.where("members > 2").join(seen, ["class", "hub"]).select("bucket", "class", "near"), "flagged")
+    near = seen.where("near").select("class", "hub").unionByName(materialise(stray_links(flagged, sig), "strays"))
     found = connected_components(near, "class", "hub")
     return found.select(F.col("node").alias("class"), F.col("component").alias("family"))
 

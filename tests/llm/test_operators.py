@@ -66,6 +66,27 @@ def test_large_family_is_split_and_whole(made, spark):
     test_near_duplicates_match_brute_force(df, df.collect(), 3, 85)
 
 
+@pytest.mark.parametrize("part", [2, 512])
+def test_bucket_hub_unlike_its_members(spark, monkeypatch, part):
+    """Classes that are like each other come into one family whatever the least class of their bucket is like."""
+    monkeypatch.setattr(minhash, "PART", part)
+    rng = np.random.default_rng(3)
+
+    def signature(*parts):
+        return minhash.packed(np.concatenate(parts)).tolist()
+
+    low = [rng.integers(0, 2**32, 128, dtype=np.uint32) for _ in range(4)]
+    rows = [(1, [7], signature(low[0]))]
+    rows += [(k, [7], signature(low[1][: 128 - k], low[2][128 - k :])) for k in range(2, 9)]  # unlike 1, like each other
+    rows += [(10, [8], signature(low[0]))]
+    rows += [(11, [8], signature(low[0][:80], low[3][80:]))]  # like 10
+    rows += [(12, [8], signature(low[0][:40], low[2][40:80], low[3][80:]))]  # like 11, unlike 10
+    rows += [(13, [8], signature(low[1]))]  # alone
+    classes = spark.createDataFrame(rows, "class long, bands array<long>, sig array<long>")
+    got = {r["class"]: r.family for r in minhash.candidate_families(classes).collect()}
+    assert got == {**dict.fromkeys(range(2, 9), 2), **dict.fromkeys((10, 11, 12), 10)}
+
+
 def test_estimate_is_corrected(spark):
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2**63, 1000).astype(np.uint64)

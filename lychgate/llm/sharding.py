@@ -1,6 +1,7 @@
 """Sharding by fixed virtual slots, with DataFrame operations only.
 
-A record's slot is a hash of its id, so it never moves between slots. Bytes are summed for each slot; the slot-to-shard map is a
+A record's slot is a hash of its id, so it never moves between slots; records without an id of their own are spread by text and
+copy number, so that no id is a hot slot. Bytes are summed for each slot; the slot-to-shard map is a
 small versioned table, made by giving slots in order of size to the lightest shard, and edited - not made anew - when slots
 have grown or a shard is added.
 """
@@ -16,12 +17,34 @@ from .common import materialise
 
 SLOTS = 4096
 SHARDS = 16
+#: Parts of equal rows within which copies are numbered.
+SALTS = 256
 
 
 def slot_of(id_col: Column, slots: int = SLOTS) -> Column:
     return F.pmod(F.xxhash64(id_col, F.lit("slot")), F.lit(slots)).cast("int")
 
 
+def slotted(rows: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """Adds virtual_slot to rows (doc_id, size, text_crc32), which are read more than once.
+
+    An id that one row has gives that row's slot. Rows with a null or repeated id go by id, size, crc32 and their number among
+    rows that are equal in these, so the slots of a table are the same in whatever order it is read.
+    """
+    repeated = materialise(rows.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(True).alias("_again")), "repeated")
+    marked = rows.withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(repeated, "doc_id", "left")
+    marked = materialise(marked.withColumn("_again", F.col("doc_id").isNull() | F.coalesce("_again", F.lit(False))), "marked")
+    once = marked.where("NOT _again").select(*rows.columns, slot_of(F.col("doc_id"), slots).alias("virtual_slot"))
+    again = marked.where("_again").withColumn("_key", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "size", "text_crc32"))
+    sums = again.groupBy("_key", "_part").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # at most SALTS rows
+    sums = sums.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).select("_key", "_part", "_base")
+    within = Window.partitionBy("_key", "_part").orderBy("_part")
+    copies = again.withColumn("_row", F.row_number().over(within)).join(sums, ["_key", "_part"])
+    slot = F.pmod(F.xxhash64("_key", F.col("_base") + F.col("_row"), F.lit("slot")), F.lit(slots)).cast("int")
+    return once.unionByName(copies.select(*rows.columns, slot.alias("virtual_slot")))
+
+
 def first_map(sizes: list[int], shards: int = SHARDS) -> list[int]:
     """A shard for each slot: largest slots first, each to the lightest shard."""
     heap = [(0, s) for s in range(shards)]
@@ -69,8 +92,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, old: list[int] | None = None, i
 
     Law `bytes`: shards are near equal in size (UTF-8 bytes of the text, none for null, plus 1). slot is the row's place in its
     shard, from 0 without gaps; grown_shard is null. With `old`, a map from before, the map is edited instead of made.
-    Rows with the same id, a null one included, share a virtual slot but not a place; other columns are not read; an
-    empty table gives an empty result.
+    Rows with a null or repeated id are spread over virtual slots (see slotted), so an id that many rows have is not in one
+    shard; other columns are not read; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     text = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
@@ -78,9 +101,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, old: list[int] | None = None, i
         F.col(id_col).alias("doc_id"),
         (F.octet_length(F.coalesce(F.col(text_col), F.lit(""))) + 1).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
-        slot_of(F.col(id_col)).alias("virtual_slot"),
     )
-    rows = materialise(rows, "records")
+    rows = materialise(slotted(materialise(rows, "records")), "slotted")
     sums = rows.groupBy("virtual_slot").agg(F.sum("size").alias("_bytes"), F.count("*").alias("_rows"))
     found = {r["virtual_slot"]: r["_bytes"] for r in sums.collect()}  # at most SLOTS rows
     sizes = [found.get(k, 0) for k in range(SLOTS)]

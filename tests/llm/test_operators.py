@@ -396,6 +396,26 @@ def test_sharding(docs, rows):
     assert sharding.shard(docs.limit(0)).count() == 0
 
 
+def test_sharding_spreads_null_and_repeated_ids(made, spark):
+    """A third of all rows without an id, a third with one id, most of them equal: shards are still even, slots the same again."""
+    own = [(k, made.prose(30)) for k in range(4000)]
+    rows = own + [(None, own[k % 5][1]) for k in range(4000)] + [(-1, own[7][1])] * 4000
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sharding.shard(df.repartition(3)).collect()
+    assert Counter((r.doc_id, r.text_crc32) for r in got) == Counter((k, zlib.crc32(t.encode())) for k, t in rows)
+    load, by = Counter(), defaultdict(list)
+    for r in got:
+        load[r.shard] += r["size"]
+        by[r.shard].append(r.slot)
+    assert len(load) == 16 and max(load.values()) < 1.02 * sum(load.values()) / 16
+    assert all(sorted(s) == list(range(len(s))) for s in by.values())
+    assert max(Counter(r.virtual_slot for r in got).values()) < 30
+    again = sharding.shard(df.orderBy(F.rand(5)).repartition(5)).collect()
+    assert Counter(tuple(r) for r in again) == Counter(tuple(r) for r in got)
+    slots = {r.doc_id: r.virtual_slot for r in df.where("doc_id >= 0").select("doc_id", sharding.slot_of(F.col("doc_id")).alias("virtual_slot")).collect()}
+    assert all(slots[r.doc_id] == r.virtual_slot for r in got if r.doc_id is not None and r.doc_id >= 0)
+
+
 def test_slot_map_is_even_and_edited_little(made):
     sizes = [made.rng.randint(50, 150) for _ in range(sharding.SLOTS)]
     one = sharding.first_map(sizes, 16)

@@ -36,7 +36,7 @@ _SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 
 
 class Encoder:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes.
+    """Ids of whole texts as little-endian unsigned 32-bit bytes, as the tokenizers file has them; added tokens are one id.
 
     path: a tokenizers file. ranks: the same vocabulary as a rank file, by which Latin texts are encoded about three times
     as fast with the same ids (a test holds them against each other).
@@ -46,7 +46,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # a rank file knows no added tokens, so texts that hold one go to the tokenizer file itself
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) if added else r"(?!)")
         self.fast = None
         if ranks:
             import tiktoken
@@ -59,7 +61,7 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
-        if self.fast is None or _OTHER.search(text):
+        if self.fast is None or _OTHER.search(text) or self.added.search(text):
             return self.plain(text)
         return array("I", self.fast.encode_ordinary(text)).tobytes()
 

@@ -190,6 +190,16 @@ def test_encoders_agree(made):
         assert e.encode(t or "") == e.plain(t or ""), t
 
 
+def test_encoder_is_the_tokenizer_file(made):
+    from tokenizers import Tokenizer
+
+    path, ranks = tokenizer_paths()
+    file = Tokenizer.from_file(path)
+    for e in (packing.Encoder(path, ranks), packing.Encoder(path)):
+        for t in [*made.texts(), "a <|endoftext|> b", "<|endoftext|><|endoftext|>", "名 <|endoftext|>", "<|endoftext|", "<| endoftext |>"]:
+            assert np.frombuffer(e.encode(t or ""), "<u4").tolist() == file.encode(t or "", add_special_tokens=False).ids, t
+
+
 def test_mixing(docs, rows):
     got = mixing.mix(docs).collect()
     sizes = defaultdict(int)

@@ -186,17 +186,18 @@ def jurisdiction_sql() -> str:
     return f"SELECT 'SG' AS pack, count_if({valid}) AS findings FROM (SELECT {make.replace('o_orderkey', 'c_custkey')} AS d FROM customer) UNION ALL SELECT 'US', 0"
 
 
-def profiles(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
-    """Profiles of whole tables."""
+def profiles(spark: SparkSession, sf_dir: str, *names: str, sample: int | None = None) -> DataFrame:
+    """Profiles of whole tables; sample: values of each column for patterns, ratios and types, all if None."""
     out = None
     for name in names:
         one = profile.long_form(table(spark, sf_dir, name), name, sample=None)
         out = one if out is None else out.unionByName(one)
-    return profile.profile(out)
+    return profile.profile(out, pattern_sample=sample, type_sample=sample)
 
 
 def profile_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profiles(spark, sf_dir, "customer", "nation").select("table", "column", "total_count", "null_count", "distinct_count", "sample_size", "avg_length")
+    # sample_size is at most SAMPLE in the query's SQL; nothing else that is selected here depends on it
+    return profiles(spark, sf_dir, "customer", "nation", sample=profile.SAMPLE).select("table", "column", "total_count", "null_count", "distinct_count", "sample_size", "avg_length")
 
 
 def infer_type(spark: SparkSession, sf_dir: str) -> DataFrame:

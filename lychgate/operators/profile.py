@@ -50,13 +50,13 @@ def matches(value: Column, r: Recognizer) -> Column:
     return whole & r.validator(value) if r.validator else whole
 
 
-def profile(long: DataFrame, recognizers: Iterable[Recognizer] = RECOGNIZERS, pattern_sample: int = SAMPLE, type_sample: int = TYPE_SAMPLE) -> DataFrame:
+def profile(long: DataFrame, recognizers: Iterable[Recognizer] = RECOGNIZERS, pattern_sample: int | None = SAMPLE, type_sample: int | None = TYPE_SAMPLE) -> DataFrame:
     """A row for each (table, column).
 
     total_count, null_count, distinct_count, sample_size, avg_length (rounded to 2 places), digit_ratio, alpha_ratio
     (to 4), inferred_type, pattern_hits [(entity, ratio)] and what follows from these: non_null_count, cardinality_ratio,
     null_ratio, best_entity, best_ratio. Blank values are null. Patterns and ratios look at the first pattern_sample
-    values that aren't null, types at the first type_sample.
+    values that aren't null, types at the first type_sample; at all of them, if None.
     """
     chosen = list(recognizers)
     v = long.withColumn("v", normalised(F.col("value")))
@@ -66,10 +66,14 @@ def profile(long: DataFrame, recognizers: Iterable[Recognizer] = RECOGNIZERS, pa
         F.count_distinct("v").alias("distinct_count"),
         F.coalesce(F.sum(F.length("v")), F.lit(0)).alias("chars"),
     )
-    # the first values of each column: the limit is applied before the shuffle, so a column is never in one task
-    first = Window.partitionBy("table", "column").orderBy("pos")
-    some = v.where("v IS NOT NULL").select("table", "column", "v", F.row_number().over(first).alias("n")).where(F.col("n") <= max(pattern_sample, type_sample))
-    used, typed = F.col("n") <= pattern_sample, F.col("n") <= type_sample
+    some = v.where("v IS NOT NULL").select("table", "column", "pos", "v")
+    limits = [n for n in (pattern_sample, type_sample) if n is not None]
+    if limits:
+        # the first values of each column: where both are limited, before the shuffle, so a column is never in one task
+        first = Window.partitionBy("table", "column").orderBy("pos")
+        some = some.withColumn("n", F.row_number().over(first))
+        some = some.where(F.col("n") <= max(limits)) if len(limits) == 2 else some
+    used, typed = (F.lit(True) if n is None else F.col("n") <= n for n in (pattern_sample, type_sample))
     text = F.when(used, F.col("v"))
     letters = F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
     digits = F.length(F.regexp_replace(text, r"[^\p{Nd}\x{b2}\x{b3}\x{b9}]", ""))

@@ -125,6 +125,22 @@ COLUMNS = {
 WANT = {"email": "PII_DIRECT", "gender": "PII_QUASI", "salary_sgd": "SENSITIVE", "fullName": "PII_DIRECT", "product_code": "NON_PII", "date_of_birth": "PII_QUASI", "opened": "NON_PII", "flag": "NON_PII", "blank": "NON_PII"}
 
 
+def test_registered_profiles_see_values_beyond_the_sample(spark, tmp_path):
+    """Personal data after the first 500 values, and text after the first 200 numbers."""
+    from lychgate import catalog
+
+    rows = [(k, str(k) if k < 600 else f"user{k}@example.com") for k in range(2000)]
+    spark.createDataFrame(rows, "k long, v string").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame([("x",)], "w string").write.parquet(str(tmp_path / "nation.parquet"))
+    spark.createDataFrame([("x",)], "w string").write.parquet(str(tmp_path / "region.parquet"))
+    (v,) = catalog.profiles(spark, str(tmp_path), "customer").where("column = 'v'").collect()
+    assert (v.inferred_type, v.sample_size, v.best_entity, v.best_ratio) == ("text", 2000, "EMAIL_ADDRESS", 0.7)
+    c = {(r.table, r.column): r for r in catalog.classify.classify(catalog.profiles(spark, str(tmp_path), "customer")).collect()}["customer", "v"]
+    assert c.entity_type == "EMAIL_ADDRESS"
+    fails = {r.table: (r.fails, r.escalates) for r in catalog.fail_on_pii(spark, str(tmp_path)).collect()}
+    assert True in fails["customer"] and True not in fails["nation"]
+
+
 def test_profile_and_classify(spark):
     from lychgate.sources import router
 

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 MODEL_LABELS = ("PERSON_NAME", "ADDRESS", "ORGANIZATION", "DATE_OF_BIRTH")
 MODEL_CONFIDENCE = 0.7
 SENT_CHARS = 6000
+#: Characters that a window of a long text has in common with the one before it: what is named and no longer is whole in one.
+OVERLAP = 500
 MODEL_FINDINGS = "array<struct<entity_type: string, start: int, end: int, confidence: double, recognizer: string>>"
 VERDICT = "table string, column string, is_pii boolean, confidence double, rationale string"
 
@@ -69,8 +71,16 @@ def verdict(raw: str) -> tuple[bool, float, str] | None:
     return is_pii, min(1.0, max(0.0, confidence)), str(answer.get("rationale", ""))[:500]
 
 
+def windows(text: str) -> list[str]:
+    """The whole text in overlapping windows of SENT_CHARS."""
+    return [text[k : k + SENT_CHARS] for k in range(0, max(1, len(text) - OVERLAP), SENT_CHARS - OVERLAP)]
+
+
 def ask_for_entities(text: Column, make: Callable[[], Callable[[str], str]], engine: str) -> Column:
-    """Findings of an engine for a text column. make() builds the engine once a worker; any failure of it is no finding."""
+    """Findings of an engine for a text column. make() builds the engine once a worker; any failure of it is no finding.
+
+    A long text is asked about window by window; what is named in any of them is looked up in the whole text.
+    """
 
     @F.pandas_udf(MODEL_FINDINGS)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -78,10 +88,14 @@ def ask_for_entities(text: Column, make: Callable[[], Callable[[str], str]], eng
         for texts in batches:
             out = []
             for t in texts:
-                try:
-                    out.append(entities(ask(t[:SENT_CHARS]), t, engine) if t else [])
-                except Exception:  # an engine that is away must not stop a scan
-                    out.append([])
+                spans: dict[tuple[int, int], dict] = {}
+                for part in windows(t) if t else []:
+                    try:
+                        for e in entities(ask(part), t, engine):
+                            spans.setdefault((e["start"], e["end"]), e)
+                    except Exception:  # an engine that is away must not stop a scan
+                        continue
+                out.append(list(spans.values()))
             yield pd.Series(out)
 
     return run(text)

@@ -86,6 +86,26 @@ def test_engines(spark):
     assert engines.ask_for_verdicts(review, failing).count() == 0
 
 
+def test_engines_read_whole_texts(spark):
+    """Names late in a long text and across the end of a window are found; a window that fails costs only its own."""
+    from pyspark.sql import functions as F
+
+    def make():
+        def ask(text):
+            if "fail" in text:
+                raise OSError
+            assert len(text) <= 6000
+            return json.dumps({"entities": [{"type": "PERSON_NAME", "text": n} for n in ("Ann Lee", "Bob Ray", "Cy Dow") if n in text]})
+
+        return ask
+
+    text = "fail " + "x" * 5992 + "Ann Lee" + "y" * 9000 + "Bob Ray" + "z" * 4000 + "Cy Dow"
+    df = spark.createDataFrame([(text,), ("",), ("Ann Lee",)], "text string")
+    got = [[text[f.start : f.end] for f in r.m] for r in df.select(engines.ask_for_entities(F.col("text"), make, "m").alias("m")).collect()]
+    assert got[0] == ["Ann Lee", "Bob Ray", "Cy Dow"] and not got[1] and len(got[2]) == 1
+    assert all(len(engines.windows("a" * n)) == k for n, k in ((1, 1), (6000, 1), (6001, 2), (11500, 2), (11501, 3)))
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "people.csv").write_text('﻿name,note\nAnn,"a ""b""\nc"\nBob\n', encoding="utf-8")
     (name, df), = router.open_source(spark, str(tmp_path / "people.csv")).items()

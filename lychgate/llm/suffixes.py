@@ -1,11 +1,11 @@
 """Repeated passages by sparse suffix arrays.
 
 Of all suffixes only those at minimisers are kept: in every window of MIN_WORDS words the start of the least K-word hash. Two
-occurrences of a passage of MIN_WORDS words choose the same places in it, so their suffixes share K words and stand side by
-side once suffixes are sorted by these words; a suffix whose neighbours differ in them is alone and goes. Suffixes
+occurrences of a passage of MIN_WORDS words choose the same places in it, so their suffixes share K words. Suffixes are
+not sorted: they are grouped by a fingerprint of these words, and one that has no other in its group goes. Suffixes
 that stay are extended left and right, all of a run at once: the stretch of words whose windows chose a suffix has one
 fingerprint; where all stretches of a run are equal it is repeated as a whole, and where they differ the windows of each
-different stretch are sorted by their own fingerprints and compared in turn. So a run of thousands of suffixes costs
+different stretch are grouped by their own fingerprints in turn. So a run of thousands of suffixes costs
 no more than its different stretches, no pair is ever made, and no run has to be in one task.
 """
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,14 +18,18 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset, as in tests."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that the cluster names in spark.checkpoint.dir. Unset, a folder of our own, but only in local mode, where driver
+    and executors are one process; on a cluster other machines could not see it, so there it is an error."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    app = spark.sparkContext.applicationId
+    if context.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = context.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="lychgate-")
-        spark.sparkContext.setCheckpointDir(_OWN[app])
+        context.setCheckpointDir(_OWN[app])
     return _OWN[app]
 
 
@@ -39,9 +45,33 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Long texts travel in small Arrow batches, so that a Python worker holds a few megabytes at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def text_slices(batches: Iterator[pd.DataFrame], column: str, most: int = 4_000_000) -> Iterator[pd.DataFrame]:
+    """Arrow batches (of up to 64 MB) cut into runs of rows whose texts have about `most` characters, so that results stay small."""
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        sizes = np.fromiter((0 if t is None else len(t) for t in pdf[column]), np.int64, len(pdf))
+        part = np.cumsum(sizes + 100) // most
+        for run in np.split(np.arange(len(pdf)), np.flatnonzero(np.diff(part)) + 1):
+            yield pdf.iloc[run[0] : run[-1] + 1]
+
+
+def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(uid, row): rows of docs as structs, so that no column of theirs clashes with ours, and a long that names the text.
+
+    That is the id, or, without one or where other texts have it too, a hash of id and text of 2^62 or more. Repeated rows have
+    one uid. Ids are taken to be below 2^62.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    own, text = F.col(f"row.`{id_col}`").cast("long"), F.col(f"row.`{text_col}`")
+    mark = F.xxhash64(text)
+    shared = rows.where(own.isNotNull()).groupBy(own.alias("id")).agg(F.min(mark).alias("a"), F.max(mark).alias("b"))
+    shared = materialise(shared.where("a <> b").select("id"), "shared-ids")
+    made = F.shiftrightunsigned(F.xxhash64(own, text, F.lit("uid")), 2).bitwiseOR(F.lit(1 << 62))
+    if shared.isEmpty():
+        return rows.select(F.coalesce(own, made).alias("uid"), "row")
+    both = rows.join(shared, own == F.col("id"), "left")
+    return both.select(F.when(own.isNull() | F.col("id").isNotNull(), made).otherwise(own).alias("uid"), "row")
 
 
 class WordHash(dict):

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import materialise, text_slices
 
 UNIT = 192
 #: Rows of units a JPEG can have at most; stored images are as narrow as that allows, so that hardly a unit is left empty.
@@ -407,11 +407,10 @@ def encode_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Per row: doc_id, n_bytes, media (binary). A null text is empty; rows of other columns don't matter."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in text_slices(batches, "t"):
             made = [(n, encode(p)) for n, p in map(padded, pdf["t"])]
             yield pd.DataFrame({"doc_id": pd.array([None if x is None else int(x) for x in pdf["id"]], "Int64"), "n_bytes": [m[0] for m in made], "media": [m[1] for m in made]})
 
-    small_batches(docs.sparkSession, 500)
     read = docs.select(F.col(id_col).cast("long").cast("string").alias("id"), F.col(text_col).alias("t"))
     return read.mapInPandas(run, "doc_id long, n_bytes long, media binary")
 
@@ -421,7 +420,7 @@ def decode_column(media: DataFrame, with_rgb: bool = False) -> DataFrame:
     media_sha256, feature (size of the tensor, mean of each channel, its checksum) and, if asked for, the rgb tensor's bytes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in text_slices(batches, "media"):
             rows = []
             for m in pdf["media"]:
                 d = Decoder(m)
@@ -440,9 +439,9 @@ def decode_column(media: DataFrame, with_rgb: bool = False) -> DataFrame:
 
 
 def media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_rgb: bool = False) -> DataFrame:
-    """Stores every whole text as a progressive JPEG and reads it back: see decode_column.
+    """Stores every whole text as a progressive JPEG in a written table, and reads that back: see decode_column.
 
-    A null or empty text is one unit of spaces; equal texts have equal values; repeated rows and null ids stay as they are;
+    with_rgb: the decoded tensors are a column too (height x width x 3 bytes), to be written with the rest. A null or empty text is one unit of spaces; equal texts have equal values; repeated rows and null ids stay as they are;
     other columns are not read; an empty table gives an empty result.
     """
-    return decode_column(encode_column(docs, id_col, text_col), with_rgb)
+    return decode_column(materialise(encode_column(docs, id_col, text_col), "media"), with_rgb)

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, connected_components, materialise, mix, small_batches
+from .common import WordHash, connected_components, identified, materialise, mix, text_slices
 
 HASHES = 128
 ROWS, BANDS = 5, 25
@@ -98,7 +98,7 @@ def signatures(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHash()
-        for pdf in batches:
+        for pdf in text_slices(batches, "t"):
             size, name, bands, sigs = [], [], [], []
             for text in pdf["t"]:
                 s = shingle_set(text, n, hashes)
@@ -110,7 +110,6 @@ def signatures(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str =
             ids = pd.array([None if x is None else int(x) for x in pdf["id"]], "Int64")
             yield pd.DataFrame({"id": ids, "n_shingles": size, "class": pd.array(name, "Int64"), "bands": bands, "sig": sigs})
 
-    small_batches(docs.sparkSession)
     # an id may be null, and pandas would make floats of such a column: it travels as text
     read = docs.select(F.col(id_col).cast("long").cast("string").alias("id"), F.col(text_col).alias("t"))
     return read.mapInPandas(run, "id long, n_shingles long, class long, bands array<long>, sig array<long>")
@@ -167,7 +166,6 @@ def stray_links(flagged: DataFrame, sig: DataFrame) -> DataFrame:
                 y.extend(int(cls[b]) for _, b in pairs)
             yield pd.DataFrame({"class": x, "hub": y}, dtype="int64")
 
-    small_batches(flagged.sparkSession, 100)
     return rows.mapInPandas(run, "class long, hub long")
 
 
@@ -298,15 +296,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
 def representatives(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One row of docs for each group of near-duplicates, with all its columns: the one with the smallest doc_id.
 
-    Rows without words or without an id all stay; of rows that repeat a kept doc_id with the same shingles one stays.
+    Texts without a doc_id, and different texts that share one, are documents of their own, which come after all others. Rows
+    without words all stay; of rows that repeat id and text one stays.
     """
-    found = near_duplicates(docs, shingle, num, den).where("kept AND class_id IS NOT NULL AND doc_id IS NOT NULL")
-    # a row is kept if its id is, so ids that are kept are enough; repeated rows of a kept id are told apart below
-    ids = materialise(found.groupBy("doc_id").agg(F.count("*").alias("_rows")), "kept")
-    d, k = docs.alias("d"), ids.alias("k")
-    both = d.join(k, F.col("d.doc_id") == F.col("k.doc_id"), "left").select("d.*", "k._rows")
-    bare = F.col("doc_id").isNull() | (F.trim(F.translate(F.coalesce("text", F.lit("")), "\t\n\x0b\x0c\r", "     ")) == "")
-    once = both.where(F.col("_rows") == 1)
-    again = both.where(F.col("_rows") > 1).dropDuplicates(["doc_id", "text"])
-    alone = both.where(F.col("_rows").isNull() & bare)
-    return once.unionByName(again).unionByName(alone).select(*docs.columns)
+    named = identified(docs)
+    found = near_duplicates(named, shingle, num, den, "uid", "row.text").where("kept")
+    kept = materialise(found.groupBy(F.col("doc_id").alias("uid")).agg(F.count("*").alias("rows"), F.first(F.col("class_id").isNull()).alias("bare")), "kept")
+    both = named.join(kept, "uid")
+    return both.where("rows = 1 OR bare").unionByName(both.where("rows > 1 AND NOT bare").dropDuplicates(["uid"])).select("row.*")

@@ -99,13 +99,11 @@ def mix(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = (1, 2, 3), r
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The documents of the mix with all their columns, a row for each copy taken; order of columns as in docs."""
     counts = mix(docs, **how).where("size > 0")
-    keys = ["doc_id", "text_hash", "source"]
-    # repeated rows share these: what they took together goes to one of them
-    copies = counts.groupBy(*keys).agg((F.sum("taken") / F.first("size")).cast("int").alias("_copies"), F.count("*").alias("_rows"))
-    copies = copies.where("_copies > 0").alias("c")
-    d = docs.withColumn("_text", text_hash(F.col("text"))).alias("d")
-    on = F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & F.col("d._text").eqNullSafe(F.col("c.text_hash")) & F.col("d.source").eqNullSafe(F.col("c.source"))
-    found = d.join(copies, on).select("d.*", "c._copies", "c._rows")
-    once = found.where("_rows = 1").unionByName(found.where("_rows > 1").dropDuplicates(["doc_id", "_text", "source"]))
-    out = once.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return out.select(*docs.columns)
+    # repeated rows share these keys: what they took together goes to one of them
+    copies = counts.groupBy("doc_id", "text_hash", "source").agg((F.sum("taken") / F.first("size")).cast("int").alias("copies"), F.count("*").alias("rows"))
+    copies = copies.where("copies > 0")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # so that no column clashes with ours
+    same = [F.col("row.doc_id").eqNullSafe(F.col("doc_id")), text_hash(F.col("row.text")).eqNullSafe(F.col("text_hash")), F.col("row.source").eqNullSafe(F.col("source"))]
+    found = rows.join(copies, same)
+    once = found.where("rows = 1").unionByName(found.where("rows > 1").dropDuplicates(["doc_id", "text_hash", "source"]))
+    return once.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches
+from .common import materialise, text_slices
 
 CAPACITY = 2048
 GRID_CELLS = 256
@@ -71,7 +71,7 @@ def tokenise(docs: DataFrame, tokenizer: str, ranks: str | None = None, capacity
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = Encoder(tokenizer, ranks)
-        for pdf in batches:
+        for pdf in text_slices(batches, "t"):
             rows = []
             for doc, text in zip(pdf["id"], pdf["t"], strict=True):
                 ids = encoder.encode(text or "") + b"\0\0\0\0"
@@ -83,7 +83,6 @@ def tokenise(docs: DataFrame, tokenizer: str, ranks: str | None = None, capacity
             out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
             yield out.assign(doc_id=pd.array([None if x is None else int(x) for x in out["doc_id"]], "Int64"))
 
-    small_batches(docs.sparkSession)
     # an id may be null, and pandas would make floats of such a column: it travels as text
     read = docs.select(F.col(id_col).cast("long").cast("string").alias("id"), F.col(text_col).alias("t"))
     return read.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids)

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches
+from .common import identified, materialise, text_slices
 
 STATISTICS = (
     "log_words", "word_length", "distinct_words", "top_word", "top_line", "distinct_lines",
@@ -68,19 +68,20 @@ def statistics(text: str | None) -> list[float]:
     ]
 
 
-def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and STATISTICS for every row."""
+def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name_col: str | None = None) -> DataFrame:
+    """doc_id, uid (name_col, a long that is never null; 0 without one) and STATISTICS for every row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in text_slices(batches, "t"):
             x = np.array([statistics(t) for t in pdf["t"]], float).reshape(len(pdf), len(STATISTICS))
             out = pd.DataFrame(x, columns=list(STATISTICS))
+            out.insert(0, "uid", pdf["uid"].to_numpy())
             out.insert(0, "doc_id", pd.array([None if x is None else int(x) for x in pdf["id"]], "Int64"))
             yield out
 
-    small_batches(docs.sparkSession)
-    read = docs.select(F.col(id_col).cast("long").cast("string").alias("id"), F.col(text_col).alias("t"))
-    return read.mapInPandas(run, "doc_id long, " + ", ".join(f"{s} double" for s in STATISTICS))
+    uid = F.lit(0).cast("long") if name_col is None else F.col(name_col)
+    read = docs.select(F.col(id_col).cast("long").cast("string").alias("id"), F.col(text_col).alias("t"), uid.alias("uid"))
+    return read.mapInPandas(run, "doc_id long, uid long, " + ", ".join(f"{s} double" for s in STATISTICS))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -165,6 +166,15 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, seed: int = 7) -> R
     return RuleModel(float(model.intercept), tuple(Rule(r.bounds, float(w)) for r, w in zip(rules, weights, strict=True) if abs(w) > 1e-6))
 
 
+def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", name_col: str | None = None) -> DataFrame:
+    """doc_id, uid, held_out, score and predicted of every row, by a model of the labelled rows that aren't held out."""
+    rows = materialise(with_statistics(docs, id_col, text_col, name_col), "statistics")
+    known = labels.select("doc_id", "quality").where("quality IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id")))
+    model = fit(rows.join(known, "doc_id"))
+    out = rows.withColumn("held_out", held_out(F.col("doc_id"))).withColumn("score", model.score())
+    return out.select("doc_id", "uid", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: doc_id, held_out, score (that its label is 1), predicted (1 if score >= THRESHOLD).
 
@@ -172,15 +182,14 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     and are scored as such; repeated rows are scored alike; several labels of a document count once each; null labels
     don't count; other columns are not read; an empty table gives an empty result.
     """
-    rows = materialise(with_statistics(docs, id_col, text_col), "statistics")
-    known = labels.select("doc_id", "quality").where("quality IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id")))
-    model = fit(rows.join(known, "doc_id"))
-    out = rows.withColumn("held_out", held_out(F.col("doc_id"))).withColumn("score", model.score())
-    return out.select("doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored(docs, labels, id_col, text_col).drop("uid")
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that classify() predicts as 1, with all their columns."""
-    verdict = classify(docs, labels).groupBy("doc_id").agg(F.max("predicted").alias("_ok")).where("_ok = 1")
-    d, v = docs.alias("d"), verdict.alias("v")
-    return d.join(v, F.col("d.doc_id").eqNullSafe(F.col("v.doc_id")), "left_semi")
+    """The rows of docs that classify() predicts as 1, with all their columns.
+
+    Every text is judged by itself, one without a doc_id or with another's too; repeated rows stay or go together.
+    """
+    named = identified(docs)
+    verdict = scored(named, labels, "row.doc_id", "row.text", "uid").groupBy("uid").agg(F.max("predicted").alias("ok")).where("ok = 1")
+    return named.join(verdict, "uid", "left_semi").select("row.*")

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, scratch_path, small_batches
+from .common import materialise, scratch_path
 
 ARCHIVE_BYTES = 16_000_000
 LEAST_BYTES = 100
@@ -101,7 +101,6 @@ def read(spark: SparkSession, path: str, with_payload: bool = False) -> DataFram
                     out[c] = pd.array([r[cols.index(c)] for r in rows], "Int64")
                 yield out
 
-    small_batches(spark, 1)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
     schema = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, stored_digest string, stored_bytes long"
     return files.mapInPandas(run, schema + ", payload binary" * with_payload)

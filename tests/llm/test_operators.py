@@ -127,21 +127,101 @@ def brute_passages(rows, n):
     return Counter(out)
 
 
-@pytest.mark.parametrize(("n", "k"), [(50, 16), (12, 4)])
-def test_passages_match_brute_force(docs, rows, n, k):
+@pytest.mark.parametrize(("n", "k", "rows_a_task"), [(50, 16, None), (12, 4, None), (12, 4, 40)])
+def test_passages_match_brute_force(docs, rows, n, k, rows_a_task, monkeypatch):
+    if rows_a_task:  # runs inside a task's range, at its ends and over several tasks
+        monkeypatch.setattr(suffixes, "ROWS_A_TASK", rows_a_task)
+        monkeypatch.setattr(suffixes, "STRETCHES_A_TASK", 5)
     assert Counter(tuple(r) for r in suffixes.passages(docs, n, k).collect()) == brute_passages(rows, n)
 
 
+@pytest.mark.parametrize("rows_a_task", [None, 30])
+def test_matches_that_a_nearer_neighbour_hides(made, spark, monkeypatch, rows_a_task):
+    """Documents share words to the right with one, to the left with another, and the longer match to the right comes first in order."""
+    if rows_a_task:
+        monkeypatch.setattr(suffixes, "ROWS_A_TASK", rows_a_task)
+        monkeypatch.setattr(suffixes, "STRETCHES_A_TASK", 4)
+    core = made.prose(9).split()
+    left, right = ([made.prose(14).split() for _ in range(3)] for _ in range(2))
+    texts = []
+    for a in range(15):
+        for b in range(0, 15, 2):
+            one, two = made.rng.randrange(3), made.rng.randrange(3)
+            words = made.prose(20).split() + left[one][14 - a :] + core + right[two][:b] + made.prose(20).split()
+            texts.append(" ".join(words))
+    texts += [" ".join(core * 8), texts[5], texts[5], f"{texts[9]} {texts[9]}"]
+    made.rng.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert Counter(tuple(r) for r in suffixes.passages(df, 12, 4).collect()) == brute_passages(df.collect(), 12)
+
+
+def test_equal_windows_are_told_apart_by_words(monkeypatch):
+    """With fingerprints that are all alike, words alone decide."""
+    rng = np.random.default_rng(4)
+    words = rng.integers(0, 3, 300).astype(np.uint64)
+    at = np.arange(296)
+    want = len({tuple(words[k : k + 5]) for k in at})
+    for blind in (False, True):
+        if blind:
+            monkeypatch.setattr(suffixes.Prefixes, "of", lambda self, start, end: np.zeros(len(start), np.uint64))
+        order, new = suffixes.equal_windows(words, at, 5)
+        assert sorted(order) == list(at) and new.sum() == want
+        assert all(new[k] == (tuple(words[order[k] : order[k] + 5]) != tuple(words[order[k - 1] : order[k - 1] + 5])) for k in range(1, len(at)))
+
+
+def without_repeats(rows, n):
+    """Words of each text that are in no window which an earlier text has, texts in order of their key."""
+    seen, owner = {}, {}
+    for key, text in rows:
+        ws = WORD.findall(text)
+        for i in range(len(ws) - n + 1):
+            owner.setdefault(tuple(ws[i : i + n]), key)
+            seen.setdefault(key, []).append((i, tuple(ws[i : i + n])))
+    out = {}
+    for key, text in rows:
+        gone = {j for i, w in seen.get(key, []) if owner[w] != key for j in range(i, i + n)}
+        out[key] = [w for j, w in enumerate(WORD.findall(text)) if j not in gone]
+    return out
+
+
 def test_cut_texts_repeat_nothing(docs, rows):
     cut = suffixes.deduplicated(docs)
     assert cut.columns == docs.columns and cut.count() == len(rows)
     after = cut.collect()
-    assert not [p for p in brute_passages(after, 50) if not p[1]] or all(p[2] >= 0 for p in brute_passages(after, 50))
-    before = {r.doc_id: r.text for r in rows}
-    hit = {r.doc_id for r in suffixes.passages(docs).where("NOT first").collect()}
+    want = without_repeats(sorted({(r.doc_id, r.text or "") for r in rows if r.doc_id is not None}), 50)
+    assert any(len(want[r.doc_id]) < len(WORD.findall(r.text or "")) for r in rows if r.doc_id is not None)
+    for r in after:
+        if r.doc_id is not None:
+            assert WORD.findall(r.text or "") == want[r.doc_id], r.doc_id
+    before = {r.doc_id: r for r in rows}
     for r in after:
-        assert r.text == before[r.doc_id] or r.doc_id in hit
-        assert r.n_chars == len(r.text or "") or r.doc_id not in hit
+        assert (r.text == before[r.doc_id].text and r.n_chars == before[r.doc_id].n_chars) or r.n_chars == len(r.text)
+
+
+def test_texts_that_share_an_id_are_judged_each_by_itself(made, spark):
+    """Stages of the pipeline on two texts under one id, on texts without an id, and on an empty table."""
+    passage, own = made.prose(60), [made.prose(90) for _ in range(6)]
+    twin = own[1].split()
+    twin[44] = "changed"
+    rows = [(1, own[0]), (2, own[1]), (5, f"{own[2]} {passage}"), (5, " ".join(twin)), (7, f"{passage} {own[3]}"), (None, own[4]), (None, f"{own[5]} {passage}"), (None, own[4]), (9, None), (9, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text")).withColumn("_rows", F.lit("clash")).withColumn("class", F.lit(1))
+    kept = minhash.representatives(df)
+    assert kept.columns == df.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([r for r in rows if r[1] != " ".join(twin) and r != (None, own[4])] + [(None, own[4])])
+    cut = suffixes.deduplicated(df).collect()
+    assert Counter(r.doc_id for r in cut) == Counter(r[0] for r in rows)
+    texts = [r.text for r in cut]
+    assert sum(passage in (t or "") for t in texts) == 1 and f"{passage} {own[3]}" in texts  # 7 is the only one of them with an id of its own
+    assert {own[0], own[1], own[4], own[2] + " ", own[5] + " ", " ".join(twin)} <= set(texts)
+    junk = " | ".join(made.prose(60).split())
+    train = [(k, made.prose(60) if k % 2 else " | ".join(made.prose(50).split())) for k in range(100, 400)]
+    mixed = spark.createDataFrame([*train, (3, junk), (3, own[0]), (None, junk), (None, own[1])], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(100, 400)], "doc_id long, quality int")
+    ok = {(r.doc_id, r.text) for r in quality.accepted(mixed, labels).collect()}
+    assert (3, own[0]) in ok and (None, own[1]) in ok and (3, junk) not in ok and (None, junk) not in ok
+    for stage in (minhash.representatives, suffixes.deduplicated, mixing.mixed_documents, lambda d: quality.accepted(d, labels)):
+        full = df.withColumn("source", F.lit("s"))
+        assert stage(full.limit(0)).count() == 0 and stage(full.limit(0)).columns == full.columns
 
 
 def test_packing(docs, rows):

@@ -30,6 +30,8 @@ MIN_WORDS = 50
 K = 16
 #: Rows a task sorts and holds at once: some tens of megabytes. Stretches and windows of the extension count likewise.
 ROWS_A_TASK, STRETCHES_A_TASK = 500_000, 20_000
+#: Ends of ranges (tens of bytes each) that a task is told of as they are.
+ENDS_HELD = 100_000
 #: Windows that are compared word by word at once.
 COMPARED = 1 << 15
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -92,7 +94,8 @@ def compare_neighbours(rows: DataFrame, levels: dict[str, list[str]], order: lis
     <kinds>_low and <kinds>_high, the least and largest value of the column `kinds` among rows equal in the first level's.
 
     rows is sorted by range; a level's columns lead the order, so equal rows are neighbours, and only those at either end of
-    a task's range may have more in another task: these ends, two a level and task, are joined from a small table. Rows
+    a task's range may have more in another task: these ends, at most two a level and task, are made known to all tasks, as
+    they are if there are no more than ENDS_HELD, else by a join. Rows
     that are known to be alone in the first level (low = high) go, as do rows that equal the one before in all of `order`. rows
     is read twice, so it should be a written table.
     """
@@ -125,12 +128,33 @@ def compare_neighbours(rows: DataFrame, levels: dict[str, list[str]], order: lis
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in rows.schema] + added)
     tasks = tasks_for(rows, ROWS_A_TASK)
     out = materialise(rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order).mapInPandas(run, schema), name)
-    settled = out
+    ends = {}
     for level, columns in levels.items():
         own = [made for made, by, *_ in extremes if by == level]
-        ends = out.where(f"{level}_end").groupBy(*columns).agg(*[g(f"{m}_{x}").alias(f"_{m}_{x}") for m in own for x, g in (("low", F.min), ("high", F.max))])
-        settled = settled.join(materialise(ends, f"{name}-ends"), columns, "left")  # two rows a task
-        settled = settled.withColumns({f"{m}_{x}": F.coalesce(f"_{m}_{x}", f"{m}_{x}") for m in own for x in ("low", "high")})
+        extreme = [g(f"{m}_{x}").alias(f"_{m}_{x}") for m in own for x, g in (("low", F.min), ("high", F.max))]
+        ends[level] = own, columns, materialise(out.where(f"{level}_end").groupBy(*columns).agg(*extreme), f"{name}-ends")
+    some = F.lit(False)
+    for level in levels:
+        some = some | F.col(f"{level}_end")
+    if 2 * tasks <= ENDS_HELD:
+        held = [(level, own, columns, table.toPandas()) for level, (own, columns, table) in ends.items()]
+
+        def exchange(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for level, own, columns, table in held:
+                    at = pdf[f"{level}_end"].to_numpy()
+                    told = pdf.loc[at, columns].merge(table, on=columns, how="left")
+                    for m in own:
+                        for x in ("low", "high"):
+                            pdf.loc[at, f"{m}_{x}"] = told[f"_{m}_{x}"].to_numpy()
+                yield pdf
+
+        settled = out.where(~some).unionByName(out.where(some).mapInPandas(exchange, schema))
+    else:
+        settled = out
+        for own, columns, table in ends.values():
+            settled = settled.join(table, columns, "left")
+            settled = settled.withColumns({f"{m}_{x}": F.coalesce(f"_{m}_{x}", f"{m}_{x}") for m in own for x in ("low", "high")})
     return settled.select(*rows.columns, *names).where(f"{first_level}_low < {first_level}_high")
 
 

@@ -141,6 +141,7 @@ def test_matches_that_a_nearer_neighbour_hides(made, spark, monkeypatch, rows_a_
     if rows_a_task:
         monkeypatch.setattr(suffixes, "ROWS_A_TASK", rows_a_task)
         monkeypatch.setattr(suffixes, "STRETCHES_A_TASK", 4)
+        monkeypatch.setattr(suffixes, "ENDS_HELD", 0)
     core = made.prose(9).split()
     left, right = ([made.prose(14).split() for _ in range(3)] for _ in range(2))
     texts = []

@@ -8,6 +8,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import scan_sql
 from .functions import validators as V
 from .operators import classify, detect, evaluate, images, policy, profile, redact
 from .plans.recognizers import RECOGNIZERS, select
@@ -28,7 +29,7 @@ def found(spark: SparkSession, sf_dir: str, source: str, key: str, text: str, *n
     """One row for each finding of the named recognizers (all, if none)."""
     df = table(spark, sf_dir, source).select(key, F.col(text).alias("text"), *(["lang"] if source == "documents" else []))
     df = detect.scan(df, recognizers=only(*names) if names else RECOGNIZERS)
-    return df.select(key, *(["lang"] if source == "documents" else []), F.explode("findings").alias("f"))
+    return detect.each(df, "findings", key, *(["lang"] if source == "documents" else []))
 
 
 def counts(spark: SparkSession, sf_dir: str, source: str, key: str, text: str, name: str) -> DataFrame:
@@ -38,11 +39,6 @@ def counts(spark: SparkSession, sf_dir: str, source: str, key: str, text: str, n
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
 IP = r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b"
 CARD = r"\b((?:[0-9][ -]?){12,18}[0-9])\b"
-LUHN = """(len(d) >= 13 AND len(list_distinct(string_split(d, ''))) > 1 AND list_sum(list_transform(range(0, len(d)),
-  lambda i: CASE WHEN i % 2 = 1 THEN 2 * CAST(d[len(d) - i] AS INTEGER) - CASE WHEN d[len(d) - i] > '4' THEN 9 ELSE 0 END
-  ELSE CAST(d[len(d) - i] AS INTEGER) END)) % 10 = 0)"""
-
-
 def _emails(key: str = "doc_id", source: str = "documents", text: str = "text", more: str = "") -> str:
     return f"SELECT {key}{more}, unnest(regexp_extract_all({text}, '{EMAIL}')) AS v FROM {source}"
 
@@ -53,7 +49,7 @@ def _ips(key: str = "doc_id", source: str = "documents", text: str = "text", mor
 
 
 def _cards(key: str = "doc_id", source: str = "documents", text: str = "text", more: str = "") -> str:
-    return f"SELECT {key}{more}, v FROM (SELECT *, translate(v, ' -', '') AS d FROM (SELECT {key}{more}, unnest(regexp_extract_all({text}, '{CARD}', 1)) AS v FROM {source})) WHERE {LUHN}"
+    return f"SELECT {key}{more}, v FROM (SELECT *, translate(v, ' -', '') AS d FROM (SELECT {key}{more}, unnest(regexp_extract_all({text}, '{CARD}', 1)) AS v FROM {source})) WHERE {scan_sql.LUHN}"
 
 
 def count_sql(inner: str, key: str) -> str:
@@ -91,7 +87,7 @@ def redacted(spark: SparkSession, sf_dir: str, strategy: str) -> DataFrame:
 
 def replacements(spark: SparkSession, sf_dir: str, strategy: str) -> DataFrame:
     df = detect.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), recognizers=only("email"))
-    df = redact.redact(df, strategies={}, default=strategy).select("doc_id", F.explode("applied").alias("a"))
+    df = detect.each(redact.redact(df, strategies={}, default=strategy), "applied", "doc_id", name="a")
     return df.groupBy("doc_id", F.col("a.replacement").alias("replacement")).agg(F.count("*").alias("n"))
 
 
@@ -111,7 +107,7 @@ def letter(c: Column, k: int = 26) -> Column:
 
 MADE: dict[str, tuple[Callable[[Column], Column], Callable[[Column], Column], str, str]] = {
     # name: (make, validator, make in SQL, validity in SQL over d, the text)
-    "validate_luhn": (lambda k: pad(k, 16, 7919), V.luhn, "lpad(CAST(o_orderkey * 7919 % 10000000000000000 AS VARCHAR), 16, '0')", LUHN),
+    "validate_luhn": (lambda k: pad(k, 16, 7919), V.luhn, "lpad(CAST(o_orderkey * 7919 % 10000000000000000 AS VARCHAR), 16, '0')", scan_sql.LUHN),
     "validate_sg_nric": (
         lambda k: F.concat(F.element_at(F.array(*map(F.lit, "STFGM")), (k % 5 + 1).cast("int")), pad(k, 7, 7919), letter(k)),
         V.sg_nric,
@@ -171,6 +167,67 @@ MADE: dict[str, tuple[Callable[[Column], Column], Callable[[Column], Column], st
 }
 
 
+#: Identifiers put into sentences: how they are made from a key, in Spark and in SQL. Not all of them are valid.
+SENTENCES: dict[str, tuple[Callable[[Column], Column], str]] = {
+    **{name: (MADE[f"validate_{name}"][0], MADE[f"validate_{name}"][2]) for name in ("iban", "sg_nric", "hk_hkid", "jp_my_number", "au_tfn", "au_abn", "au_medicare", "us_ssn", "date_of_birth")},
+    "phone_intl": (
+        lambda k: F.when(k % 5 == 0, F.concat(F.lit("+1 "), pad(k, 4))).otherwise(F.concat(F.lit("+"), (k % 99 + 1).cast("string"), F.lit(" "), pad(k, 4), F.lit("-"), pad(k, 3, 7))),
+        "CASE WHEN o_orderkey % 5 = 0 THEN '+1 ' || lpad(CAST(o_orderkey % 10000 AS VARCHAR), 4, '0') ELSE '+' || (o_orderkey % 99 + 1) || ' ' || lpad(CAST(o_orderkey % 10000 AS VARCHAR), 4, '0') || '-' || lpad(CAST(o_orderkey * 7 % 1000 AS VARCHAR), 3, '0') END",
+    ),
+    "phone_local": (
+        lambda k: F.when(k % 5 == 0, F.concat(F.lit("12 "), pad(k, 3))).otherwise(F.concat(pad(k, 4), F.lit(" "), pad(k, 4, 7))),
+        "CASE WHEN o_orderkey % 5 = 0 THEN '12 ' || lpad(CAST(o_orderkey % 1000 AS VARCHAR), 3, '0') ELSE lpad(CAST(o_orderkey % 10000 AS VARCHAR), 4, '0') || ' ' || lpad(CAST(o_orderkey * 7 % 10000 AS VARCHAR), 4, '0') END",
+    ),
+    "passport": (lambda k: F.concat(letter(k), pad(k, 7, 7919)), "chr(CAST(65 + o_orderkey % 26 AS INTEGER)) || lpad(CAST(o_orderkey * 7919 % 10000000 AS VARCHAR), 7, '0')"),
+}
+
+
+def leads(name: str) -> tuple[str, str, str]:
+    """Beginnings of sentences: with a context word near the identifier, with none, with one too far away."""
+    word = next(r.context[0] for r in RECOGNIZERS if r.name == name)
+    return f"the {word.upper()} is ", "see ", f"{word} {'x' * 60} "
+
+
+def sentence(name: str) -> Column:
+    key, make = F.col("o_orderkey"), SENTENCES[name][0]
+    near, none, far = leads(name)
+    return F.concat(F.when(key % 3 == 0, near).when(key % 3 == 1, none).otherwise(far), make(key), F.lit(" then, "), make(key + 1), F.lit("."))
+
+
+def sentence_sql(name: str) -> str:
+    near, none, far = leads(name)
+    sql = SENTENCES[name][1]
+    return f"SELECT o_orderkey AS k, CASE o_orderkey % 3 WHEN 0 THEN '{near}' WHEN 1 THEN '{none}' ELSE '{far}' END || ({sql}) || ' then, ' || ({sql.replace('o_orderkey', '(o_orderkey + 1)')}) || '.' AS t FROM orders"
+
+
+def scan_sentences(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """What one recognizer finds in sentences made from the keys of orders."""
+    df = table(spark, sf_dir, "orders").select("o_orderkey", sentence(name).alias("text"))
+    return detect.each(detect.scan(df, recognizers=only(name)), "findings", "o_orderkey").select("o_orderkey", "f.*").drop("ord")
+
+
+def crowded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences in which findings of several recognizers overlap, scanned by all of them."""
+    parts = [SENTENCES[n][0](F.col("o_orderkey")) for n in CROWD]
+    text = F.concat(F.lit("phone, passport, tfn: "), F.concat_ws(" ", *parts), F.lit(" end"))
+    df = detect.scan(table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text")))
+    return detect.each(df, "findings", "o_orderkey").select("o_orderkey", "f.*").drop("ord")
+
+
+CROWD = ("au_tfn", "passport", "jp_my_number", "phone_local", "us_ssn", "hk_hkid", "au_medicare", "iban")
+CROWD_SQL = "SELECT o_orderkey AS k, 'phone, passport, tfn: ' || " + " || ' ' || ".join(f"({SENTENCES[n][1]})" for n in CROWD) + " || ' end' AS t FROM orders"
+
+
+def egress_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = policy.decide(detect.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return detect.each(df, "reasons", "doc_id", name="r").select("doc_id", "r.*")
+
+
+def redact_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All findings replaced, each label by its own strategy."""
+    return redact.redact(detect.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", "redacted")
+
+
 def jurisdiction_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = MADE["validate_sg_nric"][0](F.col("c_custkey"))
     df = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("ref "), made, F.lit(" ok")).alias("text"))
@@ -268,8 +325,8 @@ def ocr_box_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as if read by OCR: words of fixed size in a row, and the boxes of e-mail addresses among them."""
     words = F.transform(F.split("text", " "), lambda w, i: F.struct(w.alias("text"), (i * 10).cast("int").alias("left"), F.lit(0).alias("top"), F.lit(8).alias("width"), F.lit(5).alias("height"), F.lit(90.0).alias("confidence")))
     df = table(spark, sf_dir, "documents").select("doc_id", words.alias("words"))
-    df = images.scan_images(df, recognizers=only("email"))
-    return df.where(F.size("boxes") > 0).select("doc_id", F.size("boxes").alias("boxes"), F.get("boxes", F.lit(0))["left"].alias("first_left"))
+    df = detect.each(images.scan_images(df, recognizers=only("email")), "boxes", "doc_id", name="b")
+    return df.groupBy("doc_id").agg(F.count("*").cast("int").alias("boxes"), F.min("b.left").alias("first_left"))
 
 
 OCR_SQL = f"""
@@ -304,6 +361,10 @@ QUERIES: dict[str, Query] = {
     "redact_mask": partial(replacements, strategy="mask"),
     "redact_hash": partial(replacements, strategy="hash"),
     **{name: partial(identifiers, make=made, test=test) for name, (made, test, _, _) in MADE.items()},
+    **{f"scan_{name}": partial(scan_sentences, name=name) for name in SENTENCES},
+    "scan_crowded": crowded,
+    "egress_reasons": egress_reasons,
+    "redact_by_label": redact_by_label,
     "jurisdiction_filter": jurisdiction_filter,
     "profile_columns": profile_columns,
     "infer_type": infer_type,
@@ -318,6 +379,12 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
+    "egress_summary": scan_sql.EGRESS,
+    "scan_findings": scan_sql.rows(scan_sql.DOCUMENTS, "doc_id"),
+    **{f"scan_{name}": scan_sql.rows(sentence_sql(name), "o_orderkey", (name,)) for name in SENTENCES},
+    "scan_crowded": scan_sql.rows(CROWD_SQL, "o_orderkey"),
+    "egress_reasons": scan_sql.REASONS,
+    "redact_by_label": scan_sql.REDACTED,
     "scan_email": count_sql(_emails(), "doc_id"),
     "scan_email_pages": count_sql(_emails("page_id", "pages", "html"), "page_id"),
     "scan_ip": count_sql(_ips(), "doc_id"),

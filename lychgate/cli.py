@@ -71,7 +71,7 @@ def run(spark: SparkSession, args: argparse.Namespace, s: config.Settings) -> in
         df = policy.decide(df, s.policy)
         code = max([CODES[r.action] for r in df.select("action").distinct().collect()], default=0)  # three actions at most
     if s.audit_log:
-        sums = df.select(F.explode("findings").alias("f")).groupBy("f.entity_type").count().collect()  # a row for each label
+        sums = detect.each(df, "findings").groupBy("f.entity_type").count().collect()  # a row for each label
         audit.AuditLog(s.audit_log).append([(args.command.replace("-", "_"), args.source or "text", {"findings": {r[0]: r[1] for r in sums}})])
     emit(df.drop(*([args.text_col] if args.command != "scan-text" else [])), args.out)
     return code

@@ -6,7 +6,6 @@ All steps are projections over the profile (a row for each column); verdicts of
 from __future__ import annotations
 
 from dataclasses import dataclass
-from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,7 +35,7 @@ def name_rule(normalised: Column) -> Column:
     found = []
     for synonyms, entity, category, weight in NAME_RULES:
         for s in synonyms:
-            made = F.struct(F.lit(s).alias("synonym"), F.lit(entity).cast("string").alias("entity"), F.lit(category).alias("category"), F.lit(Decimal(weight) / 10000).cast("decimal(12,8)").alias("weight"))
+            made = F.struct(F.lit(s).alias("synonym"), F.lit(entity).cast("string").alias("entity"), F.lit(category).alias("category"), F.lit(weight).cast("decimal(12,8)").alias("weight"))
             found.append(F.when(F.contains(framed, F.lit(f"_{s}_")), made))
     return F.coalesce(*found)
 

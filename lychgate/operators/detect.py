@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -91,6 +92,23 @@ def resolve(findings: Column) -> Column:
     return F.transform(placed, lambda k: k["f"])
 
 
+@lru_cache(maxsize=64)
+def expression(application: str, text_col: str, chosen: tuple[Recognizer, ...]) -> Column:
+    """All findings of the recognizers; made once for each choice, for it takes longer than many a query."""
+    text = F.col(text_col)
+    order = {r.name: k for k, r in enumerate(RECOGNIZERS)}
+    found = F.concat(*[recognize(text, r, order.get(r.name, k)) for k, r in enumerate(chosen)]) if chosen else none()
+    return F.when(text.rlike(r"(?U)[\d@]"), found).otherwise(none())
+
+
+def each(df: DataFrame, array: str, *keep: str, name: str = "f") -> DataFrame:
+    """A row for each element of an array column, with the columns to keep.
+
+    A plain explode would have Spark filter by the array's size below the projection that makes it, and so scan every text twice.
+    """
+    return df.select(*keep, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+
+
 def scan(
     df: DataFrame,
     text_col: str = "text",
@@ -105,10 +123,7 @@ def scan(
     Texts without a digit or an at sign are passed over in one test. model_col: findings of a model, see from_model.
     """
     text = F.col(text_col)
-    chosen = list(recognizers)
-    order = {r.name: k for k, r in enumerate(RECOGNIZERS)}
-    found = F.concat(*[recognize(text, r, order.get(r.name, k)) for k, r in enumerate(chosen)]) if chosen else none()
-    found = F.when(text.rlike(r"(?U)[\d@]"), found).otherwise(none())
+    found = expression(df.sparkSession.sparkContext.applicationId, text_col, tuple(recognizers))
     if model_col:
         found = F.concat(found, from_model(text, F.col(model_col)))
     found = F.filter(found, lambda f: f["confidence"] >= least_confidence)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -20,55 +21,67 @@ MODEL_FINDINGS = "array<struct<entity_type: string, start: int, end: int, confid
 VERDICT = "table string, column string, is_pii boolean, confidence double, rationale string"
 
 
+# Words that an adjudicator's answer may use for yes and no.
+SAID = dict.fromkeys(("true", "yes", "y", "1"), True) | dict.fromkeys(("false", "no", "n", "0"), False)
+
+
+def entity_prompt(text: str) -> str:
+    """What an engine is asked about a text."""
+    return (
+        f"List the personal data of these kinds in the text below: {', '.join(MODEL_LABELS)}.\n"
+        'Answer with one JSON object and nothing else: {"entities": [{"type": kind, "text": words as they stand in the text}]}. '
+        f'Copy the words exactly. If there are none, answer {{"entities": []}}.\n\nText:\n{text}\n'
+    )
+
+
+def column_prompt(summary: str) -> str:
+    """What an adjudicator is asked about a column, of which it is told names and statistics only."""
+    return (
+        f"Does this database column hold personal data? Its profile, without any of its values: {summary}\n"
+        'Answer with one JSON object and nothing else: {"is_pii": true or false, "confidence": 0 to 1, "rationale": one sentence}.\n'
+    )
+
+
 def first_object(raw: str) -> dict | None:
-    """The first balanced JSON object in an answer, whatever stands around it."""
-    decoder, at = json.JSONDecoder(), raw.find("{")
-    while at >= 0:
-        try:
-            found, _ = decoder.raw_decode(raw, at)
-        except ValueError:
-            at = raw.find("{", at + 1)
-            continue
-        return found if isinstance(found, dict) else None
-    return None
+    """The JSON object that begins at an answer's first brace, whatever stands around it; None if that one doesn't parse."""
+    try:
+        return json.JSONDecoder().raw_decode(raw, raw.index("{"))[0]
+    except ValueError:
+        return None
 
 
 def truth(value: object) -> bool | None:
     """True or false if the value says so; None for all else, so that a verdict is dropped rather than turned round."""
-    if isinstance(value, bool | int | float):
-        return bool(value)
-    word = value.strip().lower() if isinstance(value, str) else ""
-    return True if word in ("true", "yes", "y", "1") else False if word in ("false", "no", "n", "0") else None
+    return SAID.get(value.strip().lower()) if isinstance(value, str) else bool(value) if isinstance(value, bool | int | float) else None
+
+
+def share(value: object) -> float:
+    """A confidence between 0 and 1; 0.5 for what is no number, 0 for the number that is none."""
+    try:
+        number = float(value)
+    except (TypeError, ValueError):
+        return 0.5
+    return 0.0 if math.isnan(number) else min(1.0, max(0.0, number))
+
+
+def occurrences(text: str, part: str) -> list[tuple[int, int]]:
+    """Spans of all verbatim occurrences that don't overlap; none for a blank part."""
+    return [m.span() for m in re.finditer(re.escape(part), text)] if part.strip() else []
 
 
 def entities(raw: str, text: str, engine: str) -> list[dict]:
     """Every verbatim occurrence of what an answer names, with its span; what the text doesn't hold is dropped."""
-    answer = first_object(raw or "") or {}
-    named = answer.get("entities")
-    out: dict[tuple[int, int], dict] = {}
-    for item in named if isinstance(named, list) else []:
-        if not isinstance(item, dict) or item.get("type") not in MODEL_LABELS:
-            continue
-        part = str(item.get("text", ""))
-        at = text.find(part) if part.strip() else -1
-        while at >= 0:
-            out.setdefault((at, at + len(part)), {"entity_type": item["type"], "start": at, "end": at + len(part), "confidence": MODEL_CONFIDENCE, "recognizer": engine})
-            at = text.find(part, at + len(part))
-    return list(out.values())
+    named = (first_object(raw or "") or {}).get("entities")
+    known = [(e["type"], str(e.get("text", ""))) for e in named if isinstance(e, dict) and e.get("type") in MODEL_LABELS] if isinstance(named, list) else []
+    spans = {at: kind for kind, part in reversed(known) for at in occurrences(text, part)}  # of two kinds for a span the first one named
+    return [{"entity_type": kind, "start": a, "end": b, "confidence": MODEL_CONFIDENCE, "recognizer": engine} for (a, b), kind in spans.items()]
 
 
 def verdict(raw: str) -> tuple[bool, float, str] | None:
-    answer = first_object(raw or "")
-    is_pii = truth(answer["is_pii"]) if answer and "is_pii" in answer else None
-    if is_pii is None:
-        return None
-    try:
-        confidence = float(answer.get("confidence", 0.5))
-    except (TypeError, ValueError):
-        confidence = 0.5
-    if math.isnan(confidence):
-        confidence = 0.0
-    return is_pii, min(1.0, max(0.0, confidence)), str(answer.get("rationale", ""))[:500]
+    """(is_pii, confidence, rationale), or None if the answer doesn't say whether the column is personal."""
+    answer = first_object(raw or "") or {}
+    is_pii = truth(answer.get("is_pii"))
+    return None if is_pii is None else (is_pii, share(answer.get("confidence", 0.5)), str(answer.get("rationale", ""))[:500])
 
 
 def windows(text: str) -> list[str]:

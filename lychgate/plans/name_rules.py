@@ -2,34 +2,36 @@
 
 from __future__ import annotations
 
-# Synonyms, entity, category and weight (in ten-thousandths), in order of priority.
-NAME_RULES: tuple[tuple[tuple[str, ...], str | None, str, int], ...] = (
-    (("email", "e_mail", "mail_address"), "EMAIL_ADDRESS", "PII_DIRECT", 4500),
-    (("nric", "fin_no", "uin"), "SG_NRIC", "PII_DIRECT", 4500),
-    (("hkid",), "HK_HKID", "PII_DIRECT", 4500),
-    (("mynumber", "my_number", "kojin_bango"), "JP_MY_NUMBER", "PII_DIRECT", 4500),
-    (("tfn", "tax_file"), "AU_TFN", "PII_DIRECT", 4500),
-    (("medicare",), "AU_MEDICARE", "PII_DIRECT", 4500),
-    (("ssn", "social_security"), "US_SSN", "PII_DIRECT", 4500),
-    (("passport",), "PASSPORT", "PII_DIRECT", 4500),
-    (("credit_card", "card_number", "card_no", "pan"), "CREDIT_CARD", "PII_DIRECT", 4500),
-    (("iban", "account_number", "account_no", "acct_no"), "IBAN", "PII_DIRECT", 4000),
-    (("phone", "mobile", "msisdn", "telephone", "contact_no", "handphone"), "PHONE_NUMBER", "PII_DIRECT", 4000),
-    (("name", "first_name", "last_name", "surname", "given_name", "full_name", "customer_name", "shimei"), "PERSON_NAME", "PII_DIRECT", 3500),
-    (("address", "street", "addr", "jusho", "residential"), "ADDRESS", "PII_DIRECT", 3500),
-    (("dob", "date_of_birth", "birth_date", "birthdate", "birthday", "seinengappi"), "DATE_OF_BIRTH", "PII_QUASI", 4000),
-    (("customer_id", "user_id", "member_id", "cust_id", "client_id", "employee_id"), "GENERIC_ID", "PII_QUASI", 2500),
-    (("postcode", "postal_code", "zip", "zipcode"), None, "PII_QUASI", 3000),
-    (("gender", "sex"), None, "PII_QUASI", 3000),
-    (("nationality", "citizenship", "country_of_birth"), None, "PII_QUASI", 3000),
-    (("age", "birth_year"), None, "PII_QUASI", 2500),
-    (("ip_address", "ip_addr", "client_ip"), "IP_ADDRESS", "PII_QUASI", 3500),
-    (("salary", "income", "remuneration", "wage"), None, "SENSITIVE", 4000),
-    (("health", "diagnosis", "medical", "disease", "icd", "health_condition", "medical_condition"), None, "SENSITIVE", 4500),
-    (("religion", "religious"), None, "SENSITIVE", 4500),
-    (("ethnicity", "race"), None, "SENSITIVE", 4500),
-    (("union", "political"), None, "SENSITIVE", 3500),
-    (("biometric", "fingerprint"), None, "SENSITIVE", 4500),
+from decimal import Decimal
+
+# Synonyms, entity, category and weight, in order of priority.
+NAME_RULES: tuple[tuple[tuple[str, ...], str | None, str, Decimal], ...] = (
+    (("email", "e_mail", "mail_address"), "EMAIL_ADDRESS", "PII_DIRECT", Decimal("0.45")),
+    (("nric", "fin_no", "uin"), "SG_NRIC", "PII_DIRECT", Decimal("0.45")),
+    (("hkid",), "HK_HKID", "PII_DIRECT", Decimal("0.45")),
+    (("mynumber", "my_number", "kojin_bango"), "JP_MY_NUMBER", "PII_DIRECT", Decimal("0.45")),
+    (("tfn", "tax_file"), "AU_TFN", "PII_DIRECT", Decimal("0.45")),
+    (("medicare",), "AU_MEDICARE", "PII_DIRECT", Decimal("0.45")),
+    (("ssn", "social_security"), "US_SSN", "PII_DIRECT", Decimal("0.45")),
+    (("passport",), "PASSPORT", "PII_DIRECT", Decimal("0.45")),
+    (("credit_card", "card_number", "card_no", "pan"), "CREDIT_CARD", "PII_DIRECT", Decimal("0.45")),
+    (("iban", "account_number", "account_no", "acct_no"), "IBAN", "PII_DIRECT", Decimal("0.4")),
+    (("phone", "mobile", "msisdn", "telephone", "contact_no", "handphone"), "PHONE_NUMBER", "PII_DIRECT", Decimal("0.4")),
+    (("name", "first_name", "last_name", "surname", "given_name", "full_name", "customer_name", "shimei"), "PERSON_NAME", "PII_DIRECT", Decimal("0.35")),
+    (("address", "street", "addr", "jusho", "residential"), "ADDRESS", "PII_DIRECT", Decimal("0.35")),
+    (("dob", "date_of_birth", "birth_date", "birthdate", "birthday", "seinengappi"), "DATE_OF_BIRTH", "PII_QUASI", Decimal("0.4")),
+    (("customer_id", "user_id", "member_id", "cust_id", "client_id", "employee_id"), "GENERIC_ID", "PII_QUASI", Decimal("0.25")),
+    (("postcode", "postal_code", "zip", "zipcode"), None, "PII_QUASI", Decimal("0.3")),
+    (("gender", "sex"), None, "PII_QUASI", Decimal("0.3")),
+    (("nationality", "citizenship", "country_of_birth"), None, "PII_QUASI", Decimal("0.3")),
+    (("age", "birth_year"), None, "PII_QUASI", Decimal("0.25")),
+    (("ip_address", "ip_addr", "client_ip"), "IP_ADDRESS", "PII_QUASI", Decimal("0.35")),
+    (("salary", "income", "remuneration", "wage"), None, "SENSITIVE", Decimal("0.4")),
+    (("health", "diagnosis", "medical", "disease", "icd", "health_condition", "medical_condition"), None, "SENSITIVE", Decimal("0.45")),
+    (("religion", "religious"), None, "SENSITIVE", Decimal("0.45")),
+    (("ethnicity", "race"), None, "SENSITIVE", Decimal("0.45")),
+    (("union", "political"), None, "SENSITIVE", Decimal("0.35")),
+    (("biometric", "fingerprint"), None, "SENSITIVE", Decimal("0.45")),
 )
 
 # What to do with a column of each category.

@@ -51,7 +51,7 @@ RECOGNIZERS: tuple[Recognizer, ...] = (
     Recognizer("au_medicare", "AU_MEDICARE", r"(?<!\d)[2-6]\d{3} ?\d{5} ?\d(?: ?/? ?\d)?(?!\d)", 0.98, 0.99, ("medicare",), V.au_medicare, jurisdiction="AU"),
     Recognizer("us_ssn", "US_SSN", r"(?<!\d)\d{3}-\d{2}-\d{4}(?!\d)", 0.8, 0.99, ("ssn", "social security"), V.us_ssn, jurisdiction="US"),
     Recognizer("ip_address", "IP_ADDRESS", rf"{EDGE}\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}{EDGE}", 0.75, 0.95, ("ip", "address", "host", "server", "ipアドレス", "サーバー"), V.ipv4, guard=r"\d\.\d"),
-    Recognizer("phone_intl", "PHONE_NUMBER", rf"(?<![.\p{{L}}\p{{N}}_])\+(?:\d{{1,3}}(?:[ -]\d{{1,4}}){{1,4}}|\d{{8,15}})(?![\d.])", 0.6, 0.8, _PHONE_WORDS, V.phone, guard=r"\+\d"),
+    Recognizer("phone_intl", "PHONE_NUMBER", r"(?<![.\p{L}\p{N}_])\+\d{1,3}(?:[ -]\d{1,4}){1,4}(?![\d.])|(?<![.\p{L}\p{N}_])\+\d{8,15}(?![\d.])", 0.6, 0.8, _PHONE_WORDS, V.phone, guard=r"\+\d"),
     Recognizer("phone_local", "PHONE_NUMBER", r"(?<![.\p{L}\p{N}_])(?:\(\d{2,4}\)[ -]?)?\d{2,4}[ -]\d{3,4}(?:[ -]\d{3,4})?(?![\d.])", 0.5, 0.7, _PHONE_WORDS, V.phone, True),
     Recognizer("passport", "PASSPORT", rf"{EDGE}[A-Z]{{1,2}}\d{{6,8}}{EDGE}", 0.4, 0.6, ("passport", "パスポート", "旅券"), None, True),
     Recognizer("date_of_birth", "DATE_OF_BIRTH", rf"(?i){EDGE}(?:\d{{1,2}}[/-]\d{{1,2}}[/-]\d{{2,4}}|\d{{4}}-\d{{2}}-\d{{2}}|\d{{1,2}} (?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]* \d{{4}}){EDGE}", 0.75, 0.95, ("born", "birth", "dob", "d.o.b", "birthday", "生年月日", "誕生日", "出生"), V.date_of_birth, True),

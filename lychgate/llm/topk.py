@@ -1,13 +1,16 @@
 """Exact top-k inner products by KD-trees over shards.
 
-Vectors are dealt into shards of bounded size by a hash. A shard's tree splits at the median of its widest dimension down to
-leaves with tight bounding boxes. Queries come in blocks; for each block a shard visits leaves in order of the largest inner
-product their box allows, and leaves out those that can't reach a query's k-th best score. That score is first found in one
-shard for all queries and handed on to the others, so that they return only what can still matter.
+The upper levels of one KD-tree, fitted on a bounded sample, deal vectors into shards, so that a shard's bounding box is tight; a
+leaf that got more rows than a shard holds (equal vectors, say) is split by a hash. A shard's own tree - median splits down to
+leaves with tight boxes - is built once and stored with it. Queries come in blocks, dealt by the same upper levels. A block
+searches its own leaf's shard first; from then on each of its queries has a k-th best score, and a shard whose box can't
+reach it is never sent that query. Rounds go on with the shards of the highest bounds, each with the k-th scores of the last,
+until no shard can reach any. A shard visits its leaves in order of their bounds in the same way.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,9 +20,14 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-SHARD_ROWS = 16_384
+#: Vectors in a shard; more where that would make more than about MOST_SHARDS, of which every task knows the boxes.
+SHARD_ROWS, MOST_SHARDS = 16_384, 20_000
 BLOCK_ROWS = 1_024
 LEAF_ROWS = 256
+#: Vectors that the upper levels are fitted on, at most; all are dealt by them. A leaf has some vectors of the sample at least.
+SAMPLE_ROWS, SAMPLE_A_LEAF = 20_000, 8
+#: Most shards that a block is sent to in one round; the first round is one, then it doubles.
+MOST_AT_ONCE = 64
 
 
 class KdTree:
@@ -43,6 +51,14 @@ class KdTree:
         self.low = np.array([self.points[a:b].min(axis=0) for a, b in self.bounds])
         self.high = np.array([self.points[a:b].max(axis=0) for a, b in self.bounds])
 
+    @classmethod
+    def stored(cls, points: np.ndarray, bounds: np.ndarray, low: np.ndarray, high: np.ndarray) -> KdTree:
+        """A tree whose points were put in order when it was made."""
+        tree = cls.__new__(cls)
+        tree.order, tree.points, tree.low, tree.high = np.arange(len(points)), points, low, high
+        tree.bounds = [(int(a), int(b)) for a, b in bounds]
+        return tree
+
     def most(self, q: np.ndarray) -> np.ndarray:
         """For each query and leaf the largest inner product that the leaf's box allows."""
         return np.maximum(q, 0) @ self.high.T + np.minimum(q, 0) @ self.low.T
@@ -94,61 +110,187 @@ def quantised(vectors: DataFrame, scale: int, id_col: str, vector_col: str) -> D
     finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
     good = vectors.where(x.isNotNull() & F.col(id_col).isNotNull() & F.forall(x, lambda c: F.coalesce(finite(c.cast("double")), F.lit(False))))
     v = F.transform(x, lambda c: F.floor(c.cast("double") * scale).cast("double"))
-    return good.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"), F.size(x).alias("dims")).distinct()
+    return good.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"), F.size(x).alias("dims"))
+
+
+class Upper:
+    """Upper levels of a KD-tree: inner nodes in heap order, each with a dimension and a value; equal values go left."""
+
+    def __init__(self, sample: np.ndarray, levels: int):
+        self.levels = levels
+        self.dim, self.value = np.zeros(2**levels - 1, np.int64), np.zeros(2**levels - 1)
+        parts = [sample]
+        for node in range(2**levels - 1):
+            part = parts[node]
+            self.dim[node] = np.argmax(part.max(axis=0) - part.min(axis=0)) if len(part) else 0
+            x = part[:, self.dim[node]]
+            self.value[node] = np.median(x) if len(part) else 0
+            parts += [part[x <= self.value[node]], part[x > self.value[node]]]
+
+    def leaf(self, x: np.ndarray) -> np.ndarray:
+        node = np.zeros(len(x), np.int64)
+        for _ in range(self.levels):
+            node = 2 * node + 1 + (x[np.arange(len(x)), self.dim[node]] > self.value[node])
+        return node - (2**self.levels - 1)
+
+
+def upper_levels(rows: DataFrame, shard_rows: int) -> dict[int, Upper]:
+    """By number of dimensions, for those with more vectors than a shard holds."""
+    sizes = rows.groupBy("dims").agg(F.count("*").alias("n")).where(F.col("n") > shard_rows).collect()  # a row for each such width
+    out = {}
+    for dims, n in sizes:
+        if dims == 0:
+            continue
+        own = rows.where(F.col("dims") == dims)
+        part = own.where(F.pmod(F.xxhash64("vec_id", F.lit("sample")), F.lit(1 << 20)) < math.ceil(min(1.0, 1.2 * SAMPLE_ROWS / n) * (1 << 20)))
+        sample = np.array([r[0] for r in part.select("v").limit(SAMPLE_ROWS).collect()], float).reshape(-1, dims)
+        levels = min(math.ceil(math.log2(n / shard_rows)), int(math.log2(max(1, len(sample) / SAMPLE_A_LEAF))))
+        out[dims] = Upper(sample, max(0, levels))
+    return out
+
+
+def dealt(rows: DataFrame, upper: dict[int, Upper]) -> DataFrame:
+    """Adds leaf, the place in the upper levels; 0 where there are none."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            leaf = np.zeros(len(pdf), np.int32)
+            dims = pdf["dims"].to_numpy()
+            for width, tree in upper.items():
+                at = np.flatnonzero(dims == width)
+                if len(at):
+                    leaf[at] = tree.leaf(np.stack(pdf["v"].to_numpy()[at]))
+            yield pdf.assign(leaf=leaf)
+
+    return rows.mapInPandas(run, "vec_id long, v array<double>, dims int, leaf int")
+
+
+def as_bytes(x: np.ndarray) -> bytes:
+    """Whole numbers as 32-bit floats where these hold them exactly, else as 64-bit ones; the first byte says which."""
+    small = x.astype(np.float32)
+    return b"\4" + small.tobytes() if (np.abs(x) < 2**24).all() else b"\10" + x.astype(np.float64).tobytes()
+
+
+def as_matrix(data: bytes, rows: int) -> np.ndarray:
+    x = np.frombuffer(data, np.float32 if data[:1] == b"\4" else np.float64, offset=1).astype(np.float64)
+    return x.reshape(rows, -1) if len(x) else np.zeros((rows, 1))
+
+
+def packed_shard(pdf: pd.DataFrame) -> pd.DataFrame:
+    x = np.stack(pdf["v"].to_numpy()).reshape(len(pdf), -1)
+    tree = KdTree(x if x.shape[1] else np.zeros((len(pdf), 1)))
+    ids = pdf["vec_id"].to_numpy(np.int64)[tree.order]
+    return pd.DataFrame(
+        [{"dims": pdf["dims"].iloc[0], "leaf": pdf["leaf"].iloc[0], "part": pdf["part"].iloc[0], "ids": ids.tobytes(), "points": as_bytes(tree.points), "runs": np.array(tree.bounds, np.int64).tobytes(),
+          "low": as_bytes(tree.low), "high": as_bytes(tree.high), "box": as_bytes(np.stack([tree.low.min(axis=0), tree.high.max(axis=0)]))}]
+    )
+
+
+def packed_block(pdf: pd.DataFrame) -> pd.DataFrame:
+    x = np.stack(pdf["v"].to_numpy()).reshape(len(pdf), -1)
+    return pd.DataFrame([{"dims": pdf["dims"].iloc[0], "leaf": pdf["leaf"].iloc[0], "part": pdf["part"].iloc[0], "ids": pdf["vec_id"].to_numpy(np.int64).tobytes(), "rows": pdf["query_row"].to_numpy(np.int64).tobytes(), "points": as_bytes(x if x.shape[1] else np.zeros((len(pdf), 1)))}])
 
 
 def top_k(vectors: DataFrame, k: int = 20, query_every: int = 20, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """Per query its k best: query_id, rank (from 1), vec_id, score.
+    """Per query its k best: query_id, rank (from 1), vec_id, score, query_row.
 
     Queries are the rows whose id is divisible by query_every; candidates are all rows of the same number of dimensions but
-    those with the query's id; ties go to the smaller id. Null ids take no part; repeated rows count once; an empty
+    those with the query's id; ties go to the smaller id. Null ids take no part; rows equal in id and vector count once;
+    different vectors under one id are candidates and queries each by itself, which query_row, a hash, tells apart; an empty
     table gives an empty result. Scores are whole numbers, exact below 2^53.
     """
-    spark = vectors.sparkSession
-    rows = materialise(quantised(vectors, scale, id_col, vector_col), "vectors")
-    sizes = {r["dims"]: (r["n"], r["q"]) for r in rows.groupBy("dims").agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % query_every == 0).alias("q")).collect()}  # a row for each width
-    parts = lambda at, per: F.coalesce(*[F.when(F.col("dims") == d, F.lit(max(1, -(-n[at] // per)))) for d, n in sizes.items()], F.lit(1))
-    shards = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), parts(0, SHARD_ROWS)).cast("int"))
-    queries = rows.where(F.col("vec_id") % query_every == 0).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit("q")), parts(1, BLOCK_ROWS)).cast("int"))
+    rows = quantised(vectors, scale, id_col, vector_col).distinct()
+    rows = materialise(rows, "vectors")
+    shard_rows = max(SHARD_ROWS, -(-rows.count() // MOST_SHARDS))
+    rows = materialise(dealt(rows, upper_levels(rows, shard_rows)), "dealt")
+    is_query = F.col("vec_id") % query_every == 0
+    sizes = materialise(rows.groupBy("dims", "leaf").agg(F.count("*").alias("n"), F.count_if(is_query).alias("q")), "leaves")  # a row for each leaf
 
-    def packed(key: str):
-        def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-            x = np.stack(pdf["v"].to_numpy())
-            return pd.DataFrame([{c: int(pdf[c].iloc[0]) for c in ("dims", key)} | {"ids": pdf["vec_id"].to_numpy(np.int64).tobytes(), "m": x.astype(np.float64).tobytes()}])
+    def parts(df: DataFrame, size: str, per: int, salt: str) -> DataFrame:
+        n = F.greatest(F.ceil(F.col(size) / per), F.lit(1)).cast("int")
+        joined = df.join(sizes.select("dims", "leaf", n.alias("_parts")), ["dims", "leaf"])
+        return joined.withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(salt)), "_parts").cast("int")).drop("_parts")
 
-        return pack
+    box = "dims int, leaf int, part int, ids binary, points binary"
+    shards = parts(rows, "n", shard_rows, "shard").groupBy("dims", "leaf", "part").applyInPandas(packed_shard, f"{box}, runs binary, low binary, high binary, box binary")
+    shards = materialise(shards, "shards")
+    asked = parts(rows.where(is_query), "q", BLOCK_ROWS, "block").withColumn("query_row", F.xxhash64("vec_id", "v"))
+    blocks = asked.groupBy("dims", "leaf", "part").applyInPandas(packed_block, f"{box}, rows binary")
+    blocks = materialise(blocks, "blocks")
+    boxes: dict[int, list] = {}
+    for r in shards.select("dims", "leaf", "part", "box").collect():  # two rows of numbers a shard: see MOST_SHARDS
+        boxes.setdefault(r.dims, []).append((r.leaf, r.part, as_matrix(bytes(r.box), 2)))
+    best = None
+    for turn in range(64):
+        sent = materialise(wanted(blocks, boxes, best, k, turn), f"sent-{turn}")
+        if turn and sent.isEmpty():
+            break
+        found = searched(sent, shards, k)
+        found = found if best is None else best.unionByName(found)
+        order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
+        best = materialise(found.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).drop("_n"), f"best-{turn}")
+    else:
+        raise RuntimeError("the search did not settle")
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
+    return best.select("query_id", rank.alias("rank"), "vec_id", F.col("score").cast("long").alias("score"), "query_row")
+
+
+def wanted(blocks: DataFrame, boxes: dict[int, list], best: DataFrame | None, k: int, turn: int) -> DataFrame:
+    """(dims, leaf, part) of the shards a block goes to in this turn, with those of its queries that the shard's box can serve.
+
+    Shards are visited in the order of their bounds for the block, its own leaf first; turn t takes the next 2^t of them, at most
+    MOST_AT_ONCE. That order never changes, so a block needs to know nothing but the turn and its k-th scores.
+    """
+    first = sum(min(2**t, MOST_AT_ONCE) for t in range(turn))
+    last = first + min(2**turn, MOST_AT_ONCE)
+    state = blocks.select("dims", F.col("leaf").alias("home"), F.col("part").alias("block"), "ids", "rows", "points")
+    if best is None:
+        state = state.withColumn("known", F.lit(None).cast("array<struct<query_row: long, floor: double>>"))
+    else:
+        kth = best.groupBy("dims", "home", "block", "query_row").agg(F.min("score").alias("floor"), F.count("*").alias("n")).where(F.col("n") >= k)
+        kth = kth.groupBy("dims", "home", "block").agg(F.collect_list(F.struct("query_row", "floor")).alias("known"))  # a block's own queries
+        state = state.join(kth, ["dims", "home", "block"], "left")
 
-    tables = {}
-    for name, df, key in (("shards", shards, "shard"), ("blocks", queries, "block")):
-        made = df.groupBy("dims", key).applyInPandas(packed(key), f"dims int, {key} int, ids binary, m binary")
-        tables[name] = materialise(made, name)
+    known = {dims: (np.array([x[0] for x in own]), np.array([x[1] for x in own]), np.stack([x[2] for x in own])) for dims, own in boxes.items()}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            out = []
             for r in pdf.itertuples():
-                x, q = (np.frombuffer(b).reshape(-1, max(r.dims, 1)) if r.dims else np.zeros((len(i) // 8, 1)) for b, i in ((r.m, r.ids), (r.qm, r.qids)))
-                own = np.frombuffer(r.qids, np.int64)
-                floor = np.frombuffer(r.kth) if r.kth is not None else np.full(len(own), -np.inf)
-                found = [(own[n], i, s) for n, i, s in search(KdTree(x), np.frombuffer(r.ids, np.int64), q, own, floor, k)]
-                yield pd.DataFrame({"dims": r.dims, "block": r.block, "query_id": np.repeat([f[0] for f in found], [len(f[1]) for f in found]).astype(np.int64), "vec_id": np.concatenate([f[1] for f in found] or [[]]).astype(np.int64), "score": np.concatenate([f[2] for f in found] or [[]])})
-
-    schema = "dims int, block int, query_id long, vec_id long, score double"
-    blocks = tables["blocks"].withColumnsRenamed({"ids": "qids", "m": "qm"})
-    wanted = ["dims", "ids", "m", "block", "qids", "qm", "kth"]
-    # a query block meets one shard first
-    home = blocks.withColumn("shard", F.pmod("block", parts(0, SHARD_ROWS)).cast("int")).withColumn("kth", F.lit(None).cast("binary"))
-    first = materialise(home.join(tables["shards"], ["dims", "shard"]).select(*wanted).repartition(F.col("dims"), F.col("block")).mapInPandas(run, schema), "first")
-
-    def floors(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = np.frombuffer(pdf["qids"].iloc[0], np.int64)
-        kth = {q: s.iloc[0] for q, s in pdf.dropna(subset=["floor"]).set_index("query_id")["floor"].groupby(level=0)}
-        return pd.DataFrame([{"dims": int(pdf["dims"].iloc[0]), "block": int(pdf["block"].iloc[0]), "kth": np.array([kth.get(i, -np.inf) for i in own]).tobytes()}])
-
-    kth = first.groupBy("dims", "block", "query_id").agg(F.min("score").alias("least"), F.count("*").alias("n")).select("dims", "block", "query_id", F.when(F.col("n") >= k, F.col("least")).alias("floor"))
-    known = blocks.select("dims", "block", "qids").join(kth, ["dims", "block"], "left").groupBy("dims", "block").applyInPandas(floors, "dims int, block int, kth binary")
-    away = blocks.join(known, ["dims", "block"]).withColumn("home", F.pmod("block", parts(0, SHARD_ROWS)).cast("int"))
-    away = away.withColumn("shard", F.explode(F.sequence(F.lit(0), parts(0, SHARD_ROWS) - 1))).where("shard <> home")
-    rest = away.join(tables["shards"], ["dims", "shard"]).select("shard", *wanted).repartition(F.col("dims"), F.col("block"), F.col("shard")).select(*wanted).mapInPandas(run, schema)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    both = first.unionByName(rest).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return both.select("query_id", "rank", "vec_id", F.col("score").cast("long").alias("score"))
+                ids, rows = np.frombuffer(r.ids, np.int64), np.frombuffer(r.rows, np.int64)
+                q = as_matrix(r.points, len(ids))
+                floor = np.full(len(ids), -np.inf)
+                if r.known is not None and len(r.known):
+                    told = {x["query_row"]: x["floor"] for x in r.known}
+                    floor = np.array([told.get(i, -np.inf) for i in rows.tolist()])
+                leaf, part, pairs = known[r.dims]
+                bound = np.maximum(q, 0) @ pairs[:, 1].T + np.minimum(q, 0) @ pairs[:, 0].T
+                order = np.lexsort((-bound.max(axis=0), leaf != r.home))
+                for s in order[first:last]:
+                    live = np.flatnonzero(bound[:, s] >= floor)
+                    if len(live):
+                        out.append((r.dims, leaf[s], part[s], r.home, r.block, ids[live].tobytes(), rows[live].tobytes(), as_bytes(q[live]), floor[live].tobytes()))
+                # a later shard may still serve a query: an empty row keeps the rounds going
+                rest = order[last:]
+                if len(rest) and (bound[:, rest] >= floor[:, None]).any():
+                    out.append((r.dims, -1, -1, r.home, r.block, b"", b"", b"", b""))
+            yield pd.DataFrame(out, columns=["dims", "leaf", "part", "home", "block", "qids", "qrows", "q", "kth"])
+
+    return state.mapInPandas(run, "dims int, leaf int, part int, home int, block int, qids binary, qrows binary, q binary, kth binary")
+
+
+def searched(sent: DataFrame, shards: DataFrame, k: int) -> DataFrame:
+    """Scores that may be among a query's k best: dims, home, block, query_id, query_row, vec_id, score."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples():
+                ids, own = np.frombuffer(r.ids, np.int64), np.frombuffer(r.qids, np.int64)
+                runs = np.frombuffer(r.runs, np.int64).reshape(-1, 2)
+                tree = KdTree.stored(as_matrix(r.points, len(ids)), runs, as_matrix(r.low, len(runs)), as_matrix(r.high, len(runs)))
+                hits = list(search(tree, ids, as_matrix(r.q, len(own)), own, np.frombuffer(r.kth), k))
+                at, many = [h[0] for h in hits], [len(h[1]) for h in hits]
+                yield pd.DataFrame({"dims": r.dims, "home": r.home, "block": r.block, "query_id": np.repeat(own[at], many), "query_row": np.repeat(np.frombuffer(r.qrows, np.int64)[at], many), "vec_id": np.concatenate([h[1] for h in hits]).astype(np.int64), "score": np.concatenate([h[2] for h in hits])})
+
+    pairs = sent.where("leaf >= 0").join(shards, ["dims", "leaf", "part"])
+    return pairs.select("dims", "home", "block", "qids", "qrows", "q", "kth", "ids", "points", "runs", "low", "high").mapInPandas(run, "dims int, home int, block int, query_id long, query_row long, vec_id long, score double")

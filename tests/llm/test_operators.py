@@ -446,7 +446,8 @@ def vectors(spark):
     rng = np.random.default_rng(2)
     rows = [(k, rng.normal(0, 0.2, 8).tolist()) for k in range(700)]
     rows += [(k, [0.5] * 8) for k in range(700, 1100)]
-    rows += [(1100, None), (1120, [0.1, None] * 4), (1140, [float("nan")] * 8), (1160, [float("inf")] * 8), (1180, []), (None, [0.1] * 8), (1200, [0.1] * 5), (1203, [0.2] * 5), rows[20]]
+    rows += [(1100, None), (1120, [0.1, None] * 4), (1140, [float("nan")] * 8), (1160, [float("inf")] * 8), (1180, []), (None, [0.1] * 8), (1200, [0.1] * 5), (1203, [0.2] * 5), rows[20], (1220, [300000.0] * 8)]
+    rows += [(40, [0.3] * 8), (41, [0.4] * 8)]  # other vectors under ids that are there already
     return spark.createDataFrame(rows, "vec_id long, embedding array<double>"), rows
 
 
@@ -461,7 +462,36 @@ def test_top_k_matches_brute_force(spark, monkeypatch, size):
         if q % 20 == 0:
             scores = sorted((-int(np.dot(x, y)) if x else 0, i) for i, y in good if i != q and len(y) == len(x))[:20]
             want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scores)]
-    assert sorted(tuple(r) for r in topk.top_k(df).collect()) == sorted(want)
+    got = topk.top_k(df).collect()
+    assert sorted(tuple(r)[:4] for r in got) == sorted(want)
+    assert len({r.query_row for r in got if r.query_id == 40}) == 2
+
+
+def test_search_of_clustered_vectors_meets_few_shards(spark, monkeypatch):
+    """Shards have tight boxes, so that most pairs of block and shard are never sent; what is found is whole."""
+    monkeypatch.setattr(topk, "SHARD_ROWS", 200)
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 50)
+    rng = np.random.default_rng(6)
+    centres = rng.normal(0, 1, (40, 16))
+    x = centres[rng.integers(0, 40, 6000)] + rng.normal(0, 0.03, (6000, 16))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    shards, pairs = [], []
+    send, plain = topk.wanted, topk.materialise
+
+    def count(blocks, boxes, best, k, turn):
+        out = plain(send(blocks, boxes, best, k, turn), "counted")
+        pairs.append(out.where("leaf >= 0").count())
+        shards[:] = [blocks.count(), sum(map(len, boxes.values()))]
+        return out
+
+    monkeypatch.setattr(topk, "wanted", count)
+    got = topk.top_k(df).collect()
+    assert sum(pairs) < 0.4 * shards[0] * shards[1], (pairs, shards)
+    v = np.floor(64 * x)
+    score = v[::20] @ v.T
+    for q in range(0, 6000, 20):
+        own = sorted((-int(s), i) for i, s in enumerate(score[q // 20]) if i != q)[:20]
+        assert [(r.vec_id, r.score) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == [(i, -s) for s, i in own]
 
 
 def test_license_scan(spark):

@@ -8,10 +8,10 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import scan_sql
+from . import classify_sql, scan_sql
 from .functions import validators as V
 from .operators import classify, detect, evaluate, images, policy, profile, redact
-from .plans.recognizers import RECOGNIZERS, select
+from .plans.recognizers import JURISDICTIONS, RECOGNIZERS, select
 from .sources import router
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -218,6 +218,22 @@ CROWD = ("au_tfn", "passport", "jp_my_number", "phone_local", "us_ssn", "hk_hkid
 CROWD_SQL = "SELECT o_orderkey AS k, 'phone, passport, tfn: ' || " + " || ' ' || ".join(f"({SENTENCES[n][1]})" for n in CROWD) + " || ' end' AS t FROM orders"
 
 
+def scan_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings in the crowded sentences by jurisdiction pack."""
+    out = None
+    for pack in JURISDICTIONS:
+        parts = [SENTENCES[n][0](F.col("o_orderkey")) for n in CROWD]
+        df = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("phone, passport, tfn: "), F.concat_ws(" ", *parts), F.lit(" end")).alias("text"))
+        one = detect.each(detect.scan(df, recognizers=select([pack])), "findings").groupBy(F.lit(pack).alias("pack"), F.col("f.entity_type").alias("entity")).agg(F.count("*").alias("n"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def packs_sql() -> str:
+    one = lambda p: f"SELECT '{p}' AS pack, entity_type AS entity, count(*) AS n FROM ({scan_sql.rows(CROWD_SQL, 'o_orderkey', [r.name for r in select([p])])}) GROUP BY entity_type"
+    return " UNION ALL ".join(map(one, JURISDICTIONS))
+
+
 def egress_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = policy.decide(detect.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return detect.each(df, "reasons", "doc_id", name="r").select("doc_id", "r.*")
@@ -270,6 +286,67 @@ def fail_on_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.roll_up(classify.classify(profiles(spark, sf_dir, "region", "nation", "customer")))
 
 
+#: Columns of known kinds made from the keys of orders, by expressions that Spark and SQL have in common.
+MADE_COLUMNS = {
+    "custEmail": "concat('u', o_orderkey, '@example.com')",
+    "x1": "concat('v', o_orderkey, '@example.org')",
+    "x2": "CASE WHEN o_orderkey % 5 < 2 THEN concat('w', o_orderkey, '@example.net') ELSE 'none given' END",
+    "homeSSN": "concat(lpad(CAST(o_orderkey * 7 % 1000 AS STRING), 3, '0'), '-', lpad(CAST(o_orderkey % 90 + 10 AS STRING), 2, '0'), '-', lpad(CAST(o_orderkey % 9000 + 1 AS STRING), 4, '0'))",
+    "x3": "concat(lpad(CAST(o_orderkey % 10000 AS STRING), 4, '0'), ' ', lpad(CAST(o_orderkey * 7 % 10000 AS STRING), 4, '0'))",
+    "startedOn": "concat('20', lpad(CAST(o_orderkey % 30 AS STRING), 2, '0'), '-0', CAST(o_orderkey % 9 + 1 AS STRING), '-1', CAST(o_orderkey % 10 AS STRING))",
+    "birth_date": "concat('19', CAST(o_orderkey % 60 + 40 AS STRING), '-0', CAST(o_orderkey % 9 + 1 AS STRING), '-2', CAST(o_orderkey % 9 AS STRING))",
+    "client_ip": "concat('10.', o_orderkey % 256, '.', o_orderkey * 7 % 300, '.1')",
+    "Gender": "CASE WHEN o_orderkey % 2 = 0 THEN 'female' ELSE 'male' END",
+    "monthlySalary": "CAST(o_orderkey % 5000 * 10 AS STRING)",
+    "diagnosis": "concat('case ', o_orderkey % 400)",
+    "isOpen": "CASE WHEN o_orderkey % 3 = 0 THEN 'Yes' ELSE 'n' END",
+    "remark": "CASE WHEN o_orderkey % 4 > 0 THEN ' ' END",
+    "passportNo": "concat('K', lpad(CAST(o_orderkey AS STRING), 7, '0'))",
+    "branch": "concat('B', o_orderkey % 40)",
+    "amount": "concat(CAST(o_orderkey % 9 + 1 AS STRING), ',', lpad(CAST(o_orderkey % 1000 AS STRING), 3, '0'), '.50')",
+}
+MADE_SQL = [("orders", name, value) for name, value in MADE_COLUMNS.items()]
+TABLE_SQL = [
+    (t, c, c)
+    for t, names in {
+        "region": "r_regionkey r_name",
+        "nation": "n_nationkey n_name n_regionkey",
+        "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment",
+        "supplier": "s_suppkey s_name s_nationkey s_acctbal",
+        "part": "p_partkey p_name p_brand p_type p_size p_retailprice",
+        "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
+        "events": "event_id ts user_id event_type value props",
+    }.items()
+    for c in names.split()
+]
+
+
+def made_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "orders").select(*[F.expr(value).alias(name) for name, value in MADE_COLUMNS.items()])
+    return profile.profile(profile.long_form(df, "orders", sample=None), pattern_sample=None, type_sample=None)
+
+
+def profile_made(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = F.array_join(F.transform("pattern_hits", lambda h: h["entity"]), " ")
+    return made_profiles(spark, sf_dir).select("column", "inferred_type", "digit_ratio", "alpha_ratio", "distinct_count", "null_count", "best_ratio", hits.alias("hits"))
+
+
+def classify_made(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify.classify(made_profiles(spark, sf_dir)).select("column", "category", "score", "entity_type", "needs_review", "recommended_action")
+
+
+def classify_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = detect.each(classify.classify(made_profiles(spark, sf_dir)), "signals", "column", name="s")
+    return df.select("column", "s.code", F.col("s.weight").cast("double").alias("weight"))
+
+
+def adjudicated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The made columns with verdicts for all of them, of which only those in the review band count."""
+    p = made_profiles(spark, sf_dir)
+    verdicts = p.select("table", "column", F.lit(True).alias("is_pii"), F.lit(0.8).alias("confidence"), F.lit("said so").alias("rationale"))
+    return classify.classify(p, verdicts).select("column", "category", "score", "needs_review", "llm_adjudicated")
+
+
 def adjudication_nudge(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = profiles(spark, sf_dir, "nation")
     first = classify.classify(p)
@@ -370,6 +447,11 @@ QUERIES: dict[str, Query] = {
     "infer_type": infer_type,
     "classify_columns": classify_columns,
     "fail_on_pii": fail_on_pii,
+    "profile_made": profile_made,
+    "classify_made": classify_made,
+    "classify_signals": classify_signals,
+    "adjudicated": adjudicated,
+    "scan_packs": scan_packs,
     "adjudication_nudge": adjudication_nudge,
     "model_findings_cap": model_findings_cap,
     "deterministic_sample": deterministic_sample,
@@ -401,7 +483,15 @@ ORACLES: dict[str, str] = {
     "profile_columns": PROFILE_SQL,
     "infer_type": TYPE_SQL,
     "model_findings_cap": "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE 1 END AS n, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 0.85::DOUBLE END AS confidence, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE left(c_name, CAST(len(c_name) - c_custkey % 3 + 1 AS INTEGER)) END AS found FROM customer",
-    "adjudication_nudge": "SELECT * FROM (VALUES ('n_name', 'PII_DIRECT', 0.62::DOUBLE, false, true), ('n_nationkey', 'NON_PII', 0.0::DOUBLE, false, false), ('n_regionkey', 'NON_PII', 0.0::DOUBLE, false, false)) AS t(\"column\", category, score, needs_review, llm_adjudicated)",
+    "adjudication_nudge": classify_sql.classified([c for c in TABLE_SQL if c[0] == "nation"], 0.8) + 'SELECT "column", category, score, needs_review, llm_adjudicated FROM cls',
+    "adjudicated": classify_sql.classified(MADE_SQL, 0.8) + 'SELECT "column", category, score, needs_review, llm_adjudicated FROM cls',
+    "classify_columns": classify_sql.classified(TABLE_SQL) + 'SELECT "table", "column", category, score, entity_type, needs_review, recommended_action FROM cls',
+    "fail_on_pii": classify_sql.classified([c for c in TABLE_SQL if c[0] in ("region", "nation", "customer")]) + classify_sql.ROLLED_UP,
+    "profile_made": classify_sql.profiles(MADE_SQL) + """ SELECT "column", inferred_type, digit_ratio, alpha_ratio, kinds AS distinct_count, total - nn AS null_count, best.r AS best_ratio,
+      coalesce(list_aggregate(list_transform(list_sort(list_transform(hits, lambda h: {'a': -h.r, 'k': h.k, 'e': h.e})), lambda h: h.e), 'string_agg', ' '), '') AS hits FROM prof""",
+    "classify_made": classify_sql.classified(MADE_SQL) + 'SELECT "column", category, score, entity_type, needs_review, recommended_action FROM cls',
+    "classify_signals": classify_sql.classified(MADE_SQL) + 'SELECT "column", code, weight FROM sign',
+    "scan_packs": packs_sql(),
     "deterministic_sample": "SELECT c_name AS value FROM customer ORDER BY c_name IS NULL, sha256(c_name), octet_length(encode(c_name)), hex(encode(c_name)) LIMIT 500",
     "name_rules": NAME_RULES_SQL,
     "eval_precision_recall": EVAL_SQL,

@@ -1,14 +1,15 @@
 """License scans, with DataFrame operations only.
 
 Whole texts are cut into overlapping windows, of a length for each template; MinHash bands of a window's word shingles
-retrieve templates; exact shingle containment verifies them. Only texts that have a word of every template's kind are read
-further, and only windows that hold a template's shingle are signed: others share no minimum with any template.
+retrieve templates; exact shingle containment verifies them.
+
+A band is one minimum. It can only collide where a window holds the very shingle that is the template's minimum, so the bands
+are an index of BANDS shingles for each template, which every shingle of every text is looked up in; a window around a hit
+collides if none of its other shingles has a smaller hash. No template adds to the plan: they are rows of a table.
 """
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +20,9 @@ CONTAINED = 0.8
 #: A window of L + L / 4 words holds an occurrence of L words whole, so its similarity to the template is at least
 #: 0.8 x 0.8 = 0.64 where containment is 0.8: 32 bands of one minimum leave out one in 10^14 occurrences, and one in 10^5
 #: at a similarity of 0.3.
-ROWS, BANDS = 1, 32
+BANDS = 32
+#: Rows of the index (BANDS a template) up to which it is sent to all executors; a larger one is joined.
+INDEX_HELD = 200_000
 
 #: Common short license notices.
 TEMPLATES = {
@@ -46,100 +49,69 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
 
 
-def shingles(ws: Column) -> Column:
-    """Hashes of all SHINGLE-word runs, by position; none if there are fewer words."""
-    at = F.when(F.size(ws) >= SHINGLE, F.sequence(F.lit(0), F.size(ws) - SHINGLE)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.xxhash64(*[F.get(ws, i + k) for k in range(SHINGLE)]))
-
-
-def minima(hashes: Column) -> Column:
-    """The least hash of a set for each of BANDS x ROWS hash functions."""
-    seeds = F.sequence(F.lit(0), F.lit(BANDS * ROWS - 1))
-    return F.transform(seeds, lambda s: F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, s))))
-
-
-def band_keys(minima: Column) -> Column:
-    """BANDS keys of ROWS minima each."""
-    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.slice(minima, b * ROWS + 1, F.lit(ROWS))))
-
+def shingles(marks: Column, k: Column | int) -> Column:
+    """Hashes of all runs of k (at most SHINGLE) marks of words, by position; none if there are fewer words."""
+    n = F.size(marks) - k + 1
+    at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: F.xxhash64(*[F.when(F.lit(j) < k, F.get(marks, i + j)) for j in range(SHINGLE)]))
 
-def template_words(text: str) -> list[str]:
-    return re.findall(r"[^\W_]+", text.lower())
 
+def once(df: DataFrame, made: Column, name: str, *keep: str) -> DataFrame:
+    """df with a column that is made once a row: passed through a generator, no lambda or filter makes it anew."""
+    return df.select(*keep, F.explode(F.array(made)).alias(name))
 
-def telling_pattern(templates: dict[str, str]) -> str:
-    """A pattern that every text with a shingle of a template matches: a long word of each shingle, else the shingle itself."""
-    left = {tuple(ws[i : i + SHINGLE]) for ws in map(template_words, templates.values()) for i in range(len(ws) - SHINGLE + 1)}
-    out = []
-    while left:
-        found: dict[str, int] = {}
-        for s in left:
-            for w in {w for w in s if len(w) >= 5}:
-                found[w] = found.get(w, 0) + 1
-        if not found:
-            break
-        best = max(found, key=lambda w: (min(len(w), 7) + found[w] / len(left) * 4, w))
-        out.append(best)
-        left = {s for s in left if best not in s}
-    phrases = ["[^\\p{L}\\p{N}]+".join(s) for s in sorted(left)]
-    return "(?i)(?<![\\p{L}\\p{N}])(?:" + "|".join([*out, *phrases]) + ")(?![\\p{L}\\p{N}])"
 
+def least_of(hashes: Column, seed: Column) -> Column:
+    """The least hash of a set by the hash function of a seed."""
+    return F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, seed)))
 
-def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
-    """license, length, step, t_shingles: as many rows as there are templates."""
-    rows = [(name, text, n := len(template_words(text)), max(1, n // 4)) for name, text in templates.items() if len(template_words(text)) >= SHINGLE]
-    table = spark.createDataFrame(rows, "license string, body string, length int, step int").withColumn("ws", words(F.col("body")))
-    table = materialise(table, "template-words")
-    return materialise(table.select("license", "length", "step", F.array_distinct(shingles(F.col("ws"))).alias("t_shingles")), "templates")
 
+def template_index(spark: SparkSession, templates: DataFrame) -> DataFrame:
+    """license, k, wide, step, t_shingles, seed, least, shingle: BANDS rows a template, of templates (license, body).
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, contained: float = CONTAINED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    k is the shingle's length, less than SHINGLE only where a template has fewer words; a template without words is refused.
+    """
+    marked = once(templates, F.transform(words(F.col("body")), lambda w: F.xxhash64(w)), "marks", "license")
+    marked = materialise(marked.withColumn("k", F.least(F.size("marks"), F.lit(SHINGLE))), "template-words")
+    if bare := [r[0] for r in marked.where("k = 0").select("license").take(5)]:
+        raise ValueError(f"templates without a word: {', '.join(map(str, bare))}")
+    step = F.greatest(F.floor(F.size("marks") / 4).cast("int"), F.lit(1))
+    made = once(marked.withColumn("step", step).withColumn("wide", F.size("marks") + step - F.col("k")), F.array_distinct(shingles(F.col("marks"), F.col("k"))), "t_shingles", "license", "k", "wide", "step")
+    made = made.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))))
+    made = once(made, least_of(F.col("t_shingles"), F.col("seed")), "least", "license", "k", "wide", "step", "t_shingles", "seed")
+    shingle = F.get(F.filter("t_shingles", lambda h: F.xxhash64(h, F.col("seed")) == F.col("least")), F.lit(0))
+    return materialise(made.withColumn("shingle", shingle), "template-index")
+
+
+def scan(docs: DataFrame, templates: DataFrame | dict[str, str] | None = None, contained: float = CONTAINED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document and license found: doc_id, license, containment (best window), word (where that window begins), windows.
 
-    Texts are compared as lower-case runs of letters and digits. Null, empty and shorter texts hold no license; rows that share an
-    id, a null one too, are reported together; other columns are not read; an empty table gives an empty result.
+    templates: (license, body), of any number and length. Texts are compared as lower-case runs of letters and digits. Null, empty
+    and shorter texts hold no license; rows that share an id, a null one too, are reported together; other columns are not read;
+    an empty table gives an empty result. Everything up to the last count is local to a row.
     """
     spark = docs.sparkSession
-    templates = TEMPLATES if templates is None else templates
-    table = template_table(spark, templates)
-    known = [(r["license"], r["length"], r["step"], r["t_shingles"]) for r in table.collect()]  # the templates themselves
-    some = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).where(F.col("t").rlike(telling_pattern(templates)))
-    # words and shingles pass through a generator, so that they are made once a row and no lambda makes them anew
-    some = some.select("doc_id", F.explode(F.array(words(F.col("t")))).alias("ws"))
-    hashed = some.select("doc_id", F.explode(F.array(shingles(F.col("ws")))).alias("h"))
-    everything = F.array(*[F.lit(h) for h in sorted({h for _, _, _, hs in known for h in hs})]).cast("array<long>")
-    hits = F.filter(F.transform("h", lambda h, i: F.when(F.array_contains(everything, h), F.struct(i.alias("i"), h.alias("h")))), lambda x: x.isNotNull())
-    signed = materialise(hashed.where(F.arrays_overlap("h", everything)).withColumn("hits", hits), "hits")
-    # starts of windows that hold a shingle of a template, by template
-    per = []
-    for _, length, step, hs in known:
-        wide = length + step - SHINGLE  # shingles in a window
-        starts = F.flatten(F.transform(_holding(hs), _starts(step, wide)))
-        per.append(F.transform(F.array_distinct(starts), _window(wide)))
-    windows = signed.select("doc_id", F.explode(F.array_distinct(F.concat(*per))).alias("w"), "h")
-    windows = windows.select("doc_id", "w.start", "w.wide", F.array_distinct(F.slice("h", F.col("w.start") + 1, F.col("w.wide"))).alias("shingles"))
-    windows = materialise(windows, "license-windows")
-    signatures = materialise(windows.withColumn("m", minima(F.col("shingles"))), "license-minima")
-    signatures = signatures.select("doc_id", "start", "wide", "shingles", F.explode(band_keys(F.col("m"))).alias("band"))
-    keys = materialise(table.withColumn("m", minima(F.col("t_shingles"))), "template-minima")
-    keys = keys.select("license", (F.col("length") + F.col("step") - SHINGLE).alias("wide"), "t_shingles", F.explode(band_keys(F.col("m"))).alias("band"))
-    found = signatures.join(F.broadcast(keys), ["band", "wide"])  # as many rows as templates x BANDS
-    share = F.size(F.array_intersect("shingles", "t_shingles")) / F.size("t_shingles")
-    found = found.select("doc_id", "start", "license", share.alias("containment")).where(F.col("containment") >= contained)
+    if not isinstance(templates, DataFrame):
+        templates = spark.createDataFrame(list((TEMPLATES if templates is None else templates).items()), "license string, body string")
+    index = template_index(spark, templates)
+    held = index.count() <= INDEX_HELD
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).where("t IS NOT NULL")
+    marked = once(texts, F.transform(words(F.col("t")), lambda w: F.xxhash64(w)), "marks", "doc_id")
+    found = None
+    for (k,) in index.select("k").distinct().collect():  # at most SHINGLE lengths, one unless a template is very short
+        own = index.where(F.col("k") == k).drop("k")
+        placed = once(marked, shingles(F.col("marks"), k), "h", "doc_id").select("doc_id", "h", F.posexplode("h").alias("i", "shingle"))
+        hits = placed.join(F.broadcast(own) if held else own, "shingle")
+        starts = F.sequence(F.ceil(F.greatest(F.col("i") - F.col("wide") + 1, F.lit(0)) / F.col("step")).cast("int"), F.floor(F.col("i") / F.col("step")).cast("int"))
+        near = hits.select("doc_id", "license", "h", "wide", "seed", "least", "t_shingles", F.explode(F.transform(starts, lambda s: s * F.col("step"))).alias("start"))
+        window = F.array_distinct(F.slice("h", F.col("start") + 1, F.col("wide")))
+        near = once(near, window, "window", "doc_id", "license", "start", "seed", "least", "t_shingles")
+        near = near.where(least_of(F.col("window"), F.col("seed")) == F.col("least"))
+        share = F.size(F.array_intersect("window", "t_shingles")) / F.size("t_shingles")
+        part = near.select("doc_id", "license", "start", share.alias("containment")).where(F.col("containment") >= contained)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = texts.select("doc_id", F.lit("").alias("license"), F.lit(0).alias("start"), F.lit(0.0).alias("containment")).limit(0)
     best = F.max(F.struct("containment", (-F.col("start")).alias("s")))
     out = found.groupBy("doc_id", "license").agg(best.alias("b"), F.count_distinct("start").alias("windows"))
     return out.select("doc_id", "license", F.col("b.containment").alias("containment"), (-F.col("b.s")).cast("int").alias("word"), "windows")
-
-
-def _holding(hs: list[int]) -> Column:
-    mine = F.array(*[F.lit(h) for h in hs]).cast("array<long>")
-    return F.filter("hits", lambda x: F.array_contains(mine, x["h"]))
-
-
-def _starts(step: int, wide: int):
-    """Starts (multiples of step) of the windows of `wide` shingles that hold the hit."""
-    return lambda x: F.sequence(F.ceil(F.greatest(x["i"] - (wide - 1), F.lit(0)) / step).cast("int") * step, F.floor(x["i"] / step).cast("int") * step, F.lit(step))
-
-
-def _window(wide: int):
-    return lambda s: F.struct(s.alias("start"), F.lit(wide).alias("wide"))

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 SPACE = "[\\x20\\x09-\\x0D]+"
-#: Buckets of the shuffle hash (60 bits, by its high ten) within a source, and of a unit of finish time within the queue.
-BUCKETS = 1024
+#: Bits of the shuffle hash (of 60, the high ones) that make buckets within a source, and of buckets of a unit of finish time
+#: within the queue: ten, and more where a bucket would have more than BUCKET_ROWS rows.
+BUCKET_BITS, BUCKET_ROWS = 10, 200_000
 #: Copies that finish later than this multiple of the time at which all targets are met are not queued.
 HORIZON = 2.0
 
@@ -74,8 +75,9 @@ def mix(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = (1, 2, 3), r
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), text_hash(F.col(text_col)).alias("_text"))
     key = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), "_text", F.lit(str(seed)))), 1, 15), 16, 10).cast("long")
     rows = materialise(rows.withColumn("_key", key), "sizes")
+    bits = max(BUCKET_BITS, (rows.count() // BUCKET_ROWS).bit_length())
     goal = materialise(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, repeats, share), "targets")
-    keyed = rows.withColumn("_bucket", F.shiftright("_key", 50).cast("int"))
+    keyed = rows.withColumn("_bucket", F.shiftright("_key", 60 - bits).cast("int"))
     queued = running(keyed, ["source"], "_bucket", ["_key", "doc_id", "size", "_text"], "size", "_queued").alias("q")
     goals = goal.alias("g")
     queued = queued.join(goals, F.col("q.source").eqNullSafe(F.col("g.source"))).select("q.doc_id", "q.source", "q.size", "q._key", "q._text", "q._queued", "g.source_size", "g.target")
@@ -83,7 +85,7 @@ def mix(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = (1, 2, 3), r
     copies = queued.where("size > 0 AND target > 0").withColumn("_pass", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     copies = copies.withColumn("_finish", (F.col("_pass") * F.col("source_size") + F.col("_queued")) / F.col("target"))
     # all sources reach their target at time 1; what would only finish at twice that time is never near it, so it isn't queued
-    copies = copies.where(F.col("_finish") <= HORIZON).withColumn("_slot", F.floor(F.col("_finish") * BUCKETS).cast("int"))
+    copies = copies.where(F.col("_finish") <= HORIZON).withColumn("_slot", F.floor(F.col("_finish") * 2**bits).cast("int"))
     order = ["_finish", "source", "_key", "doc_id", "_text", "size"]
     taken = running(copies, [], "_slot", order, "size", "_total")
     words = goal.agg(F.sum("source_size")).first()[0] or 0  # one number

@@ -27,8 +27,8 @@ from .common import materialise, text_slices
 
 CAPACITY = 2048
 GRID_CELLS = 256
-#: Hash buckets of a length within which ranks are counted.
-SALTS = 256
+#: Hash buckets of a length within which ranks are counted: at least SALTS, and more where pieces are many.
+SALTS, SALT_ROWS = 256, 200_000
 #: Beyond the Latin blocks the two libraries may know different letters, so such texts go to the tokenizer file itself.
 _OTHER = re.compile(r"[^\x00-\u024f]|[\x1c-\x1f\x85]")
 #: Fixed value: the published split of byte-level BPE with 50,257 ids.
@@ -228,7 +228,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     table = places(plan(counts, capacity))
     schema = "length long, runs array<struct<rank: long, first: long, at: long>>"
     runs = spark.createDataFrame(table, schema)  # a row for each length, with a few runs each: bounded by capacity
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "start", F.col("ids_crc32")), F.lit(SALTS)).cast("int"))
+    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "start", F.col("ids_crc32")), F.lit(max(SALTS, sum(counts.values()) // SALT_ROWS))).cast("int"))
     within = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     sums = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))

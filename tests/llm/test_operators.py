@@ -504,6 +504,30 @@ def test_license_scan(spark):
     low = {(r.doc_id, r.license) for r in licenses.scan(df, contained=0.6).collect()}
     assert (1, "MIT-grant") in low
     assert licenses.scan(df.limit(0)).count() == 0
+    assert licenses.scan(df, {}).count() == 0
+
+
+def test_bands_retrieve_and_containment_verifies(made, spark, monkeypatch):
+    """Long and very short templates, in a table; occurrences with changed words; without bands nothing is found."""
+    long = [made.prose(400).split() for _ in range(30)]
+    templates = spark.createDataFrame([(f"t{k}", " ".join(w)) for k, w in enumerate(long)] + [("short", "All rights reserved"), ("one", "Unlicensed")], "license string, body string")
+    rows, want = [], set()
+    for k, w in enumerate(long):
+        changed = list(w)
+        for at in range(0, 400, 40 if k % 2 else 8):
+            changed[at] = "other"
+        rows.append((k, f"{made.prose(30 * k)} {' '.join(changed)} {made.prose(50)}"))
+        if k % 2:
+            want.add((k, f"t{k}"))  # ten changed words leave 350 of 396 shingles, fifty hardly any
+    rows += [(100, "x (c) 2020. ALL RIGHTS\nRESERVED."), (101, "all rights are reserved"), (102, "it is unlicensed")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.license) for r in licenses.scan(df, templates).collect()} == want | {(100, "short"), (102, "one")}
+    monkeypatch.setattr(licenses, "INDEX_HELD", 0)
+    assert licenses.scan(df, templates).count() == len(want) + 2
+    with pytest.raises(ValueError, match="nothing"):
+        licenses.scan(df, {"nothing": "..."})
+    monkeypatch.setattr(licenses, "least_of", lambda hashes, seed: F.lit(1).cast("long") + seed)
+    assert licenses.scan(df, templates).count() == 0
 
 
 def test_sharding(docs, rows):
@@ -514,6 +538,11 @@ def test_sharding(docs, rows):
         assert r.law == "bytes" and r.grown_shard is None
         by[r.shard].append(r.slot)
     assert all(sorted(s) == list(range(len(s))) for s in by.values())
+    load = Counter()
+    for r in got:
+        load[r.shard] += r["size"]
+    most = max(r["size"] for r in got)
+    assert len(load) == 4 and max(load.values()) <= max(most, sum(load.values()) / 4) + most
     assert sharding.shard(docs.limit(0)).count() == 0
 
 
@@ -539,15 +568,50 @@ def test_sharding_spreads_null_and_repeated_ids(made, spark):
 
 def test_slot_map_is_even_and_edited_little(made):
     sizes = [made.rng.randint(50, 150) for _ in range(sharding.SLOTS)]
-    one = sharding.first_map(sizes, 16)
+    one = sharding.rebalance([k % 16 for k in range(sharding.SLOTS)], sizes, 16)
     load = np.bincount(one, weights=sizes)
     assert load.max() / load.min() < 1.01
     two = sharding.rebalance(one, sizes, 17)
     moved = [k for k in range(sharding.SLOTS) if one[k] != two[k]]
-    assert {two[k] for k in moved} == {16}
+    assert sum(two[k] == 16 for k in moved) > 0.9 * len(moved)
     load = np.bincount(two, weights=sizes)
-    assert load.max() / load.min() < 1.03 and len(moved) < sharding.SLOTS / 16
+    assert load.max() / load.min() < 1.03 and len(moved) < sharding.SLOTS / 14
     assert sharding.rebalance(one, sizes, 16) == one
+    less = sharding.rebalance(two, sizes, 11)
+    load = np.bincount(less, weights=sizes)
+    assert len(load) == 11 and load.max() / load.min() < 1.03
+    assert sum(two[k] != less[k] for k in range(sharding.SLOTS)) < 1.2 * sum(shard >= 11 for shard in two)
+
+
+def test_stored_map_is_read_edited_and_kept(made, spark, tmp_path, monkeypatch):
+    """Runs over one stored map: the same again, grown records, more shards, fewer shards; rows are even and numbered each time."""
+    monkeypatch.setattr(sharding, "PART_ROWS", 1)
+    monkeypatch.setattr(sharding, "SLOTS", 512)
+    path = f"file://{tmp_path}/map"
+    monkeypatch.setattr(sharding.slotted, "__defaults__", (512,))
+    rows = [(k, made.prose(20)) for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    grown = spark.createDataFrame([(k, t + " more" * (40 if k % 9 == 0 else 0)) for k, t in rows], "doc_id long, text string")
+    versions, before = [], None
+    for table, shards in ((df, 8), (df, 8), (grown, 8), (grown, 9), (grown, 6)):
+        got = sharding.shard(table, shards, path).collect()
+        load, places = Counter(), defaultdict(list)
+        for r in got:
+            load[r.shard] += r["size"]
+            places[r.shard].append(r.slot)
+        assert set(load) == set(range(shards)) and max(load.values()) < 1.05 * min(load.values())
+        assert all(sorted(p) == list(range(len(p))) for p in places.values())
+        version = {r.map_version for r in got}
+        assert len(version) == 1
+        versions += version
+        now = {r.doc_id: (r.virtual_slot, r.shard) for r in got}
+        if before:
+            assert all(now[d][0] == before[d][0] for d in now)
+            assert (sum(now[d] != before[d] for d in now) == 0) == (versions[-1] == versions[-2])
+        before = now
+    assert versions[0] == versions[1] and len(set(versions)) == 4 and versions == sorted(versions)
+    assert sharding.latest_map(spark, path)[0] == versions[-1]
+    assert [r[0] for r in spark.read.parquet(path).groupBy("version").count().select("count").distinct().collect()] == [512]
 
 
 def test_archive(spark):

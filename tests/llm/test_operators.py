@@ -66,25 +66,43 @@ def test_large_family_is_split_and_whole(made, spark):
     test_near_duplicates_match_brute_force(df, df.collect(), 3, 85)
 
 
-@pytest.mark.parametrize("part", [2, 512])
-def test_bucket_hub_unlike_its_members(spark, monkeypatch, part):
-    """Classes that are like each other come into one family whatever the least class of their bucket is like."""
+@pytest.mark.parametrize("part", [7, 512])
+def test_buckets_whose_hub_is_unlike_their_members(made, spark, monkeypatch, part):
+    """Texts that quote one passage share buckets with many that they aren't linked with; every link is found all the same."""
     monkeypatch.setattr(minhash, "PART", part)
-    rng = np.random.default_rng(3)
+    monkeypatch.setattr(minhash, "BLOCK", 5)
+    passage = made.prose(90).split()
+    texts = [" ".join(passage + made.prose(made.rng.randint(60, 110)).split()) for _ in range(150)]
+    for _ in range(40):
+        words = list(passage)
+        for _ in range(made.rng.randint(0, 3)):
+            words[made.rng.randrange(90)] = made.rng.choice("xyz") * made.rng.randint(1, 9)
+        texts.append(" ".join(words + made.prose(made.rng.randint(0, 9)).split()))
+    made.rng.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    test_near_duplicates_match_brute_force(df, df.collect(), 3, 85)
+
+
+def test_large_group_costs_a_text_a_pair(made, spark, monkeypatch):
+    """A group of thousands of classes: its texts are read about once each, not in blocks of all with all."""
+    base = made.prose(200).split()
+    texts = []
+    for k in range(3000):
+        words = list(base)
+        words[k % 200] = f"w{k}"
+        words[(k * 7) % 200] = f"v{k}"
+        texts.append(" ".join(words))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    asked, plain = [], minhash.confirmed
+
+    def count(docs, reps, pairs, *how):
+        asked.append(pairs.count())
+        return plain(docs, reps, pairs, *how)
 
-    def signature(*parts):
-        return minhash.packed(np.concatenate(parts)).tolist()
-
-    low = [rng.integers(0, 2**32, 128, dtype=np.uint32) for _ in range(4)]
-    rows = [(1, [7], signature(low[0]))]
-    rows += [(k, [7], signature(low[1][: 128 - k], low[2][128 - k :])) for k in range(2, 9)]  # unlike 1, like each other
-    rows += [(10, [8], signature(low[0]))]
-    rows += [(11, [8], signature(low[0][:80], low[3][80:]))]  # like 10
-    rows += [(12, [8], signature(low[0][:40], low[2][40:80], low[3][80:]))]  # like 11, unlike 10
-    rows += [(13, [8], signature(low[1]))]  # alone
-    classes = spark.createDataFrame(rows, "class long, bands array<long>, sig array<long>")
-    got = {r["class"]: r.family for r in minhash.candidate_families(classes).collect()}
-    assert got == {**dict.fromkeys(range(2, 9), 2), **dict.fromkeys((10, 11, 12), 10)}
+    monkeypatch.setattr(minhash, "confirmed", count)
+    got = minhash.near_duplicates(df, 3, 85, 100).collect()
+    assert {r.component_id for r in got} == {0} and sum(r.kept for r in got) == 1
+    assert sum(asked) < 2 * len(texts), asked
 
 
 def test_estimate_is_corrected(spark):

@@ -133,9 +133,6 @@ def compare_neighbours(rows: DataFrame, levels: dict[str, list[str]], order: lis
         own = [made for made, by, *_ in extremes if by == level]
         extreme = [g(f"{m}_{x}").alias(f"_{m}_{x}") for m in own for x, g in (("low", F.min), ("high", F.max))]
         ends[level] = own, columns, materialise(out.where(f"{level}_end").groupBy(*columns).agg(*extreme), f"{name}-ends")
-    some = F.lit(False)
-    for level in levels:
-        some = some | F.col(f"{level}_end")
     if 2 * tasks <= ENDS_HELD:
         held = [(level, own, columns, table.toPandas()) for level, (own, columns, table) in ends.items()]
 
@@ -143,13 +140,15 @@ def compare_neighbours(rows: DataFrame, levels: dict[str, list[str]], order: lis
             for pdf in batches:
                 for level, own, columns, table in held:
                     at = pdf[f"{level}_end"].to_numpy()
+                    if not at.any():
+                        continue
                     told = pdf.loc[at, columns].merge(table, on=columns, how="left")
                     for m in own:
                         for x in ("low", "high"):
                             pdf.loc[at, f"{m}_{x}"] = told[f"_{m}_{x}"].to_numpy()
                 yield pdf
 
-        settled = out.where(~some).unionByName(out.where(some).mapInPandas(exchange, schema))
+        settled = out.mapInPandas(exchange, schema)
     else:
         settled = out
         for own, columns, table in ends.values():
@@ -270,6 +269,7 @@ def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS, k: int = K, id
     rows = rows.withColumns({"low": F.col("doc_id"), "high": F.col("doc_id")})
     order = ["key", "seg", "doc_id", "start"]
     near = compare_neighbours(rows, {"run": ["key"], "own": ["key", "seg"]}, order, "suffixes-sorted", kinds="seg")
+    near = materialise(near.drop("low", "high", "run_high"), "near")
     # a stretch that the run's least document has and others have too: no neighbour can tell more of it
     settled = (F.col("own_low") < F.col("own_high")) & (F.col("own_low") == F.col("run_low"))
     whole = near.where(settled).select("doc_id", "start", "windows", F.col("own_low").alias("owner"))

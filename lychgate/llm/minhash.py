@@ -3,12 +3,13 @@
 Bands of full minima propose candidates; two low bits of each minimum, packed into longs, estimate their similarity by bit
 counts, corrected for chance collisions; exact Jaccard on full shingle sets confirms every link.
 
-Texts with the same shingle set form a class, and only classes are compared, so thousands of copies cost one row. A bucket's
-members are first held against its least class: each class goes to the least hub that its signature is near enough to, and
-the exact links join most of a group at once, in work that is linear in the classes. Only buckets whose members are then
-still in several components go on: there the members outside the hub's component meet all others by their signatures, in
-blocks, first the best pair of each with each other component, then, among what is still apart, every pair that is near
-enough. Texts are only read for such pairs, a pair at a time, so neither a bucket nor a group is ever in one task.
+Texts with the same shingle set form a class, and only classes are compared, so thousands of copies cost one row. A bucket is
+read as a star around its least class; members whose estimate to that is far too low are compared with the others of the bucket
+by their signatures, in blocks, each returning a spanning forest. What hangs together is a family. Each class is first held
+against the least hub that it may be linked with, one text a class, which joins most of a family at once; only families that
+are then still in several components go on, and there only members outside the first one's component meet the others, in
+blocks of at most 2 x BLOCK texts, each returning a spanning forest of its confirmed links. So neither a bucket nor a family
+is ever in one task, no task returns all pairs, and a family that is all linked costs no more than its texts.
 """
 
 from __future__ import annotations
@@ -25,12 +26,15 @@ from .common import WordHash, connected_components, identified, materialise, mix
 HASHES = 128
 ROWS, BANDS = 5, 25
 BITS = 2
-#: A pair is confirmed exactly unless its estimate is lower than the threshold by this: six deviations.
+#: Candidates of a bucket are followed if their estimate is this high: linked texts are over seven deviations above it.
+FOLLOW = 0.5
+#: A pair within a family is confirmed exactly unless its estimate is lower than the threshold by this: over four deviations.
 MARGIN = 0.25
-#: Texts that are held against one other at once.
 BLOCK = 64
 #: Members of a bucket whose signatures are compared with as many others at once.
 PART = 512
+#: Elements of a block's incidence matrix up to which intersections are counted by one matrix product.
+DENSE = 30_000_000
 
 _rng = np.random.default_rng(20240229)
 _MULT = (_rng.integers(0, 2**31, HASHES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -114,63 +118,82 @@ def signatures(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str =
     return read.mapInPandas(run, "id long, n_shingles long, class long, bands array<long>, sig array<long>")
 
 
-def first_pairs(buckets: DataFrame, sig: DataFrame, least: float) -> DataFrame:
-    """(x, y): each class with the least hub of its buckets whose signature is near enough. buckets: class, bucket, hub."""
-    seen = (
-        buckets.where("class <> hub").select("class", "hub").distinct()
-        .join(sig, "class")
-        .join(sig.select(F.col("class").alias("hub"), F.col("sig").alias("hub_sig")), "hub")
-        .where(estimate(F.col("sig"), F.col("hub_sig")) >= least)
-    )
-    return seen.groupBy(F.col("class").alias("x")).agg(F.min("hub").alias("y"))
+def _ties(sigs: np.ndarray, stray: np.ndarray, sides: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs with a stray whose estimate is at least FOLLOW. sides: as in _linked, but pairs within a side only if there is one."""
+    n = len(sigs)
+    x = sigs.view(np.uint64)
+    same = np.zeros((n, n), np.int16)
+    for k in range(x.shape[1]):
+        eq = ~(x[:, None, k] ^ x[None, :, k])
+        same += np.bitwise_count(eq & (eq >> np.uint64(1)) & np.uint64(0x5555555555555555))
+    near = ((same / HASHES - 2.0**-BITS) / (1 - 2.0**-BITS) >= FOLLOW) & (stray[:, None] | stray[None, :])
+    if sides.any() and not sides.all():
+        near &= sides[:, None] != sides[None, :]
+    np.fill_diagonal(near, False)
+    out, left = [], near.any(axis=1)
+    for k in range(n):
+        if not left[k]:
+            continue
+        left[k] = False
+        front = np.array([k])
+        while len(front):
+            front = np.nonzero(near[front].any(axis=0) & left)[0]
+            left[front] = False
+            out.extend((k, int(m)) for m in front)
+    return out
 
 
-def open_pairs(buckets: DataFrame, sig: DataFrame, components: DataFrame, least: float, best: bool) -> DataFrame:
-    """(x, y) of one bucket but of different components whose estimate is at least `least`; if `best`, the best of x in a block
-    with each other component only. components: class, component; a class without is its own.
+def stray_links(flagged: DataFrame, sig: DataFrame) -> DataFrame:
+    """Links (class, hub) between strays and other members of their bucket. flagged: bucket, class, near (to the bucket's hub), no hubs.
 
-    Members of the hub's component need not meet each other, so a bucket with r others costs r times its members in bit counts.
+    Members near the hub hang together by it, so only pairs with a stray are compared, in blocks of at most 2 x PART members.
     """
-    named = buckets.join(components, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    named = materialise(named, "bucket-components")
-    home = named.where("class = hub").select("bucket", F.col("component").alias("home"))
-    # written first, so that both sides of the joins are plain shuffles, of which Spark splits a hot bucket
-    mixed = named.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("bucket", "n")
-    mixed = materialise(mixed.join(home, "bucket"), "open-buckets")
-    rows = materialise(named.select("bucket", "class", "component").join(mixed, "bucket"), "open-members")
-    apart = rows.where("component <> home").groupBy("bucket").agg(F.count("*").alias("m"))
-    parts = materialise(mixed.select("bucket", "n").join(apart, "bucket").select("bucket", F.ceil(F.col("n") / PART).cast("int").alias("wide"), F.ceil(F.col("m") / PART).cast("int").alias("high")), "open-parts")
-    rows = rows.join(parts, "bucket").join(sig, "class")
-    dealt = lambda n, salt: F.pmod(F.xxhash64("class", F.lit(salt)), n).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    member = F.struct("class", "component", "sig").alias("m")
-    left = rows.where("component <> home").select("bucket", dealt("high", "left").alias("i"), each("wide").alias("j"), F.lit(True).alias("left"), member)
-    right = rows.select("bucket", each("high").alias("i"), dealt("wide", "right").alias("j"), F.lit(False).alias("left"), member)
-    blocks = left.unionByName(right).groupBy("bucket", "i", "j").agg(F.collect_list(F.struct("left", "m")).alias("m")).select(F.col("m.left").alias("left"), F.col("m.m.class").alias("class"), F.col("m.m.component").alias("component"), F.flatten("m.m.sig").alias("sig"))
+    mixed = flagged.groupBy("bucket").agg(F.count("*").alias("members"), F.every("near").alias("whole")).where("members > 1 AND NOT whole")
+    mixed = materialise(mixed.select("bucket", F.ceil(F.col("members") / PART).cast("int").alias("parts")), "mixed")
+    rows = flagged.join(mixed, "bucket").join(sig, "class")
+    rows = (
+        rows.withColumn("part", F.pmod(F.xxhash64("class"), "parts").cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .groupBy("bucket", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
+        .agg(F.collect_list(F.struct("class", "near", (F.col("part") != F.least("part", "other")).alias("side"), "sig")).alias("m"))
+        .where(F.size("m") > 1)
+        .select(F.col("m.class").alias("class"), F.col("m.near").alias("near"), F.col("m.side").alias("side"), F.flatten("m.sig").alias("sig"))
+    )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for r in pdf.itertuples():
-                left, cls, comp = np.array(r.left, bool), np.array(r[2], np.int64), np.array(r.component, np.int64)
-                sigs = np.array(r.sig, np.int64).reshape(len(cls), -1).view(np.uint64)
-                x, y = np.flatnonzero(left), np.flatnonzero(~left)
-                if not len(x) or not len(y):
-                    continue
-                same = np.zeros((len(x), len(y)), np.int16)
-                for k in range(sigs.shape[1]):
-                    eq = ~(sigs[x, None, k] ^ sigs[None, y, k])
-                    same += np.bitwise_count(eq & (eq >> np.uint64(1)) & np.uint64(0x5555555555555555))
-                est = (same / HASHES - 2.0**-BITS) / (1 - 2.0**-BITS)
-                a, b = np.nonzero((est >= least) & (comp[x][:, None] != comp[y][None, :]))
-                if best and len(a):
-                    order = np.lexsort((-est[a, b], comp[y[b]], a))
-                    a, b = a[order], b[order]
-                    new = np.append(True, (np.diff(a) != 0) | (np.diff(comp[y[b]]) != 0))
-                    a, b = a[new], b[new]
-                one, two = cls[x[a]], cls[y[b]]
-                yield pd.DataFrame({"x": np.maximum(one, two), "y": np.minimum(one, two)})
-
-    return blocks.mapInPandas(run, "x long, y long").distinct()
+            x, y = [], []
+            for cls, near, side, sigs in zip(pdf["class"], pdf["near"], pdf["side"], pdf["sig"], strict=True):
+                pairs = _ties(np.array(sigs, np.int64).reshape(len(cls), -1), ~np.array(near, bool), np.array(side, bool))
+                x.extend(int(cls[a]) for a, _ in pairs)
+                y.extend(int(cls[b]) for _, b in pairs)
+            yield pd.DataFrame({"class": x, "hub": y}, dtype="int64")
+
+    return rows.mapInPandas(run, "class long, hub long")
+
+
+def candidate_families(classes: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """(class, family) of the classes that bands and estimates put together: all that share a bucket and have an estimate of FOLLOW;
+    and (x, y), each class with the least hub of its buckets to which its estimate is at least `least`."""
+    buckets = classes.select("class", F.explode("bands").alias("bucket"))
+    stars = buckets.groupBy("bucket").agg(F.min("class").alias("hub"), F.max("class").alias("last"), F.count("*").alias("members"))
+    stars = stars.where("hub < last").select("bucket", "hub", "members")
+    stars = materialise(stars, "stars")  # so that both sides of the join are plain shuffles, of which Spark splits a hot bucket
+    spokes = materialise(buckets.join(stars, "bucket").where(F.col("class") != F.col("hub")), "spokes")
+    sig = classes.select("class", "sig")
+    seen = (
+        spokes.select("class", "hub").distinct()
+        .join(sig, "class")
+        .join(sig.select(F.col("class").alias("hub"), F.col("sig").alias("hub_sig")), "hub")
+        .select("class", "hub", estimate(F.col("sig"), F.col("hub_sig")).alias("est"))
+        .select("class", "hub", (F.col("est") >= FOLLOW).alias("near"), (F.col("est") >= least).alias("maybe"))
+    )
+    seen = materialise(seen, "seen")
+    # a bucket's hub may be unlike members that are like each other: these are compared among themselves
+    flagged = materialise(spokes.where("members > 2").join(seen, ["class", "hub"]).select("bucket", "class", "near"), "flagged")
+    near = seen.where("near").select("class", "hub").unionByName(materialise(stray_links(flagged, sig), "strays"))
+    found = connected_components(near, "class", "hub").select(F.col("node").alias("class"), F.col("component").alias("family"))
+    return found, seen.where("maybe").groupBy(F.col("class").alias("x")).agg(F.min("hub").alias("y"))
 
 
 def confirmed(docs: DataFrame, reps: DataFrame, pairs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
@@ -205,31 +228,89 @@ def confirmed(docs: DataFrame, reps: DataFrame, pairs: DataFrame, n: int, num: i
     return rows.groupBy("y", "g").applyInPandas(run, "x long, y long")
 
 
-def linked_components(docs: DataFrame, classes: DataFrame, reps: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
-    """(class, component) of all classes that are linked with another."""
-    least = num / den - MARGIN
-    sig = classes.select("class", "sig")
-    members = classes.select("class", F.explode("bands").alias("bucket"))
-    hubs = members.groupBy("bucket").agg(F.min("class").alias("hub"), F.max("class").alias("last"), F.count("*").alias("n")).where("hub < last")
-    # written first, so that both sides of the join are plain shuffles, of which Spark splits a hot bucket
-    hubs = materialise(hubs.select("bucket", "hub", "n"), "hubs")
-    buckets = materialise(members.join(hubs, "bucket"), "buckets")
-
-    def exact(pairs: DataFrame, name: str) -> DataFrame:
-        return materialise(confirmed(docs, reps, pairs, n, num, den, id_col, text_col), name)
-
-    pairs = materialise(first_pairs(buckets, sig, least), "pairs-first")
-    links = exact(pairs, "links-first")
-    found = components_of(links)
-    crowded = buckets.where("n > 1").select("class", "bucket", "hub")
-    for best in (True, False):
-        more = materialise(open_pairs(crowded, sig, found, least, best).join(pairs, ["x", "y"], "left_anti"), "pairs-more")
-        if more.isEmpty():
+def _linked(sets: list[np.ndarray], left: np.ndarray, components: np.ndarray, sigs: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Pairs of a left and another member whose sets reach num / den, as many as it takes to join the components that they join."""
+    x, y = np.flatnonzero(left), np.flatnonzero(~left)
+    if not len(x) or not len(y):
+        return []
+    s = sigs.view(np.uint64)
+    eq = ~(s[x, None, :] ^ s[None, y, :])
+    same = np.bitwise_count(eq & (eq >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(axis=2)
+    est = (same / HASHES - 2.0**-BITS) / (1 - 2.0**-BITS)
+    size = np.array([len(k) for k in sets])
+    near = np.minimum.outer(size[x], size[y]) * den >= np.maximum.outer(size[x], size[y]) * num
+    i, j = np.nonzero((est >= num / den - MARGIN) & near & (components[x][:, None] != components[y][None, :]))
+    if not len(i):
+        return []
+    shared = None
+    tokens, at = np.unique(np.concatenate(sets), return_inverse=True)
+    if len(tokens) * len(sets) <= DENSE:
+        m = np.zeros((len(sets), len(tokens)), np.float32)
+        m[np.repeat(np.arange(len(sets)), size), at] = 1
+        shared = m[x] @ m[y].T
+    joined = {c: c for c in components.tolist()}
+
+    def root(c: int) -> int:
+        while joined[c] != c:
+            joined[c] = c = joined[joined[c]]
+        return c
+
+    out = []
+    for k in np.argsort(-est[i, j], kind="stable"):
+        a, b = x[i[k]], y[j[k]]
+        ca, cb = root(int(components[a])), root(int(components[b]))
+        if ca == cb:
             continue
-        pairs = pairs.unionByName(more)
-        links = links.unionByName(exact(more, "links-more"))
-        found = components_of(links)
-    return found
+        both = int(shared[i[k], j[k]]) if shared is not None else len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+        if den * both >= num * (len(sets[a]) + len(sets[b]) - both):
+            joined[ca] = cb
+            out.append((int(a), int(b)))
+    return out
+
+
+def confirmed_links(docs: DataFrame, members: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+    """Links (x, y) between classes of different components of a family, enough to join what they join. members: class, family, rep
+    (a row's id), sig, component.
+
+    Members of the component of a family's least class need not meet each other: r others cost r times the family's members.
+    """
+    families = members.groupBy("family").agg(F.count("*").alias("n"), F.min("component").alias("a"), F.max("component").alias("b"), F.min(F.struct("class", "component")).alias("first"))
+    families = materialise(families.where("a < b").select("family", "n", F.col("first.component").alias("home")), "open-families")
+    rows = materialise(members.join(families, "family"), "open-members")
+    apart = rows.where("component <> home").groupBy("family").agg(F.count("*").alias("m"))
+    parts = materialise(families.join(apart, "family").select("family", F.ceil(F.col("n") / BLOCK).cast("int").alias("wide"), F.ceil(F.col("m") / BLOCK).cast("int").alias("high")), "open-parts")
+    rows = rows.join(parts, "family")
+    dealt = lambda n, salt: F.pmod(F.xxhash64("class", F.lit(salt)), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    keep = ["family", "class", "rep", "sig", "component"]
+    left = rows.where("component <> home").select(*keep, dealt("high", "left").alias("i"), each("wide").alias("j"), F.lit(True).alias("left"))
+    right = rows.select(*keep, each("high").alias("i"), dealt("wide", "right").alias("j"), F.lit(False).alias("left"))
+    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("t"))
+    blocks = texts.join(left.unionByName(right), "rep").drop("rep")
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        hashes = WordHash()
+        made: dict[int, np.ndarray] = {}
+        good, seen = [], set()
+        # a repeated id may bring other texts: only rows that are of the class they stand for count, once a side
+        for k, (c, side, t) in enumerate(zip(pdf["class"].tolist(), pdf["left"].tolist(), pdf["t"], strict=True)):
+            if (c, side) in seen:
+                continue
+            if c not in made:
+                s = shingle_set(t, n, hashes)
+                if not len(s) or set_class(s) != c:
+                    continue
+                made[c] = s
+            seen.add((c, side))
+            good.append(k)
+        if len(good) < 2:
+            return pd.DataFrame({"x": [], "y": []}, dtype="int64")
+        part = pdf.iloc[good]
+        cls = part["class"].to_numpy()
+        pairs = _linked([made[c] for c in cls.tolist()], part["left"].to_numpy(bool), part["component"].to_numpy(), np.array(part["sig"].tolist(), np.int64), num, den)
+        return pd.DataFrame({"x": [cls[a] for a, _ in pairs], "y": [cls[b] for _, b in pairs]}, dtype="int64")
+
+    return blocks.groupBy("family", "i", "j").applyInPandas(run, "x long, y long")
 
 
 def components_of(links: DataFrame) -> DataFrame:
@@ -247,7 +328,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     rows = materialise(signatures(docs, shingle, id_col, text_col), "signatures")
     classes = rows.where("class IS NOT NULL").select("class", "bands", "sig").dropDuplicates(["class"])
     reps = rows.where("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("rep"))
-    groups = linked_components(docs, classes, reps, shingle, num, den, id_col, text_col).withColumnRenamed("component", "group")
+    families, first = candidate_families(classes, num / den - MARGIN)
+    links = materialise(confirmed(docs, reps, first, shingle, num, den, id_col, text_col), "links-first")
+    found = materialise(components_of(links), "components-first")
+    members = families.join(reps, "class").join(classes.select("class", "sig"), "class").join(found, "class", "left")
+    members = materialise(members.withColumn("component", F.coalesce("component", "class")), "members")
+    more = materialise(confirmed_links(docs, members, shingle, num, den, id_col, text_col), "links-more")
+    groups = components_of(links.unionByName(more)).withColumnRenamed("component", "group")
     named = reps.join(groups, "class", "left").withColumn("group", F.coalesce("group", "class"))
     least = named.groupBy("group").agg(F.min("rep").alias("component_id"))
     names = named.join(least, "group").select("class", "component_id")

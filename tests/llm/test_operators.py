@@ -70,7 +70,7 @@ def test_large_family_is_split_and_whole(made, spark):
 def test_buckets_whose_hub_is_unlike_their_members(made, spark, monkeypatch, part):
     """Texts that quote one passage share buckets with many that they aren't linked with; every link is found all the same."""
     monkeypatch.setattr(minhash, "PART", part)
-    monkeypatch.setattr(minhash, "BLOCK", 5)
+    monkeypatch.setattr(minhash, "BLOCK", 9)
     passage = made.prose(90).split()
     texts = [" ".join(passage + made.prose(made.rng.randint(60, 110)).split()) for _ in range(150)]
     for _ in range(40):
@@ -93,16 +93,23 @@ def test_large_group_costs_a_text_a_pair(made, spark, monkeypatch):
         words[(k * 7) % 200] = f"v{k}"
         texts.append(" ".join(words))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    asked, plain = [], minhash.confirmed
+    asked, plain, apart = [], minhash.confirmed, []
 
     def count(docs, reps, pairs, *how):
         asked.append(pairs.count())
         return plain(docs, reps, pairs, *how)
 
     monkeypatch.setattr(minhash, "confirmed", count)
+    whole = minhash.confirmed_links
+
+    def blocks(docs, members, *how):
+        apart.append(members.groupBy("component").count().orderBy(F.desc("count")).collect())
+        return whole(docs, members, *how)
+
+    monkeypatch.setattr(minhash, "confirmed_links", blocks)
     got = minhash.near_duplicates(df, 3, 85, 100).collect()
     assert {r.component_id for r in got} == {0} and sum(r.kept for r in got) == 1
-    assert sum(asked) < 2 * len(texts), asked
+    assert sum(asked) <= len(texts) and sum(r["count"] for r in apart[0][1:]) < 0.02 * len(texts), (asked, apart)
 
 
 def test_estimate_is_corrected(spark):

@@ -89,7 +89,7 @@ def suffix_rows(docs: DataFrame, min_words: int, k: int, id_col: str, text_col:
     return read.mapInPandas(run, "key long, seg long, doc_id long, start int, windows int")
 
 
-def compare_neighbours(rows: DataFrame, levels: dict[str, list[str]], order: list[str], name: str, kinds: str | None = None) -> DataFrame:
+def compare_neighbours(rows: DataFrame, levels: dict[str, list[str]], order: list[str], name: str, kinds: str | None = None, low: str = "low", high: str = "high") -> DataFrame:
     """Adds <level>_low and <level>_high, the least `low` and the largest `high` of all rows equal in a level's columns, and
     <kinds>_low and <kinds>_high, the least and largest value of the column `kinds` among rows equal in the first level's.
 
@@ -100,7 +100,7 @@ def compare_neighbours(rows: DataFrame, levels: dict[str, list[str]], order: lis
     is read twice, so it should be a written table.
     """
     first_level = next(iter(levels))
-    extremes = [(level, level, "low", "high") for level in levels] + ([(kinds, first_level, kinds, kinds)] if kinds else [])
+    extremes = [(level, level, low, high) for level in levels] + ([(kinds, first_level, kinds, kinds)] if kinds else [])
     names = [f"{made}_{x}" for made, *_ in extremes for x in ("low", "high")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -110,24 +110,22 @@ def compare_neighbours(rows: DataFrame, levels: dict[str, list[str]], order: lis
         pdf = pd.concat(parts, ignore_index=True)
         del parts
         changed = {c: np.append(True, np.diff(pdf[c].to_numpy()) != 0) for c in order}
-        keep = np.logical_or.reduce(list(changed.values()))
-        added = {}
+        added = {"again": ~np.logical_or.reduce(list(changed.values()))}
         for made, level, a, b in extremes:
             new = np.logical_or.reduce([changed[c] for c in levels[level]])
             first, group = np.flatnonzero(new), np.cumsum(new) - 1
-            low, high = np.minimum.reduceat(pdf[a].to_numpy(), first), np.maximum.reduceat(pdf[b].to_numpy(), first)
+            least, most = np.minimum.reduceat(pdf[a].to_numpy(), first), np.maximum.reduceat(pdf[b].to_numpy(), first)
             end = (np.arange(len(first)) == 0) | (np.arange(len(first)) == len(first) - 1)
-            if made == first_level:
-                keep &= ((low < high) | end)[group]
-            added |= {f"{made}_low": low[group], f"{made}_high": high[group], f"{made}_end": end[group]}
-        pdf = pdf.assign(**added)[keep]
+            added |= {f"{made}_low": least[group], f"{made}_high": most[group], f"{made}_end": end[group]}
+        pdf = pdf.assign(**added)
         for at in range(0, len(pdf), 50_000):
             yield pdf.iloc[at : at + 50_000]
 
-    added = [f"{made}_{x} {kind}" for made, *_ in extremes for x, kind in (("low", "long"), ("high", "long"), ("end", "boolean"))]
+    added = ["again boolean"] + [f"{made}_{x} {kind}" for made, *_ in extremes for x, kind in (("low", "long"), ("high", "long"), ("end", "boolean"))]
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in rows.schema] + added)
     tasks = tasks_for(rows, ROWS_A_TASK)
-    out = materialise(rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order).mapInPandas(run, schema), name)
+    marked = rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order).mapInPandas(run, schema)
+    out = materialise(marked.where(f"NOT again AND ({first_level}_low < {first_level}_high OR {first_level}_end)").drop("again"), name)
     ends = {}
     for level, columns in levels.items():
         own = [made for made, by, *_ in extremes if by == level]
@@ -148,7 +146,7 @@ def compare_neighbours(rows: DataFrame, levels: dict[str, list[str]], order: lis
                             pdf.loc[at, f"{m}_{x}"] = told[f"_{m}_{x}"].to_numpy()
                 yield pdf
 
-        settled = out.mapInPandas(exchange, schema)
+        settled = out.mapInPandas(exchange, out.schema)
     else:
         settled = out
         for own, columns, table in ends.values():
@@ -266,10 +264,9 @@ def window_places(sizes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start, windows, owner: runs of windows that other documents have too; owner is the least of these documents."""
     rows = materialise(suffix_rows(docs, min_words, k, id_col, text_col), "suffixes")
-    rows = rows.withColumns({"low": F.col("doc_id"), "high": F.col("doc_id")})
     order = ["key", "seg", "doc_id", "start"]
-    near = compare_neighbours(rows, {"run": ["key"], "own": ["key", "seg"]}, order, "suffixes-sorted", kinds="seg")
-    near = materialise(near.drop("low", "high", "run_high"), "near")
+    near = compare_neighbours(rows, {"run": ["key"], "own": ["key", "seg"]}, order, "suffixes-sorted", "seg", "doc_id", "doc_id")
+    near = materialise(near.drop("run_high"), "near")
     # a stretch that the run's least document has and others have too: no neighbour can tell more of it
     settled = (F.col("own_low") < F.col("own_high")) & (F.col("own_low") == F.col("run_low"))
     whole = near.where(settled).select("doc_id", "start", "windows", F.col("own_low").alias("owner"))

@@ -96,5 +96,5 @@ cls AS (
 """
 
 
-ROLLED_UP = """SELECT "table", count(*) AS columns, count_if(category IN ('PII_DIRECT', 'SENSITIVE')) AS pii_columns, count_if(needs_review) AS review_columns,
+ROLLED_UP = """SELECT "table", count(*) AS columns, CAST(count_if(category IN ('PII_DIRECT', 'SENSITIVE')) AS BIGINT) AS pii_columns, CAST(count_if(needs_review) AS BIGINT) AS review_columns,
   bool_or(needs_review) AS escalates, bool_or(category IN ('PII_DIRECT', 'SENSITIVE')) AS fails FROM cls GROUP BY "table\""""

@@ -444,4 +444,4 @@ def media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
     with_rgb: the decoded tensors are a column too (height x width x 3 bytes), to be written with the rest. A null or empty text is one unit of spaces; equal texts have equal values; repeated rows and null ids stay as they are;
     other columns are not read; an empty table gives an empty result.
     """
-    return decode_column(materialise(encode_column(docs, id_col, text_col), "media"), with_rgb)
+    return decode_column(materialise(encode_column(docs, id_col, text_col), "media", "zstd"), with_rgb)  # zstd: headers are much alike

@@ -49,11 +49,11 @@ def signal(code: Column | str, weight: Column, detail: Column | str) -> Column:
     return F.struct(as_col(code).alias("code"), dec(weight).alias("weight"), as_col(detail).alias("detail")).cast(SIGNAL)
 
 
-def classify(profiles: DataFrame, verdicts: DataFrame | None = None, limits: Thresholds = Thresholds()) -> DataFrame:  # noqa: B008
+def classify(profiles: DataFrame, verdicts: DataFrame | None = None, limits: Thresholds = Thresholds(), verdict_col: str | None = None) -> DataFrame:  # noqa: B008
     """Adds category, score, signals, entity_type, recommended_action, needs_review, llm_adjudicated and llm_rationale.
 
     verdicts: (table, column, is_pii, confidence, rationale), at most one a column; one counts only where the score without
-    it is in the review band, and moves it by at most limits.nudge.
+    it is in the review band, and moves it by at most limits.nudge. verdict_col: the same as a struct beside the profile.
     """
     p = profiles.withColumn("_rule", name_rule(normalise(F.col("column"))))
     p = p.withColumn("_ratio", dec(F.col("best_ratio")))
@@ -92,6 +92,9 @@ def classify(profiles: DataFrame, verdicts: DataFrame | None = None, limits: Thr
     if verdicts is not None:
         v = verdicts.select("table", "column", F.col("is_pii").alias("_is"), F.col("confidence").alias("_conf"), F.col("rationale").alias("_why"))
         p = p.join(v, ["table", "column"], "left")
+    elif verdict_col is not None:
+        v = F.col(verdict_col)
+        p = p.withColumns({"_is": v["is_pii"], "_conf": v["confidence"], "_why": v["rationale"]}).drop(verdict_col)
     else:
         p = p.withColumns({"_is": F.lit(None).cast("boolean"), "_conf": F.lit(None).cast("double"), "_why": F.lit(None).cast("string")})
     heard = band(F.col("_score")) & F.col("_is").isNotNull()
@@ -115,11 +118,15 @@ def classify(profiles: DataFrame, verdicts: DataFrame | None = None, limits: Thr
     )
 
 
-def for_review(classified: DataFrame) -> DataFrame:
-    """What an adjudicator is told of the columns that need one: names and statistics, never values."""
+def facts() -> Column:
+    """What a profile says of a column: statistics, never values."""
     hits = F.array_join(F.transform("pattern_hits", lambda h: F.concat(h["entity"], F.lit("="), h["ratio"].cast("string"))), ", ")
-    facts = F.format_string("type=%s; values=%d; distinct=%d; nulls=%d; avg length=%s; patterns: %s", "inferred_type", "total_count", "distinct_count", "null_count", F.col("avg_length").cast("string"), hits)
-    return classified.where("needs_review").select("table", "column", facts.alias("summary"))
+    return F.format_string("type=%s; values=%d; distinct=%d; nulls=%d; avg length=%s; patterns: %s", "inferred_type", "total_count", "distinct_count", "null_count", F.col("avg_length").cast("string"), hits)
+
+
+def for_review(classified: DataFrame) -> DataFrame:
+    """What an adjudicator is told of the columns that need one: names and statistics."""
+    return classified.where("needs_review").select("table", "column", facts().alias("summary"))
 
 
 def roll_up(classified: DataFrame) -> DataFrame:

@@ -1,14 +1,97 @@
-"""From OCR words to boxes: words joined with one space, findings mapped to the words they overlap."""
+"""From OCR words to boxes: words joined with one space, findings mapped to the words they overlap; and images painted over there."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+import os
+import struct
+import tempfile
+import zlib
+from collections.abc import Callable, Iterator
+from pathlib import Path
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import detect
 
 WORDS = "array<struct<text: string, left: int, top: int, width: int, height: int, confidence: double>>"
 LEAST_WORD_CONFIDENCE = 30.0
+#: Pixels painted around a box.
+PADDING = 2
+#: PNG colour types by number of channels, and the order in which Spark's image source stores them.
+PNG_COLOUR = {1: 0, 3: 2, 4: 6}
+CHANNELS = {1: [0], 3: [2, 1, 0], 4: [2, 1, 0, 3]}
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """Images of a folder: a column image (origin, height, width, nChannels, mode, data), files that are no images among them."""
+    return spark.read.format("image").load(path)
+
+
+def pixels(height: int, width: int, channels: int, data: bytes) -> np.ndarray:
+    """The pixels of an image of Spark's image source, as RGB; raises where the file was none, so that it can't pass as a clean one."""
+    if height <= 0 or width <= 0 or channels not in CHANNELS:
+        raise ValueError("an image can't be read")
+    return np.frombuffer(data, np.uint8).reshape(height, width, channels)[:, :, CHANNELS[channels]]
+
+
+def png(p: np.ndarray) -> bytes:
+    """Pixels as a PNG file that holds nothing else: no metadata, no profile."""
+    height, width, channels = p.shape
+    rows = np.concatenate([np.zeros((height, 1), np.uint8), p.reshape(height, -1)], axis=1)
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    header = struct.pack(">IIBBBBB", width, height, 8, PNG_COLOUR[channels], 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", header) + chunk(b"IDAT", zlib.compress(rows.tobytes(), 6)) + chunk(b"IEND", b"")
+
+
+def read_words(image: Column, make: Callable[[], Callable[[bytes], list[dict]]]) -> Column:
+    """Words of an OCR engine for an image column. make() builds the engine once a worker; it gets a PNG file and returns dicts with
+    the fields of WORDS. A failing engine or an unreadable image fails the job: an image that was not read is not a clean one."""
+
+    @F.pandas_udf(WORDS)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        ask = make()
+        for part in batches:
+            yield pd.Series([ask(png(pixels(*x))) for x in zip(part["height"], part["width"], part["nChannels"], part["data"], strict=True)], dtype=object)
+
+    return usable(run(image))
+
+
+def painted(image: Column, boxes: Column, pad: int = PADDING) -> Column:
+    """A PNG file of the image with opaque black over the boxes and pad pixels around them, both ends included."""
+
+    @F.pandas_udf("binary")
+    def run(images: pd.DataFrame, places: pd.Series) -> pd.Series:
+        out = []
+        for height, width, channels, data, found in zip(images["height"], images["width"], images["nChannels"], images["data"], places, strict=True):
+            p = pixels(height, width, channels, data).copy()
+            for b in found if found is not None else ():
+                area = p[max(0, b["top"] - pad) : max(0, b["top"] + b["height"] + pad + 1), max(0, b["left"] - pad) : max(0, b["left"] + b["width"] + pad + 1)]
+                area[:, :, : min(channels, 3)] = 0
+                area[:, :, 3:] = 255
+            out.append(png(p))
+        return pd.Series(out, dtype=object)
+
+    return run(image, boxes)
+
+
+def save(df: DataFrame, folder: str, name_col: str = "origin", file_col: str = "png") -> None:
+    """Writes each row's file into a folder that all executors share, named after its origin and a hash of it; a repeated task replaces
+    its files whole."""
+
+    def write(rows: Iterator) -> None:
+        Path(folder).mkdir(parents=True, exist_ok=True)
+        for row in rows:
+            origin = row[name_col]
+            fd, part = tempfile.mkstemp(dir=folder)
+            with os.fdopen(fd, "wb") as f:
+                f.write(row[file_col])
+            os.replace(part, Path(folder) / f"{Path(origin).stem}-{hashlib.sha256(origin.encode()).hexdigest()[:12]}.png")
+
+    df.select(name_col, file_col).foreachPartition(write)
 
 
 def usable(words: Column) -> Column:

@@ -26,6 +26,12 @@ def as_text(name: str, kind: T.DataType) -> Column:
     return c.cast("string")
 
 
+def texts(df: DataFrame) -> list[Column]:
+    """All columns as text, nested ones as JSON."""
+    nested = (T.ArrayType, T.MapType, T.StructType)
+    return [(F.to_json(F.col(f"`{f.name}`")) if isinstance(f.dataType, nested) else as_text(f"`{f.name}`", f.dataType)).alias(f.name) for f in df.schema]
+
+
 def long_form(df: DataFrame, table: str, order: list[Column] | None = None, sample: int | None = SAMPLE) -> DataFrame:
     """(table, column, pos, value) of the first `sample` rows (of all, if None); nested columns become JSON.
 
@@ -33,8 +39,7 @@ def long_form(df: DataFrame, table: str, order: list[Column] | None = None, samp
     """
     if sample is not None:
         df = (df.orderBy(*order) if order else df).limit(sample)
-    texts = [(F.to_json(F.col(f.name)) if isinstance(f.dataType, T.ArrayType | T.MapType | T.StructType) else as_text(f.name, f.dataType)).alias(f.name) for f in df.schema]
-    wide = df.select(F.monotonically_increasing_id().alias("__pos"), *texts)
+    wide = df.select(F.monotonically_increasing_id().alias("__pos"), *texts(df))
     long = wide.unpivot("__pos", df.columns, "column", "value")
     return long.select(F.lit(table).alias("table"), "column", F.col("__pos").alias("pos"), "value")
 

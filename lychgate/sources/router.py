@@ -10,6 +10,7 @@ from urllib.parse import parse_qs, unquote, urlsplit, urlunsplit
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.profile import texts
 from .sqlite import SqliteSource, sqlite_tables
 
 FILES = {".parquet": "parquet", ".json": "json", ".jsonl": "json", ".orc": "orc"}
@@ -149,3 +150,18 @@ def sample(df: DataFrame, column: str, limit: int, order=hash_order) -> DataFram
         raise ValueError(f"unknown column {column}")
     c = F.col(column)
     return df.select(c).orderBy(*order(c)).limit(limit).select(F.monotonically_increasing_id().alias("pos"), c.cast("string").alias("value"))
+
+
+def sampled(df: DataFrame, table: str, limit: int, order=hash_order) -> DataFrame:
+    """(table, column, pos, value): the first `limit` values of every column of a table in the given order, whatever order the source has.
+
+    A column is read alone (the scan is pruned to it) and only its first values are kept, so no column is ever sorted whole.
+    """
+    wide = df.select(*texts(df))
+    out = None
+    for c in wide.columns:
+        one = sample(wide.select(F.col(f"`{c}`").alias("v")), "v", limit, order).select(F.lit(table).alias("table"), F.lit(c).alias("column"), "pos", "value")
+        out = one if out is None else out.unionAll(one)
+    if out is None:
+        raise ValueError(f"{table} has no columns")
+    return out

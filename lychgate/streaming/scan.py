@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..operators import detect, policy, redact
+from ..operators.audit import AuditLog, summary
 
 
 def guarded_stream(spark: SparkSession, path: str, schema: StructType, text_col: str = "text", rules: policy.Policy | None = None, fmt: str = "parquet", **options) -> DataFrame:
@@ -30,3 +31,12 @@ def write_with_audit(df: DataFrame, out: str, checkpoint: str, audit: Callable[[
         part.unpersist()
 
     return df.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def audited(log: AuditLog, stream: str) -> Callable[[DataFrame, int], None]:
+    """For write_with_audit: sums of each batch as events. A batch that is run again, after a failure, is not recorded twice."""
+
+    def record(part: DataFrame, n: int) -> None:
+        log.append(summary(part, f"{stream}#{n}"), batch=f"{stream}#{n}")
+
+    return record

@@ -180,3 +180,40 @@ def test_entry_stands_without_the_training_data_part(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; assert 'egress_summary' in e.queries() and not any(q.startswith('op') for q in e.queries()); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, check=True, timeout=120)
+
+
+def test_batches_are_recorded_once(spark, tmp_path):
+    df = policy.decide(detect.scan(spark.createDataFrame([(1, "to j@x.com"), (2, "SSN 123-45-6789"), (3, None)], "doc_id int, text string")))
+    log = audit.AuditLog(str(tmp_path / "log.jsonl"))
+    record = streams.audited(log, "mail")
+    for n in (0, 1, 0, 1):
+        record(df, n)
+    rows = [json.loads(x) for x in log.path.read_text().splitlines()]
+    assert [(r["kind"], r["source_id"]) for r in rows] == [(k, f"mail#{n}") for n in (0, 1) for k in ("scan_text", "egress_decision")]
+    assert rows[0]["findings"] == {"EMAIL_ADDRESS": 1, "US_SSN": 1} and rows[1]["action"] == "BLOCK" and rows[1]["actions"] == {"ALLOW": 1, "REDACT": 1, "BLOCK": 1}
+    assert audit.summary(df.limit(0), "none")[1][2]["action"] == "ALLOW"
+
+
+def test_corpus_quality(spark):
+    from lychgate.operators import evaluate
+
+    schema = "case_id int, text string, expected array<struct<label: string, text: string>>"
+    mail = ("EMAIL_ADDRESS", "j@x.com")
+    cases = spark.createDataFrame([(1, "j@x.com j@x.com", [mail, mail, mail]), (2, "k@x.com", [mail]), (3, "hi", []), (4, None, None)], schema)
+    said = evaluate.scanned(cases)
+    rows = {r.case_id: r for r in evaluate.compared(cases, said).collect()}
+    assert [(rows[k].tp, rows[k].fp, rows[k].fn) for k in (1, 2, 3, 4)] == [(2, 0, 1), (0, 1, 1), (0, 0, 0), (0, 0, 0)]
+    assert [tuple(x) for x in rows[1].missed] == [mail] and [x.text for x in rows[2].spurious] == ["k@x.com"]
+    q = evaluate.text_quality(cases, said).first()
+    assert (q.cases, q.positive, q.precision, q.recall) == (4, 2, 2 / 3, 0.5)
+    only = lambda test: evaluate.text_quality(cases.where(test), said.join(cases.where(test), "case_id", "left_semi")).first()
+    assert (only("case_id > 2").precision, only("case_id > 2").recall) == (1.0, 0.0)
+    assert (only("case_id = 1").precision, only("case_id = 1").recall) == (0.0, 2 / 3)
+    assert (only("false").cases, only("false").precision, only("false").recall) == (0, 0.0, 0.0)
+    assert evaluate.block_recall(cases, said).first().recall == 0.0
+    assert evaluate.block_recall(cases, said, ["EMAIL_ADDRESS"]).first().recall == 0.5
+    columns = spark.createDataFrame([("email", "PII_DIRECT"), ("gone", "NON_PII")], "column string, category string")
+    got = evaluate.measure({"en": cases, "ja": cases.where("case_id = 3")}, columns, columns.where("column = 'email'"), ["EMAIL_ADDRESS"])
+    assert got == {"precision_en": 2 / 3, "recall_en": 0.5, "precision_ja": 1.0, "recall_ja": 0.0, "columns": 0.5, "block_recall": 0.5}
+    assert len(evaluate.gate(got)) == 5
+    assert [s.split(":")[0] for _, _, s in evaluate.path_coverage(ner="m")] == ["MEASURED", "UNMEASURED", "inactive", "inactive"]

@@ -398,6 +398,64 @@ SELECT emails AS tp, cards AS fp, ips AS fn, emails / (emails + cards) AS precis
 """
 
 
+def labelled(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
+    """Documents as cases of a corpus, with labels that differ from a scan on purpose: none where the id is divisible by three, all
+    twice where it is odd."""
+    df = detect.scan(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("case_id"), "text"), recognizers=only(*names))
+    once = F.transform("findings", lambda f: F.struct(f["entity_type"].alias("label"), f["text"].alias("text")))
+    expected = F.when(F.col("case_id") % 3 == 0, F.slice(once, 1, 0)).when(F.col("case_id") % 2 == 1, F.concat(once, once)).otherwise(once)
+    return df.select("case_id", "text", expected.alias("expected"))
+
+
+def eval_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = labelled(spark, sf_dir, "email")
+    return evaluate.text_quality(cases, evaluate.scanned(cases, recognizers=only("email")))
+
+
+def eval_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = labelled(spark, sf_dir, "email")
+    df = evaluate.compared(cases, evaluate.scanned(cases, recognizers=only("email"))).where("fp + fn > 0")
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x["text"]), " ").alias(c)
+    return df.select(F.col("case_id").alias("doc_id"), "tp", "fp", "fn", joined("missed"), joined("spurious"))
+
+
+def eval_block_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = labelled(spark, sf_dir, "email", "credit_card")
+    return evaluate.block_recall(cases, evaluate.scanned(cases, recognizers=only("email", "credit_card")))
+
+
+# What a reviewer might say of some columns; one of them is no column.
+REVIEWED = {"c_name": "PII_DIRECT", "c_custkey": "NON_PII", "n_name": "PII_DIRECT", "r_regionkey": "NON_PII", "c_acctbal": "SENSITIVE", "c_gone": "NON_PII"}
+
+
+def eval_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    expected = spark.createDataFrame(list(REVIEWED.items()), "column string, category string")
+    return evaluate.column_accuracy(expected, classify.classify(profiles(spark, sf_dir, "region", "nation", "customer")))
+
+
+def graded_sql(inner: str) -> str:
+    return f"""WITH p AS (SELECT doc_id, v, CAST(count(*) AS BIGINT) AS n FROM ({inner}) GROUP BY ALL),
+k AS (SELECT *, n * CASE WHEN doc_id % 3 = 0 THEN 0 WHEN doc_id % 2 = 1 THEN 2 ELSE 1 END AS e FROM p),
+g AS (SELECT *, least(n, e) AS tp1, greatest(n - e, 0) AS fp1, greatest(e - n, 0) AS fn1 FROM k),
+t AS (SELECT CAST(coalesce(sum(tp1), 0) AS BIGINT) AS tp, CAST(coalesce(sum(fp1), 0) AS BIGINT) AS fp, CAST(coalesce(sum(fn1), 0) AS BIGINT) AS fn, count(DISTINCT doc_id) FILTER (WHERE e > 0) AS positive FROM g)
+"""
+
+
+EVAL_CORPUS_SQL = graded_sql(_emails()) + "SELECT (SELECT count(*) FROM documents) AS cases, positive, tp, fp, fn, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall FROM t"
+EVAL_FAILURES_SQL = (
+    graded_sql(_emails())
+    + """SELECT doc_id, CAST(sum(tp1) AS BIGINT) AS tp, CAST(sum(fp1) AS BIGINT) AS fp, CAST(sum(fn1) AS BIGINT) AS fn,
+  array_to_string(list_sort(flatten(list([v for i in range(fn1)]))), ' ') AS missed, array_to_string(list_sort(flatten(list([v for i in range(fp1)]))), ' ') AS spurious
+FROM g GROUP BY doc_id HAVING sum(fp1 + fn1) > 0"""
+)
+EVAL_BLOCK_SQL = graded_sql(_cards()) + "SELECT tp, fn, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS recall FROM t"
+EVAL_COLUMNS_SQL = (
+    classify_sql.classified([c for c in TABLE_SQL if c[0] in ("region", "nation", "customer")])
+    + f"""SELECT count(*) AS expected, CAST(count_if(category IS NOT NULL AND category = want) AS BIGINT) AS correct, count_if(category IS NOT NULL AND category = want) / count(*) AS accuracy
+FROM (VALUES {", ".join(f"('{c}', '{w}')" for c, w in REVIEWED.items())}) AS r(col, want) LEFT JOIN cls ON cls."column" = r.col"""
+)
+
+
 def ocr_box_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as if read by OCR: words of fixed size in a row, and the boxes of e-mail addresses among them."""
     words = F.transform(F.split("text", " "), lambda w, i: F.struct(w.alias("text"), (i * 10).cast("int").alias("left"), F.lit(0).alias("top"), F.lit(8).alias("width"), F.lit(5).alias("height"), F.lit(90.0).alias("confidence")))
@@ -457,6 +515,10 @@ QUERIES: dict[str, Query] = {
     "deterministic_sample": deterministic_sample,
     "name_rules": name_rules,
     "eval_precision_recall": eval_precision_recall,
+    "eval_corpus": eval_corpus,
+    "eval_failures": eval_failures,
+    "eval_block_recall": eval_block_recall,
+    "eval_columns": eval_columns,
     "ocr_box_overlap": ocr_box_overlap,
 }
 
@@ -495,5 +557,9 @@ ORACLES: dict[str, str] = {
     "deterministic_sample": "SELECT c_name AS value FROM customer ORDER BY c_name IS NULL, sha256(c_name), octet_length(encode(c_name)), hex(encode(c_name)) LIMIT 500",
     "name_rules": NAME_RULES_SQL,
     "eval_precision_recall": EVAL_SQL,
+    "eval_corpus": EVAL_CORPUS_SQL,
+    "eval_failures": EVAL_FAILURES_SQL,
+    "eval_block_recall": EVAL_BLOCK_SQL,
+    "eval_columns": EVAL_COLUMNS_SQL,
     "ocr_box_overlap": OCR_SQL,
 }

@@ -350,8 +350,8 @@ def adjudicated(spark: SparkSession, sf_dir: str) -> DataFrame:
 def adjudication_nudge(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = profiles(spark, sf_dir, "nation")
     first = classify.classify(p)
-    verdicts = first.where("needs_review").select("table", "column", F.lit(True).alias("is_pii"), F.lit(0.8).alias("confidence"), F.lit("looks like names").alias("rationale"))
-    return classify.classify(p, verdicts).select("column", "category", "score", "needs_review", "llm_adjudicated")
+    verdict = F.when(F.col("needs_review"), F.struct(F.lit(True).alias("is_pii"), F.lit(0.8).alias("confidence"), F.lit("looks like names").alias("rationale")))
+    return classify.classify(first.select(*p.columns, verdict.alias("_verdict")), verdict_col="_verdict").select("column", "category", "score", "needs_review", "llm_adjudicated")
 
 
 def model_findings_cap(spark: SparkSession, sf_dir: str) -> DataFrame:

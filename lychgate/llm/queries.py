@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, media, minhash, mixing, packing, quality, sharding, suffixes, topk, warc
+from . import alignment, licenses, media, minhash, mixing, packing, phrases, quality, sharding, suffixes, topk, variants, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,20 @@ def op10_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op11_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.alignments(table(spark, sf_dir, "documents"), *tokenizer_paths(), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -79,6 +93,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_virtual_slots,
         op9_revisits,
         op10_bbit_minhash,
+        op11_phrase_fingerprints,
+        op12_spelling_variants,
+        op13_token_alignment,
         pipeline,
     )
 }
@@ -201,6 +218,38 @@ SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, coalesce(comp.componen
 FROM s LEFT JOIN member m ON s.doc_id = m.doc_id LEFT JOIN comp ON comp.node = m.rep
 """
 
+#: The checksum is worked out from its polynomial, byte by byte; near words meet by what a deletion leaves of either.
+_OP12 = r"""
+WITH RECURSIVE bits AS (SELECT b, 0 AS k, CAST(b AS BIGINT) AS c FROM range(256) t(b)
+  UNION ALL SELECT b, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY b) AS tab FROM bits WHERE k = 8),
+d AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id,
+    unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents
+),
+u AS (SELECT id, run, count(*) AS n FROM d GROUP BY id, run),
+x AS (SELECT id, run, n, hex(encode(id || ':' || run)) AS hx FROM u),
+h AS (
+  SELECT run, n, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(len(hx) // 2), lambda i: CAST('0x' || substr(hx, 2 * i + 1, 2) AS BIGINT))),
+    lambda c, v: xor(c >> 8, tab[CAST(xor(c & 255, v) AS INTEGER) + 1]))) AS h FROM x, crc
+),
+e AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word, n FROM h),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM e GROUP BY word HAVING length(word) >= 5 AND sum(n) >= 3),
+cut AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, CAST(unnest(range(length(word))) AS INTEGER) AS i FROM w)),
+near AS (
+  SELECT a.word, b.word AS other, b.n FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT c.word, w.word, w.n FROM cut c JOIN w ON c.rest = w.word
+  UNION SELECT w.word, c.word, c.n FROM cut c JOIN w ON c.rest = w.word
+),
+best AS (SELECT word, count(*) AS n_near, min((-n, encode(other))) AS m, arg_min(other, (-n, encode(other))) AS other, max(n) AS top FROM near GROUP BY word),
+f AS (
+  SELECT w.word, CASE WHEN top >= 2 * w.n THEN other END AS form, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 2 * w.n THEN top END AS form_n
+  FROM w LEFT JOIN best ON w.word = best.word
+),
+far AS (SELECT word, word AS root, 0 AS k FROM f UNION ALL SELECT far.word, f.form, k + 1 FROM far JOIN f ON f.word = far.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM f JOIN (SELECT word, arg_max(root, k) AS root FROM far GROUP BY word) r ON f.word = r.word
+"""
+
 #: Packing, media and sharding choose among equal outcomes or hash what SQL can't, and the classifier is fitted: their
 #: tests hold them against brute force, round trips and held-out labels.
 ORACLES: dict[str, str] = {
@@ -210,4 +259,5 @@ ORACLES: dict[str, str] = {
     "op7_license_scan": _op7(),
     "op9_revisits": _OP9,
     "op10_bbit_minhash": _OP10,
+    "op12_spelling_variants": _OP12,
 }

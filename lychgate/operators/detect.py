@@ -1,6 +1,8 @@
 """Findings in a text column: match, validate, confirm by context, keep the best of what overlaps.
 
-Everything is row-local and built in: a scan needs no shuffle and no Python, in batch and in streams alike.
+Everything is row-local and built in: a scan needs no shuffle and no Python, in batch and in streams alike. A text is cut into
+segments where no match can go on, findings are made and resolved in each, and what overlaps is resolved cluster by
+cluster, so that the work is linear in a text and its findings.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import bound, chunks, cut, running
 from ..plans.recognizers import RECOGNIZERS, Recognizer
 
 FINDING = "struct<entity_type: string, start: int, end: int, text: string, confidence: double, recognizer: string, validated: boolean, context_boosted: boolean, ord: int>"
@@ -19,6 +22,11 @@ FINDINGS = f"array<{FINDING}>"
 CONTEXT_CHARS = 48
 LEAST_CONFIDENCE = 0.35
 MODEL_CAP = 0.85
+#: Characters of a segment at least, but for the last one.
+SEGMENT = 2000
+#: Where a segment may end: behind a character that no pattern takes or looks for, or behind a space between a small letter and
+#: something other than a digit (patterns with spaces have digits or capitals before, or a digit after).
+BREAK = r"[\n\r\t,;!?\"'<>|=*#&^~:$\[\]{}\u3001\u3002\uff0c\uff01\uff1f]|(?<=[a-z]) (?![\p{Nd}])"
 
 
 def none() -> Column:
@@ -28,30 +36,42 @@ def none() -> Column:
 def spans(text: Column, regex: str) -> Column:
     """All matches with their half-open code-point spans: matches and the gaps between them alternate."""
     pieces = F.arrays_zip(F.split(text, regex, -1).alias("gap"), F.regexp_extract_all(text, F.lit(regex), F.lit(0)).alias("hit"))
-    empty = F.array().cast("array<struct<start: int, end: int, text: string>>")
-    begin = F.struct(F.lit(0).alias("at"), empty.alias("found"))
 
-    def step(acc: Column, piece: Column) -> Column:
-        start = acc["at"] + F.length(piece["gap"])
-        end = start + F.length(piece["hit"])
-        more = F.concat(acc["found"], F.array(F.struct(start.alias("start"), end.alias("end"), piece["hit"].alias("text"))))
-        return F.struct(F.coalesce(end, start).alias("at"), F.when(piece["hit"].isNull(), acc["found"]).otherwise(more).alias("found"))
+    def match(at: Column, piece: Column) -> Column:
+        start = at + F.length(piece["gap"])
+        return F.when(piece["hit"].isNotNull(), F.struct(start.alias("start"), (start + F.length(piece["hit"])).alias("end"), piece["hit"].alias("text")))
 
-    return F.aggregate(pieces, begin, step, lambda acc: acc["found"])
+    ends = lambda at, piece: at + F.length(piece["gap"]) + F.coalesce(F.length(piece["hit"]), F.lit(0))
+    return F.filter(running(pieces, F.lit(0), ends, match, "struct<start: int, end: int, text: string>"), lambda s: s.isNotNull())
 
 
-def has_context(text: Column, start: Column, end: Column, words: Iterable[str]) -> Column:
-    low = F.greatest(start - CONTEXT_CHARS, F.lit(0))
-    window = F.lower(text.substr(low + 1, end + CONTEXT_CHARS - low))
+def segments(text: Column, whole: bool) -> Column:
+    """Segments of a text: at (where it begins), text, and wide, its text with CONTEXT_CHARS before and after, in chunks. whole: one segment."""
+    parts = F.array(text) if whole else F.regexp_extract_all(text, F.lit(rf"(?s).{{{SEGMENT}}}.*?(?:{BREAK}|\z)|.+"), F.lit(0))
+    placed = running(parts, F.lit(0), lambda at, part: at + F.length(part), lambda at, part: F.struct(at.alias("at"), part.alias("text")), "struct<at: int, text: string>")
+
+    def segment(all_: Column, s: Column, i: Column) -> Column:
+        before = F.coalesce(F.right(F.get(all_, i - 1)["text"], F.lit(CONTEXT_CHARS)), F.lit(""))
+        after = F.coalesce(F.left(F.get(all_, i + 1)["text"], F.lit(CONTEXT_CHARS)), F.lit(""))
+        return F.struct(s["at"].alias("at"), s["text"].alias("text"), F.length(before).alias("lead"), chunks(F.concat(before, s["text"], after)).alias("wide"))
+
+    return bound(placed, lambda p: F.transform(p, lambda s, i: segment(p, s, i)))
+
+
+def has_context(segment: Column, start: Column, end: Column, words: Iterable[str]) -> Column:
+    """Whether one of the words is near a span of a segment."""
+    low = F.greatest(segment["lead"] + start - CONTEXT_CHARS, F.lit(0))
+    window = F.lower(cut(segment["wide"], low, segment["lead"] + end + CONTEXT_CHARS))
     # one flat pattern keeps the expression shallow
     return window.rlike("|".join(map(re.escape, words)))
 
 
-def recognize(text: Column, r: Recognizer, order: int) -> Column:
-    """What one recognizer finds in the text (a plain column, for it is read for every match)."""
+def recognize(segment: Column, r: Recognizer, order: int) -> Column:
+    """What one recognizer finds in a segment, at its places in the segment."""
+    text = segment["text"]
 
     def finding(s: Column) -> Column:
-        boosted = has_context(text, s["start"], s["end"], r.context)
+        boosted = has_context(segment, s["start"], s["end"], r.context)
         made = lambda confidence, up: F.struct(
             F.lit(r.entity).alias("entity_type"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), F.lit(confidence).alias("confidence"),
             F.lit(f"regex:{r.name}").alias("recognizer"), F.lit(r.validator is not None).alias("validated"), F.lit(up).alias("context_boosted"), F.lit(order).alias("ord"),
@@ -66,6 +86,11 @@ def recognize(text: Column, r: Recognizer, order: int) -> Column:
     return F.when(text.rlike("(?U)" + r.guard), kept).otherwise(none())
 
 
+def moved(f: Column, by: Column) -> Column:
+    """A finding of a segment at its place in the text."""
+    return F.struct(*[((f[n] + by) if n in ("start", "end") else f[n]).alias(n) for n in ("entity_type", "start", "end", "text", "confidence", "recognizer", "validated", "context_boosted", "ord")])
+
+
 def from_model(text: Column, model: Column) -> Column:
     """Findings of a model: spans out of bounds go, text comes from the source, confidence is capped, nothing counts as validated."""
     good = F.filter(model, lambda f: (f["start"] >= 0) & (f["end"] <= F.length(text)) & (f["start"] < f["end"]))
@@ -83,22 +108,48 @@ def overlaps(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (b["start"] < a["end"])
 
 
-def resolve(findings: Column) -> Column:
-    """Validated ones first, then by confidence, length, place and order, each kept unless it overlaps one that is; in text order."""
+def greedy(findings: Column) -> Column:
+    """Of findings that hang together: validated ones first, then by confidence, length, place and order, each kept unless it overlaps one that is."""
     keyed = F.transform(findings, lambda f: F.struct((~f["validated"]).alias("a"), (-f["confidence"]).alias("b"), (f["start"] - f["end"]).alias("c"), f["start"].alias("d"), f["ord"].alias("e"), f.alias("f")))
-    ranked = F.transform(F.array_sort(keyed), lambda k: k["f"])
-    kept = F.aggregate(ranked, none(), lambda acc, f: F.when(F.exists(acc, lambda g: overlaps(f, g)), acc).otherwise(F.concat(acc, F.array(f))))
-    placed = F.array_sort(F.transform(kept, lambda f: F.struct(f["start"].alias("a"), f["end"].alias("b"), f["ord"].alias("e"), f.alias("f"))))
-    return F.transform(placed, lambda k: k["f"])
+    kept = F.aggregate(F.array_sort(keyed), none(), lambda acc, k: F.when(F.exists(acc, lambda g: overlaps(k["f"], g)), acc).otherwise(F.concat(acc, F.array(k["f"]))))
+    return placed(kept)
+
+
+def placed(findings: Column) -> Column:
+    """In text order."""
+    return F.transform(F.array_sort(F.transform(findings, lambda f: F.struct(f["start"].alias("a"), f["end"].alias("b"), f["ord"].alias("e"), f.alias("f")))), lambda k: k["f"])
+
+
+def resolve(findings: Column) -> Column:
+    """The best of what overlaps, in text order. A cluster begins where a finding starts behind all that were before it; only within one can
+    findings overlap, so the greedy choice is made there."""
+
+    def chosen(all_: Column) -> Column:
+        fresh = running(all_, F.lit(-1), lambda end, f: F.greatest(end, f["end"]), lambda end, f: f["start"] >= end, "boolean")
+        firsts = F.filter(F.transform(fresh, lambda new, i: F.when(new, i)), lambda i: i.isNotNull())
+        cluster = lambda at, i, i_next: F.slice(all_, at + 1, F.coalesce(i_next, F.size(all_)) - at)
+        one = lambda c: F.when(F.size(c) == 1, c).otherwise(greedy(c))
+        return bound(firsts, lambda starts: F.flatten(F.transform(starts, lambda at, i: bound(cluster(at, i, F.get(starts, i + 1)), one))))
+
+    return F.when(F.size(findings) < 2, findings).otherwise(bound(placed(findings), chosen))
 
 
 @lru_cache(maxsize=64)
-def expression(application: str, text_col: str, chosen: tuple[Recognizer, ...]) -> Column:
-    """All findings of the recognizers; made once for each choice, for it takes longer than many a query."""
+def expression(application: str, text_col: str, chosen: tuple[Recognizer, ...], least_confidence: float, resolved: bool = True) -> Column:
+    """Findings of the recognizers; made once for each choice, for it takes longer than many a query."""
     text = F.col(text_col)
     order = {r.name: k for k, r in enumerate(RECOGNIZERS)}
-    found = F.concat(*[recognize(text, r, order.get(r.name, k)) for k, r in enumerate(chosen)]) if chosen else none()
-    return F.when(text.rlike(r"(?U)[\d@]"), found).otherwise(none())
+    if not chosen:
+        return F.when(text.isNotNull() | text.isNull(), none())
+
+    def found(segment: Column) -> Column:
+        every = F.concat(*[recognize(segment, r, order.get(r.name, k)) for k, r in enumerate(chosen)])
+        sure = F.filter(every, lambda f: f["confidence"] >= least_confidence)
+        return F.transform(bound(sure, resolve) if resolved else sure, lambda f: moved(f, segment["at"]))
+
+    # findings of two segments can't overlap
+    everywhere = F.flatten(F.transform(segments(text, not all(r.breaks for r in chosen)), found))
+    return F.when(text.rlike(r"(?U)[\d@]"), everywhere).otherwise(none())
 
 
 def each(df: DataFrame, array: str, *keep: str, name: str = "f") -> DataFrame:
@@ -123,12 +174,14 @@ def scan(
     Texts without a digit or an at sign are passed over in one test. model_col: findings of a model, see from_model.
     """
     text = F.col(text_col)
-    found = expression(df.sparkSession.sparkContext.applicationId, text_col, tuple(recognizers))
+    chosen, app = tuple(recognizers), df.sparkSession.sparkContext.applicationId
+    found = expression(app, text_col, chosen, least_confidence)
     if model_col:
-        found = F.concat(found, from_model(text, F.col(model_col)))
-    found = F.filter(found, lambda f: f["confidence"] >= least_confidence)
+        sure = F.filter(from_model(text, F.col(model_col)), lambda f: f["confidence"] >= least_confidence)
+        # a model's span may lie across segments, and what it hides may hide others, so all are resolved again together
+        found = bound(F.concat(expression(app, text_col, chosen, least_confidence, False), sure), resolve)
     return (
-        df.withColumn(out, resolve(found))
+        df.withColumn(out, found)
         .withColumn("engines", F.array(*[F.lit(e) for e in dict.fromkeys(["regex", *engines])]))
         .withColumn("text_length", F.length(text))
     )

@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import bound, chunks, cut
+
 STRATEGIES = ("tag", "mask", "hash", "remove")
 KEEP_LAST, MASK_CHAR, HASH_CHARS = 4, "*", 12
 DEFAULT_SALT = "lychgate"  # tokens join only with those of the same salt: callers that have one give it
@@ -42,11 +44,12 @@ def redact(df: DataFrame, text_col: str = "text", findings_col: str = "findings"
         return name, by
 
     applied = F.transform(findings, lambda f: F.struct(f["entity_type"].alias("entity_type"), f["start"].alias("start"), f["end"].alias("end"), chosen(f)[0].alias("strategy"), chosen(f)[1].alias("replacement")))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-    joined = F.aggregate(
-        F.col("applied"),
-        begin,
-        lambda acc, a: F.struct(a["end"].alias("at"), F.concat(acc["parts"], F.array(text.substr(acc["at"] + 1, a["start"] - acc["at"]), a["replacement"])).alias("parts")),
-        lambda acc: F.concat(F.array_join(acc["parts"], ""), text.substr(acc["at"] + 1, F.length(text))),
-    )
+
+    def join(both: Column) -> Column:
+        done, pieces = both["applied"], both["pieces"]
+        before = lambda i: F.coalesce(F.get(done, i - 1)["end"], F.lit(0))
+        parts = F.transform(done, lambda a, i: F.concat(cut(pieces, before(i), a["start"]), a["replacement"]))
+        return F.concat(F.array_join(parts, ""), cut(pieces, before(F.size(done)), both["size"]))
+
+    joined = bound(F.struct(F.col("applied").alias("applied"), chunks(text).alias("pieces"), F.length(text).alias("size")), join)
     return df.withColumn("applied", applied).withColumn("redacted", F.when(F.size("applied") == 0, text).otherwise(joined))

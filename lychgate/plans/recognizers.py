@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column
 
@@ -30,6 +30,8 @@ class Recognizer:
     jurisdiction: str = "GLOBAL"
     #: Every match holds one of these characters; a text without them is passed over.
     guard: str = r"\d"
+    #: No match holds, or depends on, a place where detect.BREAK matches, so texts may be cut there; else texts are scanned whole.
+    breaks: bool = False
 
     @property
     def regex(self) -> str:
@@ -39,7 +41,7 @@ class Recognizer:
 # Shapes, confidences and context words of the identifiers (context words are substrings of the lower-cased
 # surroundings). Boundaries are written so that they mean the same to Java as they do in the definitions.
 _PHONE_WORDS = ("phone", "mobile", "tel", "call", "contact", "whatsapp", "hp", "電話", "携帯", "連絡先")
-RECOGNIZERS: tuple[Recognizer, ...] = (
+_SHAPES: tuple[Recognizer, ...] = (
     Recognizer("email", "EMAIL_ADDRESS", rf"{EDGE}[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}{EDGE}", 0.9, 0.99, ("email", "e-mail", "mail", "メール"), guard="@"),
     Recognizer("credit_card", "CREDIT_CARD", r"(?<![\dA-Za-z])(?:\d[ -]?){12,18}\d(?![\dA-Za-z])", 0.98, 0.99, ("card", "visa", "mastercard", "amex", "credit", "debit", "カード", "クレジット"), V.luhn),
     Recognizer("iban", "IBAN", rf"{EDGE}[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?{EDGE}", 0.98, 0.99, ("iban", "account", "transfer", "bank", "口座", "銀行", "振込"), V.iban),
@@ -56,6 +58,7 @@ RECOGNIZERS: tuple[Recognizer, ...] = (
     Recognizer("passport", "PASSPORT", rf"{EDGE}[A-Z]{{1,2}}\d{{6,8}}{EDGE}", 0.4, 0.6, ("passport", "パスポート", "旅券"), None, True),
     Recognizer("date_of_birth", "DATE_OF_BIRTH", rf"(?i){EDGE}(?:\d{{1,2}}[/-]\d{{1,2}}[/-]\d{{2,4}}|\d{{4}}-\d{{2}}-\d{{2}}|\d{{1,2}} (?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]* \d{{4}}){EDGE}", 0.75, 0.95, ("born", "birth", "dob", "d.o.b", "birthday", "生年月日", "誕生日", "出生"), V.date_of_birth, True),
 )
+RECOGNIZERS: tuple[Recognizer, ...] = tuple(replace(r, breaks=True) for r in _SHAPES)
 
 
 def select(jurisdictions: Iterable[str] = JURISDICTIONS) -> tuple[Recognizer, ...]:

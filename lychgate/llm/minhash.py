@@ -4,12 +4,12 @@ Bands of full minima propose candidates; two low bits of each minimum, packed in
 counts, corrected for chance collisions; exact Jaccard on full shingle sets confirms every link.
 
 Texts with the same shingle set form a class, and only classes are compared, so thousands of copies cost one row. A bucket is
-read as a star around its least class; members whose estimate to that is far too low are compared with the others of the bucket
-by their signatures, in blocks, each returning a spanning forest. What hangs together is a family. Each class is first held
-against the least hub that it may be linked with, one text a class, which joins most of a family at once; only families that
-are then still in several components go on, and there only members outside the first one's component meet the others, in
-blocks of at most 2 x BLOCK texts, each returning a spanning forest of its confirmed links. So neither a bucket nor a family
-is ever in one task, no task returns all pairs, and a family that is all linked costs no more than its texts.
+read as a star around its least class, its hub, and what hangs together by stars is a family: two classes with a bucket in
+common are always in one. Each class is first held against the least hub that its signature finds near, one text a class,
+which joins most of a family at once. Families that are then still in several components meet by their rarest shingles: two
+sets with num / den of their union in common share one of the rarest few of each (prefix filtering), where rarest
+come the shingles of one component alone, which can join nothing. So a family of pages alike but unlinked costs its texts, not
+its pairs, nothing is dropped by an estimate, and what a family is made of is never in one task.
 """
 
 from __future__ import annotations
@@ -26,15 +26,10 @@ from .common import WordHash, connected_components, identified, materialise, mix
 HASHES = 128
 ROWS, BANDS = 5, 25
 BITS = 2
-#: Candidates of a bucket are followed if their estimate is this high: linked texts are over seven deviations above it.
-FOLLOW = 0.5
-#: A pair within a family is confirmed exactly unless its estimate is lower than the threshold by this: over four deviations.
+#: A class is held against a hub first if its estimate is lower than the threshold by no more than this. Which ones are decides
+#: only how much is left to do: all others meet later.
 MARGIN = 0.25
 BLOCK = 64
-#: Members of a bucket whose signatures are compared with as many others at once.
-PART = 512
-#: Elements of a block's incidence matrix up to which intersections are counted by one matrix product.
-DENSE = 30_000_000
 
 _rng = np.random.default_rng(20240229)
 _MULT = (_rng.integers(0, 2**31, HASHES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -96,8 +91,14 @@ def estimate(x: Column, y: Column) -> Column:
     return (same / F.lit(float(HASHES)) - chance) / (1 - chance)
 
 
+def named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, t, key): key names a row by its id and text, so that a row without an id has a name too."""
+    own, text = F.col(id_col).cast("long"), F.col(text_col)
+    return docs.select(own.alias("id"), text.alias("t"), F.xxhash64(own, text).alias("key"))
+
+
 def signatures(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_shingles, class (null without shingles), bands, sig."""
+    """Per row: id, key (a name of the row by its id and text), n_shingles, class (null without shingles), bands, sig."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHash()
@@ -111,114 +112,48 @@ def signatures(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str =
                 bands.append(None if low is None else band_keys(low))
                 sigs.append(None if low is None else packed(low))
             ids = pd.array([None if x is None else int(x) for x in pdf["id"]], "Int64")
-            yield pd.DataFrame({"id": ids, "n_shingles": size, "class": pd.array(name, "Int64"), "bands": bands, "sig": sigs})
+            yield pd.DataFrame({"id": ids, "key": pdf["key"].to_numpy(), "n_shingles": size, "class": pd.array(name, "Int64"), "bands": bands, "sig": sigs})
 
     # an id may be null, and pandas would make floats of such a column: it travels as text
-    read = docs.select(F.col(id_col).cast("long").cast("string").alias("id"), F.col(text_col).alias("t"))
-    return read.mapInPandas(run, "id long, n_shingles long, class long, bands array<long>, sig array<long>")
-
-
-def _ties(sigs: np.ndarray, stray: np.ndarray, sides: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs with a stray whose estimate is at least FOLLOW. sides: as in _linked, but pairs within a side only if there is one."""
-    n = len(sigs)
-    x = sigs.view(np.uint64)
-    same = np.zeros((n, n), np.int16)
-    for k in range(x.shape[1]):
-        eq = ~(x[:, None, k] ^ x[None, :, k])
-        same += np.bitwise_count(eq & (eq >> np.uint64(1)) & np.uint64(0x5555555555555555))
-    near = ((same / HASHES - 2.0**-BITS) / (1 - 2.0**-BITS) >= FOLLOW) & (stray[:, None] | stray[None, :])
-    if sides.any() and not sides.all():
-        near &= sides[:, None] != sides[None, :]
-    np.fill_diagonal(near, False)
-    out, left = [], near.any(axis=1)
-    for k in range(n):
-        if not left[k]:
-            continue
-        left[k] = False
-        front = np.array([k])
-        while len(front):
-            front = np.nonzero(near[front].any(axis=0) & left)[0]
-            left[front] = False
-            out.extend((k, int(m)) for m in front)
-    return out
-
-
-def stray_links(flagged: DataFrame, sig: DataFrame) -> DataFrame:
-    """Links (class, hub) between strays and other members of their bucket. flagged: bucket, class, near (to the bucket's hub), no hubs.
-
-    Members near the hub hang together by it, so only pairs with a stray are compared, in blocks of at most 2 x PART members.
-    """
-    mixed = flagged.groupBy("bucket").agg(F.count("*").alias("members"), F.every("near").alias("whole")).where("members > 1 AND NOT whole")
-    mixed = materialise(mixed.select("bucket", F.ceil(F.col("members") / PART).cast("int").alias("parts")), "mixed")
-    rows = flagged.join(mixed, "bucket").join(sig, "class")
-    rows = (
-        rows.withColumn("part", F.pmod(F.xxhash64("class"), "parts").cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .groupBy("bucket", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
-        .agg(F.collect_list(F.struct("class", "near", (F.col("part") != F.least("part", "other")).alias("side"), "sig")).alias("m"))
-        .where(F.size("m") > 1)
-        .select(F.col("m.class").alias("class"), F.col("m.near").alias("near"), F.col("m.side").alias("side"), F.flatten("m.sig").alias("sig"))
-    )
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            x, y = [], []
-            for cls, near, side, sigs in zip(pdf["class"], pdf["near"], pdf["side"], pdf["sig"], strict=True):
-                pairs = _ties(np.array(sigs, np.int64).reshape(len(cls), -1), ~np.array(near, bool), np.array(side, bool))
-                x.extend(int(cls[a]) for a, _ in pairs)
-                y.extend(int(cls[b]) for _, b in pairs)
-            yield pd.DataFrame({"class": x, "hub": y}, dtype="int64")
-
-    return rows.mapInPandas(run, "class long, hub long")
+    read = named(docs, id_col, text_col).withColumn("id", F.col("id").cast("string"))
+    return read.mapInPandas(run, "id long, key long, n_shingles long, class long, bands array<long>, sig array<long>")
 
 
 def candidate_families(classes: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
-    """(class, family) of the classes that bands and estimates put together: all that share a bucket and have an estimate of FOLLOW;
-    and (x, y), each class with the least hub of its buckets to which its estimate is at least `least`."""
+    """(class, family) of all classes that buckets put together; and (x, y), each class with the least hub of its buckets to which
+    its estimate is at least `least`."""
     buckets = classes.select("class", F.explode("bands").alias("bucket"))
-    stars = buckets.groupBy("bucket").agg(F.min("class").alias("hub"), F.max("class").alias("last"), F.count("*").alias("members"))
-    stars = stars.where("hub < last").select("bucket", "hub", "members")
+    stars = buckets.groupBy("bucket").agg(F.min("class").alias("hub"), F.max("class").alias("last")).where("hub < last").select("bucket", "hub")
     stars = materialise(stars, "stars")  # so that both sides of the join are plain shuffles, of which Spark splits a hot bucket
-    spokes = materialise(buckets.join(stars, "bucket").where(F.col("class") != F.col("hub")), "spokes")
+    spokes = materialise(buckets.join(stars, "bucket").where(F.col("class") != F.col("hub")).select("class", "hub").distinct(), "spokes")
     sig = classes.select("class", "sig")
-    seen = (
-        spokes.select("class", "hub").distinct()
-        .join(sig, "class")
-        .join(sig.select(F.col("class").alias("hub"), F.col("sig").alias("hub_sig")), "hub")
-        .select("class", "hub", estimate(F.col("sig"), F.col("hub_sig")).alias("est"))
-        .select("class", "hub", (F.col("est") >= FOLLOW).alias("near"), (F.col("est") >= least).alias("maybe"))
-    )
-    seen = materialise(seen, "seen")
-    # a bucket's hub may be unlike members that are like each other: these are compared among themselves
-    flagged = materialise(spokes.where("members > 2").join(seen, ["class", "hub"]).select("bucket", "class", "near"), "flagged")
-    near = seen.where("near").select("class", "hub").unionByName(materialise(stray_links(flagged, sig), "strays"))
-    found = connected_components(near, "class", "hub").select(F.col("node").alias("class"), F.col("component").alias("family"))
-    return found, seen.where("maybe").groupBy(F.col("class").alias("x")).agg(F.min("hub").alias("y"))
+    hubs = sig.select(F.col("class").alias("hub"), F.col("sig").alias("hub_sig"))
+    seen = spokes.join(sig, "class").join(hubs, "hub").where(estimate(F.col("sig"), F.col("hub_sig")) >= least)
+    found = connected_components(spokes, "class", "hub").select(F.col("node").alias("class"), F.col("component").alias("family"))
+    return found, seen.groupBy(F.col("class").alias("x")).agg(F.min("hub").alias("y"))
 
 
-def confirmed(docs: DataFrame, reps: DataFrame, pairs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (x, y) of classes whose sets have num / den of their union in common. reps: class, rep (a row's id).
+def class_texts(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(class, t): one text of each class of reps (class, key). Repeated rows bring a text again, so it is picked before it is shuffled."""
+    return named(docs, id_col, text_col).select("key", "t").join(reps.select("class", "key"), "key").groupBy("class").agg(F.first("t").alias("t"))
+
+
+def confirmed(texts: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """The pairs (x, y) of classes whose sets have num / den of their union in common. texts: class, t.
 
     Every x meets its y in groups of about BLOCK: the text of y is read once a group, that of x once a pair.
     """
     many = materialise(pairs.groupBy("y").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("groups")), "groups")
     p = materialise(pairs.join(many, "y").select("x", "y", F.pmod(F.xxhash64("x"), "groups").cast("int").alias("g")), "pairs")
     wanted = p.select("y", "g", F.col("x").alias("class")).unionByName(p.select("y", "g").distinct().withColumn("class", F.col("y")))
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("t"))
-    # the least id of a class may be null: then its row is found by no id, and its copies, all without one, name no component
-    rows = texts.join(wanted.join(reps, "class"), "rep").select("y", "g", "class", "t")
+    rows = texts.join(wanted, "class").select("y", "g", "class", "t")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         hashes = WordHash()
-        sets: dict[int, np.ndarray] = {}
-        for c, t in zip(pdf["class"].tolist(), pdf["t"], strict=True):
-            if c not in sets:
-                s = shingle_set(t, n, hashes)
-                if len(s) and set_class(s) == c:  # a repeated id may bring other texts than the one of the class
-                    sets[c] = s
-        hub = sets.pop(int(key[0]), None)
+        sets = {c: shingle_set(t, n, hashes) for c, t in zip(pdf["class"].tolist(), pdf["t"], strict=True)}
+        hub = sets.pop(int(key[0]))
         good = []
-        for c, s in sets.items() if hub is not None else ():
+        for c, s in sets.items():
             if min(len(s), len(hub)) * den >= max(len(s), len(hub)) * num:
                 both = len(np.intersect1d(s, hub, assume_unique=True))
                 if den * both >= num * (len(s) + len(hub) - both):
@@ -228,89 +163,42 @@ def confirmed(docs: DataFrame, reps: DataFrame, pairs: DataFrame, n: int, num: i
     return rows.groupBy("y", "g").applyInPandas(run, "x long, y long")
 
 
-def _linked(sets: list[np.ndarray], left: np.ndarray, components: np.ndarray, sigs: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """Pairs of a left and another member whose sets reach num / den, as many as it takes to join the components that they join."""
-    x, y = np.flatnonzero(left), np.flatnonzero(~left)
-    if not len(x) or not len(y):
-        return []
-    s = sigs.view(np.uint64)
-    eq = ~(s[x, None, :] ^ s[None, y, :])
-    same = np.bitwise_count(eq & (eq >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(axis=2)
-    est = (same / HASHES - 2.0**-BITS) / (1 - 2.0**-BITS)
-    size = np.array([len(k) for k in sets])
-    near = np.minimum.outer(size[x], size[y]) * den >= np.maximum.outer(size[x], size[y]) * num
-    i, j = np.nonzero((est >= num / den - MARGIN) & near & (components[x][:, None] != components[y][None, :]))
-    if not len(i):
-        return []
-    shared = None
-    tokens, at = np.unique(np.concatenate(sets), return_inverse=True)
-    if len(tokens) * len(sets) <= DENSE:
-        m = np.zeros((len(sets), len(tokens)), np.float32)
-        m[np.repeat(np.arange(len(sets)), size), at] = 1
-        shared = m[x] @ m[y].T
-    joined = {c: c for c in components.tolist()}
-
-    def root(c: int) -> int:
-        while joined[c] != c:
-            joined[c] = c = joined[joined[c]]
-        return c
-
-    out = []
-    for k in np.argsort(-est[i, j], kind="stable"):
-        a, b = x[i[k]], y[j[k]]
-        ca, cb = root(int(components[a])), root(int(components[b]))
-        if ca == cb:
-            continue
-        both = int(shared[i[k], j[k]]) if shared is not None else len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-        if den * both >= num * (len(sets[a]) + len(sets[b]) - both):
-            joined[ca] = cb
-            out.append((int(a), int(b)))
-    return out
+def shingled(texts: DataFrame, members: DataFrame, n: int) -> DataFrame:
+    """(class, family, component, n, shingles) of members (class, family, component)."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = WordHash()
+        for pdf in text_slices(batches, "t"):
+            sets = [shingle_set(t, n, hashes).view(np.int64) for t in pdf["t"]]
+            yield pdf.drop(columns="t").assign(n=[len(x) for x in sets], shingles=sets)
 
-def confirmed_links(docs: DataFrame, members: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
-    """Links (x, y) between classes of different components of a family, enough to join what they join. members: class, family, rep
-    (a row's id), sig, component.
+    read = texts.join(members, "class").select("class", "family", "component", "t")
+    return read.mapInPandas(run, "class long, family long, component long, n long, shingles array<long>")
 
-    Members of the component of a family's least class need not meet each other: r others cost r times the family's members.
-    """
-    families = members.groupBy("family").agg(F.count("*").alias("n"), F.min("component").alias("a"), F.max("component").alias("b"), F.min(F.struct("class", "component")).alias("first"))
-    families = materialise(families.where("a < b").select("family", "n", F.col("first.component").alias("home")), "open-families")
-    rows = materialise(members.join(families, "family"), "open-members")
-    apart = rows.where("component <> home").groupBy("family").agg(F.count("*").alias("m"))
-    parts = materialise(families.join(apart, "family").select("family", F.ceil(F.col("n") / BLOCK).cast("int").alias("wide"), F.ceil(F.col("m") / BLOCK).cast("int").alias("high")), "open-parts")
-    rows = rows.join(parts, "family")
-    dealt = lambda n, salt: F.pmod(F.xxhash64("class", F.lit(salt)), n).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    keep = ["family", "class", "rep", "sig", "component"]
-    left = rows.where("component <> home").select(*keep, dealt("high", "left").alias("i"), each("wide").alias("j"), F.lit(True).alias("left"))
-    right = rows.select(*keep, each("high").alias("i"), dealt("wide", "right").alias("j"), F.lit(False).alias("left"))
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("t"))
-    blocks = texts.join(left.unionByName(right), "rep").drop("rep")
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        hashes = WordHash()
-        made: dict[int, np.ndarray] = {}
-        good, seen = [], set()
-        # a repeated id may bring other texts: only rows that are of the class they stand for count, once a side
-        for k, (c, side, t) in enumerate(zip(pdf["class"].tolist(), pdf["left"].tolist(), pdf["t"], strict=True)):
-            if (c, side) in seen:
-                continue
-            if c not in made:
-                s = shingle_set(t, n, hashes)
-                if not len(s) or set_class(s) != c:
-                    continue
-                made[c] = s
-            seen.add((c, side))
-            good.append(k)
-        if len(good) < 2:
-            return pd.DataFrame({"x": [], "y": []}, dtype="int64")
-        part = pdf.iloc[good]
-        cls = part["class"].to_numpy()
-        pairs = _linked([made[c] for c in cls.tolist()], part["left"].to_numpy(bool), part["component"].to_numpy(), np.array(part["sig"].tolist(), np.int64), num, den)
-        return pd.DataFrame({"x": [cls[a] for a, _ in pairs], "y": [cls[b] for _, b in pairs]}, dtype="int64")
-
-    return blocks.groupBy("family", "i", "j").applyInPandas(run, "x long, y long")
+def prefix_pairs(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(x, y) of classes of one family in different components, among them all whose sets have num / den of their union in common.
+
+    Shingles of a family are put in one order: those of one component alone first, then by how many members have them, then by
+    value. Of two such sets the smaller has one of its first n - 2 num n / (num + den) + 1 shingles in common with the first
+    n - num n / den + 1 of the larger. Members of the component that has most of a shingle's holders don't meet each other.
+    """
+    rows = sets.select("class", "family", "component", "n", F.explode("shingles").alias("shingle"))
+    held = rows.groupBy("family", "shingle", "component").agg(F.count("*").alias("held"))
+    across = held.groupBy("family", "shingle").agg(F.sum("held").alias("df"), F.count("*").alias("parts"), F.max_by("component", F.struct("held", "component")).alias("home"))
+    across = materialise(across.where("parts > 1").drop("parts"), "across")
+    ranked = rows.join(across, ["family", "shingle"]).groupBy("class", "family", "component", "n").agg(F.array_sort(F.collect_list(F.struct("df", "shingle", "home"))).alias("shared"))
+    n, alone = F.col("n"), F.col("n") - F.size("shared")
+    most = n - F.ceil(n * num / den) + 1 - alone  # of the shared ones, as the larger set
+    least = n - F.ceil(n * 2 * num / (num + den)) + 1 - alone  # as the smaller one
+    keys = ranked.where(most > 0).select("class", "family", "component", "n", least.alias("short"), F.posexplode(F.slice("shared", F.lit(1), most.cast("int"))).alias("at", "s"))
+    keys = keys.select("class", "family", "component", "n", F.col("s.shingle").alias("shingle"), (F.col("at") < F.col("short")).alias("small"), (F.col("component") == F.col("s.home")).alias("home"))
+    keys = materialise(keys, "prefixes")
+    x = keys.where("small").select("family", "shingle", *[F.col(c).alias(f"x_{c}") for c in ("class", "component", "n", "home")])
+    y = keys.select("family", "shingle", *[F.col(c).alias(f"y_{c}") for c in ("class", "component", "n", "home")])
+    fits = (F.col("x_component") != F.col("y_component")) & (F.col("x_n") <= F.col("y_n")) & (F.col("x_n") * den >= F.col("y_n") * num)
+    met = x.where("NOT x_home").join(y, ["family", "shingle"]).where(fits).unionByName(x.where("x_home").join(y.where("NOT y_home"), ["family", "shingle"]).where(fits))
+    return met.select(F.col("x_class").alias("x"), F.col("y_class").alias("y")).distinct()
 
 
 def components_of(links: DataFrame) -> DataFrame:
@@ -321,24 +209,31 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     """Per row of docs: doc_id, n_shingles, class_id, component_id, kept.
 
     Links join texts whose shingle sets have at least num / den of their union in common; component_id is the smallest id
-    that links reach. Null and empty texts have no shingles and are linked with nothing, copies of them included; a null id
-    never names a component unless it stands alone (then component_id is null and kept is true). Repeated rows keep
-    their number. Columns of docs other than the two named are not read; an empty table gives an empty result.
+    that links reach. Null and empty texts have no shingles and are linked with nothing, copies of them included. Rows without
+    an id link others as all rows do, but never name a component unless no row of it has an id (then component_id is null and
+    kept is true). Repeated rows keep their number. Columns of docs other than the two named are not read; an empty table
+    gives an empty result.
     """
     rows = materialise(signatures(docs, shingle, id_col, text_col), "signatures")
-    classes = rows.where("class IS NOT NULL").select("class", "bands", "sig").dropDuplicates(["class"])
-    reps = rows.where("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("rep"))
+    worded = rows.where("class IS NOT NULL")
+    classes = worded.select("class", "bands", "sig").dropDuplicates(["class"])
+    reps = worded.groupBy("class").agg(F.min("key").alias("key"), F.min("id").alias("rep"))
     families, first = candidate_families(classes, num / den - MARGIN)
-    links = materialise(confirmed(docs, reps, first, shingle, num, den, id_col, text_col), "links-first")
+    families = materialise(families.join(reps.select("class", "key"), "class"), "families")
+    texts = materialise(class_texts(docs, families, id_col, text_col), "class-texts")
+    links = materialise(confirmed(texts, first, shingle, num, den), "links-first")
     found = materialise(components_of(links), "components-first")
-    members = families.join(reps, "class").join(classes.select("class", "sig"), "class").join(found, "class", "left")
-    members = materialise(members.withColumn("component", F.coalesce("component", "class")), "members")
-    more = materialise(confirmed_links(docs, members, shingle, num, den, id_col, text_col), "links-more")
+    members = families.join(found, "class", "left").select("class", "family", F.coalesce("component", "class").alias("component"))
+    open_ = members.groupBy("family").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("family")
+    sets = materialise(shingled(texts, members.join(open_, "family"), shingle), "sets")
+    more = materialise(confirmed(texts, materialise(prefix_pairs(sets, num, den), "candidates"), shingle, num, den), "links-more")
     groups = components_of(links.unionByName(more)).withColumnRenamed("component", "group")
-    named = reps.join(groups, "class", "left").withColumn("group", F.coalesce("group", "class"))
-    least = named.groupBy("group").agg(F.min("rep").alias("component_id"))
-    names = named.join(least, "group").select("class", "component_id")
-    out = rows.select("id", "n_shingles", "class").join(names, "class", "left")
+    known = reps.join(groups, "class", "left").withColumn("group", F.coalesce("group", "class"))
+    least = known.groupBy("group").agg(F.min("rep").alias("component_id"))
+    names = known.join(least, "group").select("class", "component_id")
+    out = worded.select("id", "n_shingles", "class").join(names, "class", "left")
+    # rows without words have no class to be joined by, and would all meet in one task
+    out = out.unionByName(rows.where("class IS NULL").select("id", "n_shingles", "class", F.col("id").alias("component_id")))
     component = F.coalesce("component_id", "id")
     return out.select(
         F.col("id").alias("doc_id"),

@@ -203,19 +203,19 @@ s AS (
   SELECT doc_id, list_distinct(CASE WHEN ws IS NULL OR len(ws) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
     ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS sh FROM w
 ),
-c AS (SELECT hash(list_sort(sh)) AS cls, min(doc_id) AS rep, any_value(sh) AS sh, any_value(len(sh)) AS n FROM s WHERE len(sh) > 0 GROUP BY list_sort(sh), 1),
-u AS (SELECT rep, n, unnest(sh) AS g FROM c),
+c AS (SELECT row_number() OVER () AS node, list_sort(sh) AS sh, min(doc_id) AS rep, len(list_sort(sh)) AS n FROM s WHERE len(sh) > 0 GROUP BY list_sort(sh)),
+u AS (SELECT node, n, unnest(sh) AS g FROM c),
 pairs AS (
-  SELECT a.rep AS a, b.rep AS b FROM u a JOIN u b ON a.g = b.g AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
-  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+  SELECT a.node AS a, b.node AS b FROM u a JOIN u b ON a.g = b.g AND a.node < b.node AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
 ),
 e AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
-reach AS (SELECT rep AS node, rep AS far FROM c UNION SELECT r.node, e.b FROM reach r JOIN e ON e.a = r.far),
-comp AS (SELECT node, min(far) AS component_id FROM reach GROUP BY node),
-member AS (SELECT s.doc_id, c.rep FROM s JOIN c ON list_sort(s.sh) = list_sort(c.sh))
-SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, coalesce(comp.component_id, s.doc_id) AS component_id,
-  coalesce(comp.component_id, s.doc_id) = s.doc_id AS kept
-FROM s LEFT JOIN member m ON s.doc_id = m.doc_id LEFT JOIN comp ON comp.node = m.rep
+reach AS (SELECT node, node AS far FROM c UNION SELECT r.node, e.b FROM reach r JOIN e ON e.a = r.far),
+comp AS (SELECT reach.node, min(far.rep) AS component_id FROM reach JOIN c far ON far.node = reach.far GROUP BY reach.node),
+member AS (SELECT s.doc_id, s.sh, c.node FROM s LEFT JOIN c ON list_sort(s.sh) = c.sh)
+SELECT m.doc_id, CAST(len(m.sh) AS BIGINT) AS n_shingles, coalesce(comp.component_id, m.doc_id) AS component_id,
+  coalesce(comp.component_id, m.doc_id) IS NOT DISTINCT FROM m.doc_id AS kept
+FROM member m LEFT JOIN comp ON comp.node = m.node
 """
 
 #: The checksum is worked out from its polynomial, byte by byte; near words meet by what a deletion leaves of either.

@@ -66,10 +66,8 @@ def test_large_family_is_split_and_whole(made, spark):
     test_near_duplicates_match_brute_force(df, df.collect(), 3, 85)
 
 
-@pytest.mark.parametrize("part", [7, 512])
-def test_buckets_whose_hub_is_unlike_their_members(made, spark, monkeypatch, part):
+def test_buckets_whose_hub_is_unlike_their_members(made, spark, monkeypatch):
     """Texts that quote one passage share buckets with many that they aren't linked with; every link is found all the same."""
-    monkeypatch.setattr(minhash, "PART", part)
     monkeypatch.setattr(minhash, "BLOCK", 9)
     passage = made.prose(90).split()
     texts = [" ".join(passage + made.prose(made.rng.randint(60, 110)).split()) for _ in range(150)]
@@ -93,23 +91,56 @@ def test_large_group_costs_a_text_a_pair(made, spark, monkeypatch):
         words[(k * 7) % 200] = f"v{k}"
         texts.append(" ".join(words))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    asked, plain, apart = [], minhash.confirmed, []
+    asked = asked_of(monkeypatch)
+    got = minhash.near_duplicates(df, 3, 85, 100).collect()
+    assert {r.component_id for r in got} == {0} and sum(r.kept for r in got) == 1
+    assert sum(asked) <= 1.02 * len(texts), asked
 
-    def count(docs, reps, pairs, *how):
-        asked.append(pairs.count())
-        return plain(docs, reps, pairs, *how)
 
-    monkeypatch.setattr(minhash, "confirmed", count)
-    whole = minhash.confirmed_links
+def asked_of(monkeypatch) -> list[int]:
+    """Gets the number of pairs that are confirmed on full sets, in each round."""
+    asked, plain = [], minhash.confirmed
 
-    def blocks(docs, members, *how):
-        apart.append(members.groupBy("component").count().orderBy(F.desc("count")).collect())
-        return whole(docs, members, *how)
+    def count(texts, pairs, *how):
+        asked.append(pairs.count())
+        return plain(texts, pairs, *how)
 
-    monkeypatch.setattr(minhash, "confirmed_links", blocks)
-    got = minhash.near_duplicates(df, 3, 85, 100).collect()
-    assert {r.component_id for r in got} == {0} and sum(r.kept for r in got) == 1
-    assert sum(asked) <= len(texts) and sum(r["count"] for r in apart[0][1:]) < 0.02 * len(texts), (asked, apart)
+    monkeypatch.setattr(minhash, "confirmed", count)
+    return asked
+
+
+def test_a_family_of_unlinked_pages_costs_its_texts(made, spark, monkeypatch):
+    """Pages of one template, alike but not linked: pairs grow with the pages, not with their square."""
+    template = made.prose(160)
+    for n in (1000, 4000):
+        df = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit(template), *[F.concat(F.lit(" w"), (F.col("id") * 40 + k).cast("string")) for k in range(40)]).alias("text"))
+        asked = asked_of(monkeypatch)
+        got = minhash.near_duplicates(df, 3, 85, 100)
+        assert got.where("kept").count() == n and sum(asked) <= 2 * n, asked
+        monkeypatch.undo()
+
+
+def test_links_lead_through_rows_without_an_id(made, spark):
+    words = [made.prose(100).split()]
+    for k in (1, 2):
+        words.append([*words[-1][:-5], *[f"{k}x{i}" for i in range(5)]] if k == 1 else [*[f"{k}y{i}" for i in range(5)], *words[-1][5:]])
+    a, x, b = map(" ".join, words)
+    rows = [(7, a), (None, x), (9, b), (None, "alone with its own words"), (None, x), (3, "")]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85, 100).collect()
+    assert Counter((r.doc_id, r.component_id, r.kept) for r in got) == Counter([(7, 7, True), (9, 7, False), (None, 7, False), (None, 7, False), (None, None, True), (3, 3, True)])
+    assert {r.component_id for r in minhash.near_duplicates(spark.createDataFrame([(7, a), (9, b)], "doc_id long, text string"), 3, 85, 100).collect()} == {7, 9}
+
+
+def test_recall_on_mixed_families(made, spark):
+    """Families whose members lie on both sides of the threshold: components equal brute force, so every link was found."""
+    rng, texts = made.rng, []
+    for _ in range(50):
+        base = made.prose(rng.randint(40, 160)).split()
+        far = rng.choice((0.01, 0.03, 0.05, 0.08))
+        texts += [" ".join(w if rng.random() > far else f"{rng.randint(0, 10**9)}q" for w in base) for _ in range(24)]
+    rng.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    test_near_duplicates_match_brute_force(df, df.collect(), 3, 85)
 
 
 def test_estimate_is_corrected(spark):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import classify_sql, scan_sql
 from .functions import validators as V
-from .operators import classify, detect, evaluate, images, policy, profile, redact
+from .operators import classify, detect, evaluate, images, policy, profile, redact, trail
 from .plans.recognizers import JURISDICTIONS, RECOGNIZERS, select
 from .sources import router
 
@@ -367,6 +367,33 @@ def deterministic_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return router.sample(table(spark, sf_dir, "customer"), "c_name", 500).select("value")
 
 
+def column_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ordered samples of all columns of a table in one scan."""
+    return router.sampled(table(spark, sf_dir, "customer"), "customer", 100)
+
+
+COLUMN_SAMPLES_SQL = " UNION ALL ".join(
+    f"SELECT 'customer' AS \"table\", '{c}' AS \"column\", pos, v AS value FROM (SELECT v, row_number() OVER (ORDER BY v IS NULL, sha256(v), octet_length(encode(v)), hex(encode(v))) - 1 AS pos FROM (SELECT CAST({c} AS VARCHAR) AS v FROM customer)) WHERE pos < 100"
+    for c in ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+)
+
+
+def audit_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roots of the table of events as audit events, a batch a kind."""
+    df = table(spark, sf_dir, "events").select(F.col("event_type").alias("kind"), F.col("event_id").cast("string").alias("source_id"), F.col("props").alias("payload"), "event_type")
+    return trail.roots(trail.with_leaves(df, F.col("event_type")))
+
+
+AUDIT_ROOTS_SQL = """
+WITH e AS (SELECT event_type AS batch, sha256(concat_ws('', length(event_type) || ':' || event_type, length(event_type) || ':' || event_type,
+  length(CAST(event_id AS VARCHAR)) || ':' || event_id, coalesce(length(props) || ':' || props, '-:'))) AS leaf FROM events),
+n0 AS (SELECT batch, leaf AS prefix, count(*) AS events, leaf || '*' || count(*) AS node FROM e GROUP BY batch, leaf),
+n1 AS (SELECT batch, substr(prefix, 1, 4) AS prefix, sum(events) AS events, sha256(string_agg(node, '|' ORDER BY prefix)) AS node FROM n0 GROUP BY batch, 2),
+n2 AS (SELECT batch, substr(prefix, 1, 2) AS prefix, sum(events) AS events, sha256(string_agg(node, '|' ORDER BY prefix)) AS node FROM n1 GROUP BY batch, 2)
+SELECT batch, CAST(sum(events) AS BIGINT) AS events, sha256(string_agg(node, '|' ORDER BY prefix)) AS root FROM n2 GROUP BY batch
+"""
+
+
 def name_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.concat(F.element_at(F.array(*map(F.lit, ["custEmail", "NRICNumber", "filename", "full_name", "homeAddress", "ip_address"])), (F.col("n_nationkey") % 6 + 1).cast("int")), F.when(F.col("n_nationkey") > 12, "_2").otherwise(""))
     df = table(spark, sf_dir, "nation").select("n_nationkey", names.alias("name"))
@@ -513,6 +540,8 @@ QUERIES: dict[str, Query] = {
     "adjudication_nudge": adjudication_nudge,
     "model_findings_cap": model_findings_cap,
     "deterministic_sample": deterministic_sample,
+    "column_samples": column_samples,
+    "audit_roots": audit_roots,
     "name_rules": name_rules,
     "eval_precision_recall": eval_precision_recall,
     "eval_corpus": eval_corpus,
@@ -555,6 +584,8 @@ ORACLES: dict[str, str] = {
     "classify_signals": classify_sql.classified(MADE_SQL) + 'SELECT "column", code, weight FROM sign',
     "scan_packs": packs_sql(),
     "deterministic_sample": "SELECT c_name AS value FROM customer ORDER BY c_name IS NULL, sha256(c_name), octet_length(encode(c_name)), hex(encode(c_name)) LIMIT 500",
+    "column_samples": COLUMN_SAMPLES_SQL,
+    "audit_roots": AUDIT_ROOTS_SQL,
     "name_rules": NAME_RULES_SQL,
     "eval_precision_recall": EVAL_SQL,
     "eval_corpus": EVAL_CORPUS_SQL,

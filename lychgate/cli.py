@@ -76,13 +76,7 @@ def emit(df: DataFrame, out: str | None, fmt: str = "parquet") -> None:
 
 def classify_columns(spark: SparkSession, args: argparse.Namespace, s: config.Settings) -> DataFrame:
     limit = s.sample_limit if args.sample is None else args.sample
-    order = router.json_order if args.source.lower().startswith("bigquery://") else router.hash_order
-    long = None
-    for name, df in router.open_source(spark, args.source, args.table).items():
-        one = router.sampled(df, name, limit, order)
-        long = one if long is None else long.unionByName(one)
-    if long is None:
-        raise ValueError("the source has no tables")
+    long = router.sampled_source(spark, args.source, limit, args.table)
     profiles = profile.profile(long, select(s.jurisdictions))
     return engines.adjudicate(profiles, args.adjudicator, s.thresholds) if args.adjudicator else classify.classify(profiles, limits=s.thresholds)
 

@@ -147,8 +147,11 @@ def test_refused_addresses(call, address):
 
 
 def test_addresses():
-    assert router.safe_address("mysql://u:secret@h/db?x=secret") == "mysql://***@h/db"
-    assert router.safe_address("x:u:secret@h") == "x:<redacted>"
+    assert router.safe_address("mysql://u:secret@h/db?x=secret") == "mysql://h/db (withheld)"
+    assert router.safe_address("x:u:secret@h") == "x: (withheld)"
+    assert router.safe_address("postgres://h:5432/db") == "postgres://h:5432/db" and router.safe_address("a/b.xyz") == "a/b.xyz"
+    for address in ("u:secret@h", "http://u:secret@[h", "mysql://h:port/secret", "s3://secret@b/k#secret", ""):
+        assert "secret" not in router.safe_address(address) and "(withheld)" in router.safe_address(address)
     assert router.mysql_options("mysql://u:@h/db", {router.MYSQL_PASSWORD: "no"})["password"] == ""
     assert router.mysql_options("mysql://u@h/db", {router.MYSQL_PASSWORD: " s "})["password"] == " s "
     with pytest.raises(ValueError):

@@ -21,8 +21,9 @@ CONTAINED = 0.8
 #: 0.8 x 0.8 = 0.64 where containment is 0.8: 32 bands of one minimum leave out one in 10^14 occurrences, and one in 10^5
 #: at a similarity of 0.3.
 BANDS = 32
-#: Rows of the index (BANDS a template) up to which it is sent to all executors; a larger one is joined.
-INDEX_HELD = 200_000
+#: Bytes of the index (some ROW_BYTES for each of BANDS rows a template), and of the templates' shingle sets, up to which they
+#: are sent to all executors; larger ones are joined.
+HELD_BYTES, ROW_BYTES = 32_000_000, 80
 
 #: Common short license notices.
 TEMPLATES = {
@@ -66,8 +67,8 @@ def least_of(hashes: Column, seed: Column) -> Column:
     return F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, seed)))
 
 
-def template_index(spark: SparkSession, templates: DataFrame) -> DataFrame:
-    """license, k, wide, step, t_shingles, seed, least, shingle: BANDS rows a template, of templates (license, body).
+def template_index(spark: SparkSession, templates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(license, k, wide, step, seed, least, shingle), BANDS rows a template, and (license, k, t_shingles), one, of templates (license, body).
 
     k is the shingle's length, less than SHINGLE only where a template has fewer words; a template without words is refused.
     """
@@ -76,11 +77,13 @@ def template_index(spark: SparkSession, templates: DataFrame) -> DataFrame:
     if bare := [r[0] for r in marked.where("k = 0").select("license").take(5)]:
         raise ValueError(f"templates without a word: {', '.join(map(str, bare))}")
     step = F.greatest(F.floor(F.size("marks") / 4).cast("int"), F.lit(1))
-    made = once(marked.withColumn("step", step).withColumn("wide", F.size("marks") + step - F.col("k")), F.array_distinct(shingles(F.col("marks"), F.col("k"))), "t_shingles", "license", "k", "wide", "step")
-    made = made.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))))
+    sized = marked.withColumn("step", step).withColumn("wide", F.size("marks") + step - F.col("k"))
+    sets = materialise(once(sized, F.array_distinct(shingles(F.col("marks"), F.col("k"))), "t_shingles", "license", "k", "wide", "step"), "template-sets")
+    made = sets.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))))
     made = once(made, least_of(F.col("t_shingles"), F.col("seed")), "least", "license", "k", "wide", "step", "t_shingles", "seed")
     shingle = F.get(F.filter("t_shingles", lambda h: F.xxhash64(h, F.col("seed")) == F.col("least")), F.lit(0))
-    return materialise(made.withColumn("shingle", shingle), "template-index")
+    index = made.select("license", "k", "wide", "step", "seed", "least", shingle.alias("shingle"))
+    return materialise(index, "template-index"), sets.select("license", "k", "t_shingles")
 
 
 def scan(docs: DataFrame, templates: DataFrame | dict[str, str] | None = None, contained: float = CONTAINED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -88,25 +91,34 @@ def scan(docs: DataFrame, templates: DataFrame | dict[str, str] | None = None, c
 
     templates: (license, body), of any number and length. Texts are compared as lower-case runs of letters and digits. Null, empty
     and shorter texts hold no license; rows that share an id, a null one too, are reported together; other columns are not read;
-    an empty table gives an empty result. Everything up to the last count is local to a row.
+    an empty table gives an empty result.
+
+    A first pass looks every shingle up in the bands, with nothing of the text beside it; texts with hits are read again, and
+    from each the windows that its hits ask for are cut. So a text's length counts once in either pass.
     """
     spark = docs.sparkSession
     if not isinstance(templates, DataFrame):
         templates = spark.createDataFrame(list((TEMPLATES if templates is None else templates).items()), "license string, body string")
-    index = template_index(spark, templates)
-    held = index.count() <= INDEX_HELD
+    index, sets = template_index(spark, templates)
+    sent = lambda df, size: F.broadcast(df) if size <= HELD_BYTES else df
+    index_bytes = index.count() * ROW_BYTES
+    set_bytes = (sets.agg(F.sum(F.size("t_shingles"))).first()[0] or 0) * 8
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).where("t IS NOT NULL")
-    marked = once(texts, F.transform(words(F.col("t")), lambda w: F.xxhash64(w)), "marks", "doc_id")
+    texts = texts.withColumn("row", F.xxhash64("doc_id", "t"))
+    marks = F.transform(words(F.col("t")), lambda w: F.xxhash64(w))
     found = None
     for (k,) in index.select("k").distinct().collect():  # at most SHINGLE lengths, one unless a template is very short
-        own = index.where(F.col("k") == k).drop("k")
-        placed = once(marked, shingles(F.col("marks"), k), "h", "doc_id").select("doc_id", "h", F.posexplode("h").alias("i", "shingle"))
-        hits = placed.join(F.broadcast(own) if held else own, "shingle")
+        hashed = lambda df, k, *keep: once(once(df, marks, "marks", *keep), shingles(F.col("marks"), k), "h", *keep)
+        placed = hashed(texts, k, "row").select("row", F.posexplode("h").alias("i", "shingle"))
+        hits = placed.join(sent(index.where(F.col("k") == k), index_bytes), "shingle")
         starts = F.sequence(F.ceil(F.greatest(F.col("i") - F.col("wide") + 1, F.lit(0)) / F.col("step")).cast("int"), F.floor(F.col("i") / F.col("step")).cast("int"))
-        near = hits.select("doc_id", "license", "h", "wide", "seed", "least", "t_shingles", F.explode(F.transform(starts, lambda s: s * F.col("step"))).alias("start"))
-        window = F.array_distinct(F.slice("h", F.col("start") + 1, F.col("wide")))
-        near = once(near, window, "window", "doc_id", "license", "start", "seed", "least", "t_shingles")
-        near = near.where(least_of(F.col("window"), F.col("seed")) == F.col("least"))
+        asked = hits.select("row", F.explode(F.transform(starts, lambda s: F.struct((s * F.col("step")).alias("start"), "license", "wide", "seed", "least"))).alias("a"))
+        asked = materialise(asked.groupBy("row").agg(F.collect_set("a").alias("asked")), "windows-asked")
+        window = lambda a: F.array_distinct(F.slice("h", a["start"] + 1, a["wide"]))
+        banded = F.filter("asked", lambda a: least_of(window(a), a["seed"]) == a["least"])
+        near = once(hashed(texts.join(asked, "row"), k, "doc_id", "asked"), F.array_distinct(F.transform(banded, lambda a: F.struct(a["license"].alias("license"), a["start"].alias("start"), a["wide"].alias("wide")))), "kept", "doc_id", "h")
+        near = near.select("doc_id", F.explode(F.transform("kept", lambda a: F.struct(a["license"].alias("license"), a["start"].alias("start"), window(a).alias("window")))).alias("n")).select("doc_id", "n.*")
+        near = near.join(sent(sets.where(F.col("k") == k), set_bytes), "license")
         share = F.size(F.array_intersect("window", "t_shingles")) / F.size("t_shingles")
         part = near.select("doc_id", "license", "start", share.alias("containment")).where(F.col("containment") >= contained)
         found = part if found is None else found.unionByName(part)

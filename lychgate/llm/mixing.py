@@ -17,8 +17,8 @@ SPACE = "[\\x20\\x09-\\x0D]+"
 #: Bits of the shuffle hash (of 60, the high ones) that make buckets within a source, and of buckets of a unit of finish time
 #: within the queue: ten, and more where a bucket would have more than BUCKET_ROWS rows.
 BUCKET_BITS, BUCKET_ROWS = 10, 200_000
-#: Copies that finish later than this multiple of the time at which all targets are met are not queued.
-HORIZON = 2.0
+#: Parts into which equal rows are dealt to be numbered: SALTS at least, and more where rows are many.
+SALTS = 256
 
 
 def word_count(text: Column) -> Column:
@@ -65,17 +65,42 @@ def running(df: DataFrame, keys: list[str], bucket: str, order: list[str], value
     return joined.select("l.*", (F.col("r._base") + F.col("l._own")).alias(name)).drop("_own")
 
 
+def numbered(rows: DataFrame, parts: int) -> DataFrame:
+    """rows (_key, _part, ...) with _copy, from 0 among rows of one key; which of them gets which number makes no difference."""
+    again = materialise(rows.groupBy("_key").count().where("count > 1").select("_key"), "again")
+    if again.isEmpty():
+        return rows.withColumn("_copy", F.lit(0).cast("long"))
+    sums = rows.join(again, "_key").groupBy("_key", "_part").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # at most `parts` rows
+    sums = sums.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).select("_key", "_part", "_base")
+    within = Window.partitionBy("_key", "_part").orderBy("doc_id")
+    copies = rows.join(again, "_key").withColumn("_row", F.row_number().over(within)).join(sums, ["_key", "_part"])
+    copies = copies.select(*rows.columns, (F.col("_base") + F.col("_row") - 1).alias("_copy"))
+    return rows.join(again, "_key", "left_anti").withColumn("_copy", F.lit(0).cast("long")).unionByName(copies)
+
+
+def slot_of(finish: Column, bits: int) -> Column:
+    """Buckets of finish times in their order: even ones up to 2, where nearly all of the mix is, and from there on ever wider ones."""
+    late = F.floor(F.log2(finish) * 2 ** (bits - 4)) + 2 ** (bits + 1)
+    return F.when(finish < 2, F.floor(finish * 2**bits)).otherwise(late).cast("long")
+
+
 def mix(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = (1, 2, 3), repeats: int = 3, share: float = 1.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Per row of docs: doc_id, size, source_size, target, taken.
 
     size counts words ([^\\x20\\x09-\\x0D]+, 0 for null or empty text), taken is size times the copies in the mix, at most
-    `repeats`. Rows with a null source are one source, which comes last. Repeated rows are documents of their own; ties
-    are broken by id, size and the text's hash, so reruns agree. Other columns are not read; an empty table gives an empty result.
+    `repeats`. Rows with a null source are one source, which comes last. Repeated rows are documents of their own, told apart by a
+    number; ties are broken by id, size and the text's hash, so reruns agree. All copies are queued, so the budget is used to the
+    last document however large documents are. Other columns are not read; an empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), text_hash(F.col(text_col)).alias("_text"))
-    key = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), "_text", F.lit(str(seed)))), 1, 15), 16, 10).cast("long")
-    rows = materialise(rows.withColumn("_key", key), "sizes")
-    bits = max(BUCKET_BITS, (rows.count() // BUCKET_ROWS).bit_length())
+    made = lambda *more: F.conv(F.substring(F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), "_text", F.lit(str(seed)), *more)), 1, 15), 16, 10).cast("long")
+    rows = materialise(rows.withColumn("_id", F.monotonically_increasing_id()).withColumn("_key", made()), "sizes")
+    many = rows.count()
+    bits = max(BUCKET_BITS, (many // BUCKET_ROWS).bit_length())
+    parts = max(SALTS, many // BUCKET_ROWS)
+    rows = numbered(rows.withColumn("_part", F.pmod(F.xxhash64("_id"), F.lit(parts)).cast("int")).drop("_id"), parts).drop("_part")
+    rows = rows.withColumn("_key", F.when(F.col("_copy") == 0, F.col("_key")).otherwise(made(F.col("_copy").cast("string")))).drop("_copy")
     goal = materialise(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, repeats, share), "targets")
     keyed = rows.withColumn("_bucket", F.shiftright("_key", 60 - bits).cast("int"))
     queued = running(keyed, ["source"], "_bucket", ["_key", "doc_id", "size", "_text"], "size", "_queued").alias("q")
@@ -84,8 +109,7 @@ def mix(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = (1, 2, 3), r
     queued = materialise(queued, "queue")
     copies = queued.where("size > 0 AND target > 0").withColumn("_pass", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     copies = copies.withColumn("_finish", (F.col("_pass") * F.col("source_size") + F.col("_queued")) / F.col("target"))
-    # all sources reach their target at time 1; what would only finish at twice that time is never near it, so it isn't queued
-    copies = copies.where(F.col("_finish") <= HORIZON).withColumn("_slot", F.floor(F.col("_finish") * 2**bits).cast("int"))
+    copies = copies.withColumn("_slot", slot_of(F.col("_finish"), bits))
     order = ["_finish", "source", "_key", "doc_id", "_text", "size"]
     taken = running(copies, [], "_slot", order, "size", "_total")
     words = goal.agg(F.sum("source_size")).first()[0] or 0  # one number

@@ -222,14 +222,18 @@ def places(groups: list[tuple[list[int], int]]) -> list[tuple[int, list[tuple[in
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Adds sequence_id and offset to pieces (doc_id, piece, ..., length of 1 to capacity); one row stays one row."""
-    spark = pieces.sparkSession
+    """Adds sequence_id and offset to pieces (doc_id, piece, ..., length of 1 to capacity); one row stays one row.
+
+    Pieces are written with a number of their own first, by which those of a length are dealt, so that equal rows are not one bucket.
+    """
+    spark, names = pieces.sparkSession, pieces.columns
+    pieces = materialise(pieces.withColumn("_copy", F.monotonically_increasing_id()), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     table = places(plan(counts, capacity))
     schema = "length long, runs array<struct<rank: long, first: long, at: long>>"
     runs = spark.createDataFrame(table, schema)  # a row for each length, with a few runs each: bounded by capacity
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "start", F.col("ids_crc32")), F.lit(max(SALTS, sum(counts.values()) // SALT_ROWS))).cast("int"))
-    within = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")
+    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("_copy"), F.lit(max(SALTS, sum(counts.values()) // SALT_ROWS))).cast("int"))
+    within = Window.partitionBy("length", "_salt").orderBy("_copy")
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     sums = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     ranked = salted.withColumn("_row", F.row_number().over(within)).join(sums.select("length", "_salt", "_base"), ["length", "_salt"])
@@ -238,7 +242,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     run = F.element_at(F.filter("runs", lambda x: x["rank"] <= F.col("_rank")), -1)
     placed = placed.withColumn("_run", run)
     return placed.select(
-        *[placed[c] for c in pieces.columns],
+        *[placed[c] for c in names],
         (F.col("_run.first") + F.col("_rank") - F.col("_run.rank")).alias("sequence_id"),
         F.col("_run.at").alias("offset"),
     )
@@ -251,4 +255,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, ranks: str | None = None, ca
     the first may be shorter. Repeated rows and null ids are documents like others; other columns are not read; an empty
     table gives an empty result.
     """
-    return pack(materialise(tokenise(docs, tokenizer, ranks, capacity, id_col, text_col), "pieces"), capacity)
+    return pack(tokenise(docs, tokenizer, ranks, capacity, id_col, text_col), capacity)

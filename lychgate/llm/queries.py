@@ -121,7 +121,8 @@ _OP4 = rf"""
 WITH d AS (
   SELECT doc_id, source, CAST(len({_WORDS.format("coalesce(text, '')")}) AS BIGINT) AS size, coalesce(md5(text), '') AS th FROM documents
 ),
-k AS (SELECT *, CAST('0x' || substr(md5(concat_ws('|', CAST(doc_id AS VARCHAR), th, '17')), 1, 15) AS BIGINT) AS key FROM d),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, source, th) - 1 AS copy FROM d),
+k AS (SELECT *, CAST('0x' || substr(md5(concat_ws('|', CAST(doc_id AS VARCHAR), th, '17', CASE WHEN copy > 0 THEN copy END)), 1, 15) AS BIGINT) AS key FROM n),
 s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
     CAST((row_number() OVER (ORDER BY source IS NULL, encode(coalesce(source, ''))) - 1) % 3 + 1 AS DOUBLE) AS w
@@ -146,7 +147,7 @@ q AS (
 f AS (SELECT *, (p * source_size + queued) / target AS finish FROM q, (SELECT unnest([0, 1, 2]) AS p) WHERE size > 0 AND target > 0),
 a AS (
   SELECT *, sum(size) OVER (ORDER BY finish, encode(coalesce(source, '')) , key, doc_id, th, size ROWS UNBOUNDED PRECEDING) AS total
-  FROM f WHERE finish <= 2
+  FROM f
 ),
 m AS (SELECT doc_id, source, key, queued, count(*) AS copies FROM a WHERE total <= (SELECT sum(size) FROM d) + 0.5 GROUP BY ALL)
 SELECT q.doc_id, q.size, q.source_size, q.target, CAST(coalesce(m.copies, 0) * q.size AS BIGINT) AS taken

@@ -26,10 +26,15 @@ BLOCK_ROWS = 1_024
 LEAF_ROWS = 256
 #: Vectors that the upper levels are fitted on, at most; all are dealt by them. A leaf has some vectors of the sample at least.
 SAMPLE_ROWS, SAMPLE_A_LEAF = 20_000, 8
-#: Most shards that a block is sent to in one round; the first round is one, then it doubles.
+#: Shards that a block is sent to in a round: one in the first, then twice as many each time up to this, then half as many more.
 MOST_AT_ONCE = 64
 
 
+def at_once(turn: int) -> int:
+    doublings = MOST_AT_ONCE.bit_length() - 1
+    return 2**turn if turn <= doublings else math.ceil(MOST_AT_ONCE * 1.5 ** (turn - doublings))
+
+
 class KdTree:
     """Leaves of a KD-tree over the rows of x, as runs of an order, with their boxes."""
 
@@ -220,35 +225,36 @@ def top_k(vectors: DataFrame, k: int = 20, query_every: int = 20, scale: int = 6
     boxes: dict[int, list] = {}
     for r in shards.select("dims", "leaf", "part", "box").collect():  # two rows of numbers a shard: see MOST_SHARDS
         boxes.setdefault(r.dims, []).append((r.leaf, r.part, as_matrix(bytes(r.box), 2)))
-    best = None
-    for turn in range(64):
+    best, turn, query = None, 0, ["query_id", "query_row"]  # rows of one hash have another id, and the other way round
+    while True:
         sent = materialise(wanted(blocks, boxes, best, k, turn), f"sent-{turn}")
         if turn and sent.isEmpty():
             break
         found = searched(sent, shards, k)
         found = found if best is None else best.unionByName(found)
-        order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
+        order = Window.partitionBy(*query).orderBy(F.desc("score"), "vec_id")
         best = materialise(found.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).drop("_n"), f"best-{turn}")
-    else:
-        raise RuntimeError("the search did not settle")
-    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
+        live = sent.where("leaf < 0").select("dims", F.col("home").alias("leaf"), F.col("block").alias("part"))
+        blocks = blocks.join(live, ["dims", "leaf", "part"], "left_semi")
+        turn += 1
+    rank = F.row_number().over(Window.partitionBy(*query).orderBy(F.desc("score"), "vec_id"))
     return best.select("query_id", rank.alias("rank"), "vec_id", F.col("score").cast("long").alias("score"), "query_row")
 
 
 def wanted(blocks: DataFrame, boxes: dict[int, list], best: DataFrame | None, k: int, turn: int) -> DataFrame:
     """(dims, leaf, part) of the shards a block goes to in this turn, with those of its queries that the shard's box can serve.
 
-    Shards are visited in the order of their bounds for the block, its own leaf first; turn t takes the next 2^t of them, at most
-    MOST_AT_ONCE. That order never changes, so a block needs to know nothing but the turn and its k-th scores.
+    Shards are visited in the order of their bounds for the block, its own leaf first; turn t takes the next at_once(t) of them, so the last shard's turn
+    comes whatever their number. That order never changes, so a block needs to know nothing but the turn and its k-th scores.
     """
-    first = sum(min(2**t, MOST_AT_ONCE) for t in range(turn))
-    last = first + min(2**turn, MOST_AT_ONCE)
+    first = sum(map(at_once, range(turn)))
+    last = first + at_once(turn)
     state = blocks.select("dims", F.col("leaf").alias("home"), F.col("part").alias("block"), "ids", "rows", "points")
     if best is None:
-        state = state.withColumn("known", F.lit(None).cast("array<struct<query_row: long, floor: double>>"))
+        state = state.withColumn("known", F.lit(None).cast("array<struct<query_id: long, query_row: long, floor: double>>"))
     else:
-        kth = best.groupBy("dims", "home", "block", "query_row").agg(F.min("score").alias("floor"), F.count("*").alias("n")).where(F.col("n") >= k)
-        kth = kth.groupBy("dims", "home", "block").agg(F.collect_list(F.struct("query_row", "floor")).alias("known"))  # a block's own queries
+        kth = best.groupBy("dims", "home", "block", "query_id", "query_row").agg(F.min("score").alias("floor"), F.count("*").alias("n")).where(F.col("n") >= k)
+        kth = kth.groupBy("dims", "home", "block").agg(F.collect_list(F.struct("query_id", "query_row", "floor")).alias("known"))  # a block's own queries
         state = state.join(kth, ["dims", "home", "block"], "left")
 
     known = {dims: (np.array([x[0] for x in own]), np.array([x[1] for x in own]), np.stack([x[2] for x in own])) for dims, own in boxes.items()}
@@ -261,8 +267,8 @@ def wanted(blocks: DataFrame, boxes: dict[int, list], best: DataFrame | None, k:
                 q = as_matrix(r.points, len(ids))
                 floor = np.full(len(ids), -np.inf)
                 if r.known is not None and len(r.known):
-                    told = {x["query_row"]: x["floor"] for x in r.known}
-                    floor = np.array([told.get(i, -np.inf) for i in rows.tolist()])
+                    told = {(x["query_id"], x["query_row"]): x["floor"] for x in r.known}
+                    floor = np.array([told.get(i, -np.inf) for i in zip(ids.tolist(), rows.tolist(), strict=True)])
                 leaf, part, pairs = known[r.dims]
                 bound = np.maximum(q, 0) @ pairs[:, 1].T + np.minimum(q, 0) @ pairs[:, 0].T
                 order = np.lexsort((-bound.max(axis=0), leaf != r.home))

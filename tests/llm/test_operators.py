@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lychgate.llm import licenses, media, minhash, mixing, packing, quality, sharding, suffixes, topk, warc
-from lychgate.llm.common import connected_components
+from lychgate.llm.common import connected_components, materialise
 from lychgate.llm.queries import tokenizer_paths
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -537,7 +538,7 @@ def test_search_of_clustered_vectors_meets_few_shards(spark, monkeypatch):
     def count(blocks, boxes, best, k, turn):
         out = plain(send(blocks, boxes, best, k, turn), "counted")
         pairs.append(out.where("leaf >= 0").count())
-        shards[:] = [blocks.count(), sum(map(len, boxes.values()))]
+        shards[:] = shards or [blocks.count(), sum(map(len, boxes.values()))]  # later turns get the blocks that aren't settled
         return out
 
     monkeypatch.setattr(topk, "wanted", count)
@@ -550,6 +551,65 @@ def test_search_of_clustered_vectors_meets_few_shards(spark, monkeypatch):
         assert [(r.vec_id, r.score) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == [(i, -s) for s, i in own]
 
 
+def test_search_reaches_every_shard(spark, monkeypatch):
+    """Vectors without structure over more shards than 64 turns of one would reach."""
+    monkeypatch.setattr(topk, "SHARD_ROWS", 8)
+    monkeypatch.setattr(topk, "MOST_AT_ONCE", 1)
+    rng = np.random.default_rng(7)
+    x = rng.normal(0, 1, (1200, 12))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    assert sum(map(topk.at_once, range(20))) > 1200 / 8 > 64
+    got = topk.top_k(df, query_every=100).collect()
+    v = np.floor(64 * x)
+    for q in range(0, 1200, 100):
+        want = sorted((-int(s), i) for i, s in enumerate(v[q] @ v.T) if i != q)[:20]
+        assert [(r.vec_id, r.score) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == [(i, -s) for s, i in want]
+
+
+def largest_windows(df, keys: list[str]) -> int:
+    return df.groupBy(*keys).count().agg(F.max("count")).first()[0]
+
+
+def test_repeated_rows_are_no_hot_bucket(spark, monkeypatch):
+    """A third of all rows equal, without an id: in packing and in mixing they are dealt over many buckets."""
+    monkeypatch.setattr(mixing, "SALTS", 16)
+    n = 9000
+    third = F.col("id") % 3 == 0
+    df = spark.range(n).select(F.when(~third, F.col("id")).alias("doc_id"), F.when(third, "same words each").otherwise(F.concat(F.lit("some words "), "id")).alias("text"), F.when(third, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 4)).alias("source")).repartition(6)
+    kept, seen = mixing.running, []
+
+    def watched(rows, keys, bucket, order, value, name):
+        seen.append(largest_windows(rows, [*keys, bucket]))
+        return kept(rows, keys, bucket, order, value, name)
+
+    monkeypatch.setattr(mixing, "running", watched)
+    got = mixing.mix(df).collect()
+    assert seen[0] < 60 and len(got) == n, seen
+    counts = Counter((r.doc_id, r.size, r.taken) for r in got)
+    assert counts == Counter((r.doc_id, r.size, r.taken) for r in mixing.mix(df.repartition(3).orderBy("source")).collect())
+    hot = [r for r in got if r.doc_id is None]
+    assert len(hot) == n // 3 and abs(sum(r.taken for r in hot) - hot[0].target) <= 9
+    ranked, plain = [], packing.materialise
+    monkeypatch.setattr(packing, "materialise", lambda d, name, *a: ranked.append(out := plain(d, name, *a)) or out)
+    packed = packing.pack_documents(df, *tokenizer_paths()).collect()
+    assert len(packed) == n and len({(r.sequence_id, r.offset) for r in packed}) == n
+    salted = ranked[-1].withColumn("_salt", F.pmod(F.xxhash64("_copy"), F.lit(packing.SALTS)))
+    assert largest_windows(salted, ["length", "_salt"]) < 60
+
+
+def test_the_budget_is_used_to_the_last_document(spark):
+    """Documents larger than their source's target, and times to finish far beyond 2, leave no room for another one."""
+    for sizes in ([("a", 600), *[("b", 1)] * 300, *[("c", 1)] * 300], [("a", 4000), ("a", 3900), *[("b", 7)] * 40, ("c", 900), *[("d", 1)] * 90]):
+        df = spark.createDataFrame([(k, " ".join(["w"] * n), s) for k, (s, n) in enumerate(sizes)], "doc_id long, text string, source string")
+        got = mixing.mix(df).collect()
+        total, taken = sum(n for _, n in sizes), sum(r.taken for r in got)
+        left = [r.size for r in got if r.taken < 3 * r.size]
+        assert taken <= total and (not left or total - taken < max(left)), (taken, total)
+    finish = [0.0, 0.5, 1.99, 2.0, 2.5, 3.0, 700.0, 1e9, 1e15]
+    slots = [r[0] for r in spark.createDataFrame([(x,) for x in finish], "x double").select(mixing.slot_of(F.col("x"), 10)).collect()]
+    assert slots == sorted(slots) and slots[2] < slots[3] and len(set(slots)) == len(slots)
+
+
 def test_license_scan(spark):
     t = licenses.TEMPLATES
     text = "Foo bar baz.\n" + t["Apache-2.0"].lower() + " (the thing)\n" + "word " * 300 + t["MIT-grant"].replace("obtaining", "getting") + " end"
@@ -578,14 +638,40 @@ def test_bands_retrieve_and_containment_verifies(made, spark, monkeypatch):
     rows += [(100, "x (c) 2020. ALL RIGHTS\nRESERVED."), (101, "all rights are reserved"), (102, "it is unlicensed")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {(r.doc_id, r.license) for r in licenses.scan(df, templates).collect()} == want | {(100, "short"), (102, "one")}
-    monkeypatch.setattr(licenses, "INDEX_HELD", 0)
-    assert licenses.scan(df, templates).count() == len(want) + 2
+    monkeypatch.setattr(licenses, "HELD_BYTES", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = licenses.scan(df, templates)
+        assert {(r.doc_id, r.license) for r in joined.collect()} == want | {(100, "short"), (102, "one")}
+        assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    monkeypatch.undo()
     with pytest.raises(ValueError, match="nothing"):
         licenses.scan(df, {"nothing": "..."})
     monkeypatch.setattr(licenses, "least_of", lambda hashes, seed: F.lit(1).cast("long") + seed)
     assert licenses.scan(df, templates).count() == 0
 
 
+def test_licenses_in_a_very_long_text(made, spark):
+    """600 templates of 2,000 words; a text of 100,000 words holds three of them, and one of 25,000 takes about a quarter of its time."""
+    vocabulary = [f"{a}{b}" for a in ("ba", "do", "fi", "gu", "ke", "lo") for b in range(500)]
+    body = lambda n: " ".join(made.rng.choices(vocabulary, k=n))
+    bodies = {f"t{k}": body(2000) for k in range(600)}
+    templates = materialise(spark.createDataFrame(list(bodies.items()), "license string, body string").repartition(8), "templates")
+
+    def took(n: int) -> float:
+        text = " ".join([body(n // 3), bodies["t3"], bodies["t5"], body(n // 3), bodies["t599"], body(n - 2 * (n // 3) - 6000)])
+        began = time.time()
+        got = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), templates).collect()
+        assert {r.license for r in got} == {"t3", "t5", "t599"} and all(r.containment == 1.0 for r in got)
+        return time.time() - began
+
+    took(25_000)
+    small, large = took(25_000), took(100_000)
+    assert large < 5 * small, (small, large)
+
+
 def test_sharding(docs, rows):
     got = sharding.shard(docs, 4).collect()
     assert Counter((r.doc_id, r["size"], r.text_crc32) for r in got) == Counter((r.doc_id, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in rows)

@@ -12,6 +12,8 @@ from __future__ import annotations
 import argparse
 import importlib
 import sys
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from pathlib import Path
@@ -82,13 +84,21 @@ def classify_columns(spark: SparkSession, args: argparse.Namespace, s: config.Se
 
 
 @contextmanager
-def kept(df: DataFrame) -> Iterator[DataFrame]:
-    """df, computed once for all that read it here; let go after, for a later run over the same files must read them anew."""
-    df = df.persist()
+def written(df: DataFrame) -> Iterator[DataFrame]:
+    """df, computed and written once, for all that read it here: exit code, audit and output tell of the same findings, and an engine is
+    asked once a text. It lies in the folder that spark.checkpoint.dir names; where none is named, and driver and executors are one
+    machine, in a folder of its own. It goes when it was read."""
+    spark = df.sparkSession
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    path = f"{(named or f'file://{tempfile.gettempdir()}').rstrip('/')}/lychgate-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
     try:
-        yield df
+        df.write.parquet(path)
+        yield spark.read.schema(df.schema).parquet(path)
     finally:
-        df.unpersist()
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def record(s: config.Settings, events: Callable[[], list]) -> None:
@@ -103,7 +113,7 @@ def run(spark: SparkSession, args: argparse.Namespace, s: config.Settings) -> in
     if args.command == "classify-columns":
         if not args.source:
             raise ValueError("name a source")
-        with kept(classify_columns(spark, args, s)) as out:
+        with written(classify_columns(spark, args, s)) as out:
             record(s, lambda: audit.column_events(out, router.safe_address(args.source)))
             emit(out, args.out, args.format)
             fails = out.where(F.col("category").isin("PII_DIRECT", "SENSITIVE")).limit(1).count() > 0
@@ -113,7 +123,7 @@ def run(spark: SparkSession, args: argparse.Namespace, s: config.Settings) -> in
             raise ValueError("images need a folder, an OCR engine and, to be redacted, a folder to write to")
         df = images.read(spark, args.source).withColumn("words", images.read_words(F.col("image"), args.ocr))
         df = images.scan_images(df, recognizers=chosen, least_confidence=s.least_confidence).withColumn("origin", F.col("image.origin"))
-        with kept(df) as df:
+        with written(df) as df:
             record(s, lambda: audit.summary(df, args.source))
             if args.command == "redact-image":
                 images.save(df.select("origin", images.painted(F.col("image"), F.col("boxes")).alias("png")), args.out)
@@ -128,15 +138,15 @@ def run(spark: SparkSession, args: argparse.Namespace, s: config.Settings) -> in
         df = df.withColumn("_model", engines.ask_for_entities(F.col(args.text_col), args.engine, name))
         model = {"model_col": "_model", "engines": [name]}
     df = detect.scan(df, args.text_col, chosen, s.least_confidence, **model).drop("_model")
-    code = 0
     if args.command == "redact-text":
         df = redact.redact(df, args.text_col, strategies=s.strategies, default=s.default_strategy, salt=s.salt)
     if args.command == "decide":
         df = policy.decide(df, s.policy)
-        code = max([CODES[r.action] for r in df.select("action").distinct().collect()], default=0)  # three actions at most
-    record(s, lambda: audit.summary(df, args.source or "text"))
-    emit(df.drop(*([args.text_col] if args.command != "scan-text" else [])), args.out, args.format)
-    return code
+    with written(df) as df:
+        record(s, lambda: audit.summary(df, args.source or "text"))
+        emit(df.drop(*([args.text_col] if args.command != "scan-text" else [])), args.out, args.format)
+        actions = df.select("action").distinct().collect() if args.command == "decide" else []  # three at most
+    return max((CODES[r.action] for r in actions), default=0)
 
 
 def main(argv: list[str] | None = None) -> int:

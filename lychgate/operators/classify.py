@@ -119,9 +119,10 @@ def classify(profiles: DataFrame, verdicts: DataFrame | None = None, limits: Thr
 
 
 def facts() -> Column:
-    """What a profile says of a column: statistics, never values."""
-    hits = F.array_join(F.transform("pattern_hits", lambda h: F.concat(h["entity"], F.lit("="), h["ratio"].cast("string"))), ", ")
-    return F.format_string("type=%s; values=%d; distinct=%d; nulls=%d; avg length=%s; patterns: %s", "inferred_type", "total_count", "distinct_count", "null_count", F.col("avg_length").cast("string"), hits)
+    """What a profile says of a column, as JSON: its table and name and statistics, never values."""
+    ratio = lambda c: F.round(c, 4).alias(c)
+    told = ["table", "column", "inferred_type", "total_count", "distinct_count", ratio("cardinality_ratio"), "null_count", ratio("null_ratio"), "avg_length", ratio("digit_ratio"), "pattern_hits"]
+    return F.to_json(F.struct(*told))
 
 
 def for_review(classified: DataFrame) -> DataFrame:

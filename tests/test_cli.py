@@ -134,3 +134,40 @@ def test_text_formats(spark, tmp_path, capsys, monkeypatch):
     assert [json.loads(x)["kind"] for x in (tmp_path / "audit.jsonl").read_text().splitlines()] == ["scan_text", "redact_text"]
     with pytest.raises(SystemExit):
         cli.main(["decide", "--text", "x", "--engine", "nowhere:make"])
+
+
+def counting():
+    """An engine that notes every time it is asked, in the file that the environment names."""
+    import os
+
+    def ask(text):
+        with open(os.environ["ASKED"], "a") as f:
+            f.write(text + "\n")
+        return json.dumps({"entities": [{"type": "PERSON_NAME", "text": "Ann"}]})
+
+    return ask
+
+
+def test_an_engine_is_asked_once_a_text(spark, tmp_path, capsys, monkeypatch):
+    monkeypatch.setenv(settings.AUDIT, str(tmp_path / "audit.jsonl"))
+    spark.createDataFrame([(k, f"Ann has u{k}@x.com") for k in range(6)], "doc_id int, text string").write.parquet(str(tmp_path / "t.parquet"))
+    asked = tmp_path / "asked"
+    spark.sparkContext.environment["ASKED"] = str(asked)
+    for command, code in (("scan-text", 0), ("redact-text", 0), ("decide", 3)):
+        asked.write_text("")
+        assert cli.main([command, str(tmp_path / "t.parquet"), "--engine", "tests.test_cli:counting"]) == code
+        assert sorted(asked.read_text().splitlines()) == [f"Ann has u{k}@x.com" for k in range(6)]
+        assert len(capsys.readouterr().out.splitlines()) == 6
+    events = [json.loads(x) for x in (tmp_path / "audit.jsonl").read_text().splitlines()]
+    assert all(e["findings"] == {"EMAIL_ADDRESS": 6, "PERSON_NAME": 6} for e in events if e["kind"] == "scan_text") and len(events) == 5
+
+
+def test_an_adjudicator_is_told_the_name(spark):
+    from lychgate.operators import classify, engines, profile
+    from lychgate.sources import router
+
+    p = profile.profile(router.inline(spark, {"full_name": [f"N {k}" for k in range(40)]}, "staff"))
+    (r,) = classify.for_review(classify.classify(p)).collect()
+    told = json.loads(r.summary)
+    assert (told["table"], told["column"], told["cardinality_ratio"], told["null_ratio"]) == ("staff", "full_name", 1.0, 0.0) and 0 < told["digit_ratio"] < 1
+    assert "full_name" in engines.column_prompt(r.summary) and "N 1" not in r.summary

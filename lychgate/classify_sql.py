@@ -7,8 +7,7 @@ from collections.abc import Iterable
 
 from .operators import classify, profile
 from .plans.name_rules import ACTIONS, DIRECT_IDENTIFIERS, NAME_RULES
-from .plans.recognizers import RECOGNIZERS
-from .scan_sql import RULES, strings
+from .scan_sql import FACTS, RULES, strings
 
 NORMALISED = r"trim(regexp_replace(lower(regexp_replace(regexp_replace(\"column\", '([A-Z])([A-Z][a-z])', '\1_\2', 'g'), '([a-z0-9])([A-Z])', '\1_\2', 'g')), '[^\p{L}\p{N}]', '_', 'g'), '_')".replace('\\"', '"')
 
@@ -23,8 +22,8 @@ def whole(name: str) -> str:
 def profiles(columns: Iterable[tuple[str, str, str]]) -> str:
     """WITH clauses up to prof, a row for each (table, column, value) of columns."""
     parts = "\n  UNION ALL ".join(f"""SELECT '{t}' AS "table", '{c}' AS "column", CAST({v} AS VARCHAR) AS v0 FROM {t}""" for t, c, v in columns)
-    entities = list(dict.fromkeys(r.entity for r in RECOGNIZERS))
-    hits = ", ".join(f"{{'r': greatest({', '.join(f'count_if({whole(r.name)})' for r in RECOGNIZERS if r.entity == e)}) / nullif(count(v), 0), 'k': {k}, 'e': '{e}'}}" for k, e in enumerate(entities))
+    entities = list(dict.fromkeys(entity for entity, *_ in FACTS.values()))
+    hits = ", ".join(f"{{'r': greatest({', '.join(f'count_if({whole(name)})' for name, (entity, *_) in FACTS.items() if entity == e)}) / nullif(count(v), 0), 'k': {k}, 'e': '{e}'}}" for k, e in enumerate(entities))
     return rf"""
 WITH cols AS ({parts}),
 val AS (SELECT "table", "column", nullif(trim(v0), '') AS v FROM cols),

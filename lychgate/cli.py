@@ -1,5 +1,6 @@
 """Command line: python -m lychgate.cli scan-text|redact-text|decide SOURCE --text-col ...; one text by --text, a .txt file or -.
-classify-columns SOURCE for tables; scan-image|redact-image FOLDER --ocr package.module:make for images.
+classify-columns SOURCE for tables; scan-image|redact-image FOLDER --ocr package.module:make for images; evaluate FOLDER for the gate of
+a release over labelled cases (see operators/evaluate.run), which ends with 4 where a bar is missed.
 
 Engines are given as package.module:make, where make() builds one in a worker: --engine takes a text and --adjudicator a table, a
 column and its summary (both return the answer as text), --ocr a PNG file (returns words with their boxes).
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import argparse
 import importlib
+import json
 import sys
 import tempfile
 import uuid
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import settings as config
-from .operators import audit, classify, detect, engines, images, policy, profile, redact
+from .operators import audit, classify, detect, engines, evaluate, images, policy, profile, redact
 from .plans.recognizers import select
 from .sources import router
 
@@ -31,7 +33,7 @@ CODES = {"ALLOW": 0, "REDACT": 3, "BLOCK": 4}
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="lychgate", description=__doc__)
-    p.add_argument("command", choices=["scan-text", "redact-text", "decide", "classify-columns", "scan-image", "redact-image"])
+    p.add_argument("command", choices=["scan-text", "redact-text", "decide", "classify-columns", "scan-image", "redact-image", "evaluate"])
     p.add_argument("source", nargs="?", help="a table, a database or a folder of images; - for one text from standard input")
     p.add_argument("--text", help="one text instead of a source")
     p.add_argument("--table", help="a table of a database")
@@ -118,6 +120,12 @@ def run(spark: SparkSession, args: argparse.Namespace, s: config.Settings) -> in
             emit(out, args.out, args.format)
             fails = out.where(F.col("category").isin("PII_DIRECT", "SENSITIVE")).limit(1).count() > 0
         return CODES["BLOCK"] if args.fail_on_pii and fails else 0
+    if args.command == "evaluate":
+        if not args.source:
+            raise ValueError("name a folder of labelled cases")
+        measured, short = evaluate.run(spark, args.source, recognizers=chosen)
+        print(json.dumps({"measured": measured, "short": short, "paths": evaluate.path_coverage()}))
+        return CODES["BLOCK"] if short else 0
     if args.command in ("scan-image", "redact-image"):
         if not args.source or not args.ocr or (args.command == "redact-image" and not args.out):
             raise ValueError("images need a folder, an OCR engine and, to be redacted, a folder to write to")

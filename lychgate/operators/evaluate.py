@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import detect, policy
+from . import classify, detect, policy, profile
 
 KEYS = ["case_id", "label", "text"]
 
@@ -80,8 +80,11 @@ def block_recall(cases: DataFrame, predicted: DataFrame, labels: Iterable[str] =
 
 
 def column_accuracy(expected: DataFrame, classified: DataFrame) -> DataFrame:
-    """One row: expected, correct, accuracy. A column that was not classified is a failure."""
-    both = expected.select("column", F.col("category").alias("want")).join(classified.select("column", "category"), "column", "left")
+    """One row: expected, correct, accuracy. A column that was not classified is a failure, and so is a corpus that expects nothing
+    (accuracy 0). Where expected names tables, a column is that of its table; else a name that several tables have must be right in all."""
+    keys = [c for c in ("table", "column") if c in expected.columns]
+    found = classified.groupBy(*keys).agg(F.when(F.count_distinct("category") == 1, F.first("category")).alias("category"))
+    both = expected.select(*keys, F.col("category").alias("want")).join(found, keys, "left")
     right = F.count_if(F.coalesce(F.col("category") == F.col("want"), F.lit(False)))
     return both.agg(F.count("*").alias("expected"), right.alias("correct")).withColumn("accuracy", F.when(F.col("expected") > 0, F.col("correct") / F.col("expected")).otherwise(F.lit(0.0)))
 
@@ -115,6 +118,20 @@ def measure(corpora: Mapping[str, DataFrame], columns: DataFrame, classified: Da
     return out
 
 
+CASES = "case_id string, text string, expected array<struct<label: string, text: string>>"
+
+
+def run(spark: SparkSession, folder: str, **how) -> tuple[dict[str, float], list[str]]:
+    """The measures of a folder's corpora and what falls short of the bars: en.jsonl and ja.jsonl (CASES), columns.csv and, what its
+    columns are, columns.jsonl (table, column, category)."""
+    corpora = {name: spark.read.schema(CASES).json(f"{folder}/{name}.jsonl") for name in ("en", "ja")}
+    table = spark.read.csv(f"{folder}/columns.csv", header=True)
+    expected = spark.read.schema("table string, column string, category string").json(f"{folder}/columns.jsonl")
+    classified = classify.classify(profile.profile(profile.long_form(table, "columns", sample=None), pattern_sample=None, type_sample=None))
+    measured = measure(corpora, expected, classified, **how)
+    return measured, gate(measured)
+
+
 def path_coverage(ner: str | None = None, adjudicator: str | None = None, ocr: str | None = None) -> list[tuple[str, str, str]]:
     """(path, binding, status) of every way to a finding. Only the patterns have labelled cases, so a path that is bound to an engine is
     UNMEASURED rather than passed over, and one without is inactive."""

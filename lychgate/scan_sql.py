@@ -7,8 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from .operators import detect, policy, redact
-from .plans.recognizers import RECOGNIZERS
+from .operators import policy, redact
 
 W = r"[\p{L}\p{N}_]"
 EDGE = f"regexp_matches(ch, '{W}') <> regexp_matches(prev, '{W}')"
@@ -65,21 +64,44 @@ RULES: dict[str, tuple[str, str, str, str, str]] = {
 }
 
 
+# Fixed values, stated here anew, so that a wrong one in the recognizers shows: label, confidence without and with context, whether
+# context is needed, whether there is a checksum, context words. Their order is that in which ties are settled.
+PHONE_WORDS = ("phone", "mobile", "tel", "call", "contact", "whatsapp", "hp", "電話", "携帯", "連絡先")
+FACTS: dict[str, tuple[str, float, float, bool, bool, tuple[str, ...]]] = {
+    "email": ("EMAIL_ADDRESS", 0.9, 0.99, False, False, ("email", "e-mail", "mail", "メール")),
+    "credit_card": ("CREDIT_CARD", 0.98, 0.99, False, True, ("card", "visa", "mastercard", "amex", "credit", "debit", "カード", "クレジット")),
+    "iban": ("IBAN", 0.98, 0.99, False, True, ("iban", "account", "transfer", "bank", "口座", "銀行", "振込")),
+    "sg_nric": ("SG_NRIC", 0.98, 0.99, False, True, ("nric", "fin", "identity", "ic number", "uin")),
+    "hk_hkid": ("HK_HKID", 0.98, 0.99, False, True, ("hkid", "identity card", "identity")),
+    "jp_my_number": ("JP_MY_NUMBER", 0.98, 0.99, False, True, ("my number", "mynumber", "マイナンバー", "個人番号")),
+    "au_tfn": ("AU_TFN", 0.65, 0.85, True, True, ("tfn", "tax file")),
+    "au_abn": ("AU_ABN", 0.98, 0.99, False, True, ("abn", "business number")),
+    "au_medicare": ("AU_MEDICARE", 0.98, 0.99, False, True, ("medicare",)),
+    "us_ssn": ("US_SSN", 0.8, 0.99, False, True, ("ssn", "social security")),
+    "ip_address": ("IP_ADDRESS", 0.75, 0.95, False, True, ("ip", "address", "host", "server", "ipアドレス", "サーバー")),
+    "phone_intl": ("PHONE_NUMBER", 0.6, 0.8, False, True, PHONE_WORDS),
+    "phone_local": ("PHONE_NUMBER", 0.5, 0.7, True, True, PHONE_WORDS),
+    "passport": ("PASSPORT", 0.4, 0.6, True, False, ("passport", "パスポート", "旅券")),
+    "date_of_birth": ("DATE_OF_BIRTH", 0.75, 0.95, True, True, ("born", "birth", "dob", "d.o.b", "birthday", "生年月日", "誕生日", "出生")),
+}
+
+
 def strings(values: Iterable[str]) -> str:
     return ", ".join(f"'{v}'" for v in values)
 
 
 def findings(source: str, names: Iterable[str] = tuple(RULES)) -> str:
     """SQL of all findings (k, s, e, v, entity, conf, boosted, validated, name) of source, which gives k and t."""
-    chosen = [(n, r) for n, r in enumerate(RECOGNIZERS) if r.name in set(names)]
+    chosen = [(n, name) for n, name in enumerate(FACTS) if name in set(names)]
     raw = "\n  UNION ALL ".join(
-        f"SELECT k, p, {n} AS ord, regexp_extract(rest, '^({RULES[r.name][0]}){RULES[r.name][2]}', 1) AS v FROM ch WHERE {RULES[r.name][1]} AND regexp_matches(rest, '^(?:{RULES[r.name][0]}){RULES[r.name][2]}')"
+        f"SELECT k, p, {n} AS ord, regexp_extract(rest, '^({RULES[r][0]}){RULES[r][2]}', 1) AS v FROM ch WHERE {RULES[r][1]} AND regexp_matches(rest, '^(?:{RULES[r][0]}){RULES[r][2]}')"
         for n, r in chosen
     )
-    rec = ", ".join(f"({n}, '{r.name}', '{r.entity}', {r.plain}::DOUBLE, {r.boosted}::DOUBLE, {str(r.needs_context).lower()}, {str(r.validator is not None).lower()}, [{strings(r.context)}])" for n, r in chosen)
-    over = " ".join(f"WHEN {n} THEN {RULES[r.name][3]}" for n, r in chosen)
-    valid = " ".join(f"WHEN {n} THEN ({RULES[r.name][4]})" for n, r in chosen)
-    near = detect.CONTEXT_CHARS
+    told = lambda n, name, entity, plain, high, needs, checked, words: f"({n}, '{name}', '{entity}', {plain}::DOUBLE, {high}::DOUBLE, {str(needs).lower()}, {str(checked).lower()}, [{strings(words)}])"
+    rec = ", ".join(told(n, r, *FACTS[r]) for n, r in chosen)
+    over = " ".join(f"WHEN {n} THEN {RULES[r][3]}" for n, r in chosen)
+    valid = " ".join(f"WHEN {n} THEN ({RULES[r][4]})" for n, r in chosen)
+    near = 48
     return rf"""
 WITH src AS (SELECT k, t FROM ({source}) WHERE regexp_matches(t, '[0-9@]')),
 pos AS (SELECT k, t, unnest(range(1, len(t) + 1)) AS p FROM src),

@@ -6,7 +6,8 @@ counts, corrected for chance collisions; exact Jaccard on full shingle sets conf
 Texts with the same shingle set form a class, and only classes are compared, so thousands of copies cost one row. A bucket is
 read as a star around its least class, its hub, and what hangs together by stars is a family: two classes with a bucket in
 common are always in one. Each class is first held against the least hub that its signature finds near, one text a class,
-which joins most of a family at once. Families that are then still in several components meet by their rarest shingles: two
+which joins most of a family at once; classes outside their family's largest component then against the nearest few, by
+signature, of some of its members. Families that are still in several components meet by their rarest shingles: two
 sets with num / den of their union in common share one of the rarest few of each (prefix filtering), where rarest
 come the shingles of one component alone, which can join nothing. So a family of pages alike but unlinked costs its texts, not
 its pairs, nothing is dropped by an estimate, and what a family is made of is never in one task.
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WordHash, connected_components, identified, materialise, mix, text_slices
@@ -26,10 +27,14 @@ from .common import WordHash, connected_components, identified, materialise, mix
 HASHES = 128
 ROWS, BANDS = 5, 25
 BITS = 2
-#: A class is held against a hub first if its estimate is lower than the threshold by no more than this. Which ones are decides
-#: only how much is left to do: all others meet later.
+#: Pairs are confirmed exactly unless their estimate is lower than the threshold by this, which is six deviations: it leaves out
+#: one linked pair in a hundred million, where bands leave out one in a million or more.
 MARGIN = 0.25
 BLOCK = 64
+#: Members of a family's largest component that each class outside it looks at, and how many of them it is held against, in each of ROUNDS.
+LOOKS, HELD, ROUNDS = 32, 3, 1
+#: Classes of a family, and shingles of theirs, in one part; two parts meet in a task.
+PART, PART_SHINGLES = 1_024, 2_000_000
 
 _rng = np.random.default_rng(20240229)
 _MULT = (_rng.integers(0, 2**31, HASHES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -163,6 +168,20 @@ def confirmed(texts: DataFrame, pairs: DataFrame, n: int, num: int, den: int) ->
     return rows.groupBy("y", "g").applyInPandas(run, "x long, y long")
 
 
+def outsiders(members: DataFrame, sig: DataFrame, least: float, salt: int) -> DataFrame:
+    """(x, y): classes outside the largest component of their family (members: class, family, component) with the HELD of LOOKS of
+    its members, taken by a hash, whose signatures are the nearest to theirs, if their estimate is at least `least`."""
+    sizes = members.groupBy("family", "component").agg(F.count("*").alias("n"))
+    home = sizes.groupBy("family").agg(F.max_by("component", F.struct("n", "component")).alias("home"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+    told = materialise(members.join(home, "family").join(sig, "class"), "open-members")
+    first = Window.partitionBy("family").orderBy(F.xxhash64("class", F.lit(salt)))
+    seen = told.where("component = home").withColumn("n", F.row_number().over(first)).where(F.col("n") <= LOOKS)
+    seen = seen.groupBy("family").agg(F.collect_list(F.struct("class", "sig")).alias("seen"))
+    looks = F.transform("seen", lambda s: F.struct(estimate(F.col("sig"), s["sig"]).alias("est"), s["class"].alias("y")))
+    near = F.slice(F.sort_array(F.filter(looks, lambda e: e["est"] >= least), asc=False), 1, HELD)
+    return told.where("component <> home").join(seen, "family").select(F.col("class").alias("x"), F.explode(near).alias("e")).select("x", "e.y")
+
+
 def shingled(texts: DataFrame, members: DataFrame, n: int) -> DataFrame:
     """(class, family, component, n, shingles) of members (class, family, component)."""
 
@@ -176,29 +195,80 @@ def shingled(texts: DataFrame, members: DataFrame, n: int) -> DataFrame:
     return read.mapInPandas(run, "class long, family long, component long, n long, shingles array<long>")
 
 
-def prefix_pairs(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(x, y) of classes of one family in different components, among them all whose sets have num / den of their union in common.
+def live_members(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(class) of those that may have a link to another component of their family.
 
     Shingles of a family are put in one order: those of one component alone first, then by how many members have them, then by
-    value. Of two such sets the smaller has one of its first n - 2 num n / (num + den) + 1 shingles in common with the first
-    n - num n / den + 1 of the larger. Members of the component that has most of a shingle's holders don't meet each other.
+    value. Two sets with num / den of their union in common share one of the first n - num n / den + 1 of each, so a class
+    whose first ones no other component's have can be left out.
     """
     rows = sets.select("class", "family", "component", "n", F.explode("shingles").alias("shingle"))
     held = rows.groupBy("family", "shingle", "component").agg(F.count("*").alias("held"))
-    across = held.groupBy("family", "shingle").agg(F.sum("held").alias("df"), F.count("*").alias("parts"), F.max_by("component", F.struct("held", "component")).alias("home"))
+    across = held.groupBy("family", "shingle").agg(F.sum("held").alias("df"), F.count("*").alias("parts"))
     across = materialise(across.where("parts > 1").drop("parts"), "across")
-    ranked = rows.join(across, ["family", "shingle"]).groupBy("class", "family", "component", "n").agg(F.array_sort(F.collect_list(F.struct("df", "shingle", "home"))).alias("shared"))
-    n, alone = F.col("n"), F.col("n") - F.size("shared")
-    most = n - F.ceil(n * num / den) + 1 - alone  # of the shared ones, as the larger set
-    least = n - F.ceil(n * 2 * num / (num + den)) + 1 - alone  # as the smaller one
-    keys = ranked.where(most > 0).select("class", "family", "component", "n", least.alias("short"), F.posexplode(F.slice("shared", F.lit(1), most.cast("int"))).alias("at", "s"))
-    keys = keys.select("class", "family", "component", "n", F.col("s.shingle").alias("shingle"), (F.col("at") < F.col("short")).alias("small"), (F.col("component") == F.col("s.home")).alias("home"))
-    keys = materialise(keys, "prefixes")
-    x = keys.where("small").select("family", "shingle", *[F.col(c).alias(f"x_{c}") for c in ("class", "component", "n", "home")])
-    y = keys.select("family", "shingle", *[F.col(c).alias(f"y_{c}") for c in ("class", "component", "n", "home")])
-    fits = (F.col("x_component") != F.col("y_component")) & (F.col("x_n") <= F.col("y_n")) & (F.col("x_n") * den >= F.col("y_n") * num)
-    met = x.where("NOT x_home").join(y, ["family", "shingle"]).where(fits).unionByName(x.where("x_home").join(y.where("NOT y_home"), ["family", "shingle"]).where(fits))
-    return met.select(F.col("x_class").alias("x"), F.col("y_class").alias("y")).distinct()
+    ranked = rows.join(across, ["family", "shingle"]).groupBy("class", "family", "component", "n").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("shared"))
+    most = F.col("n") - F.ceil(F.col("n") * num / den) + 1 - (F.col("n") - F.size("shared"))  # of the shared ones
+    keys = ranked.where(most > 0).select("class", "family", "component", F.explode(F.slice("shared", F.lit(1), most.cast("int"))).alias("s"))
+    keys = materialise(keys.select("class", "family", "component", F.col("s.shingle").alias("shingle")), "prefixes")
+    met = keys.groupBy("family", "shingle").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("family", "shingle")
+    return keys.join(met, ["family", "shingle"]).select("class").distinct()
+
+
+def links_of(sets: list[np.ndarray], sigs: np.ndarray, components: np.ndarray, sides: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Pairs of sets that reach num / den, as many as it takes to join the components that they join; the likeliest, by signature, are
+    tried first, and none within a component. sides: only pairs across are asked for, if there are two."""
+    s, size = sigs.view(np.uint64), np.array([len(x) for x in sets])
+    across = len(set(sides.tolist())) > 1
+    x, y, est = [], [], []
+    for k in range(len(sets)):
+        eq = ~(s[k] ^ s[k + 1 :])
+        same = np.bitwise_count(eq & (eq >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(axis=1)
+        like = (same / HASHES - 2.0**-BITS) / (1 - 2.0**-BITS)
+        n = size[k + 1 :]
+        good = (like >= num / den - MARGIN) & (components[k + 1 :] != components[k]) & (np.minimum(n, size[k]) * den >= np.maximum(n, size[k]) * num)
+        good &= (sides[k + 1 :] != sides[k]) | (not across)
+        at = np.flatnonzero(good)
+        x.append(np.full(len(at), k))
+        y.append(at + k + 1)
+        est.append(like[at])
+    joined = {c: c for c in components.tolist()}
+
+    def root(c: int) -> int:
+        while joined[c] != c:
+            joined[c] = c = joined[joined[c]]
+        return c
+
+    out, names = [], components.tolist()
+    a, b = np.concatenate(x), np.concatenate(y)
+    for k in np.argsort(-np.concatenate(est), kind="stable").tolist():
+        i, j = int(a[k]), int(b[k])
+        ci, cj = root(names[i]), root(names[j])
+        if ci != cj:
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if den * both >= num * (len(sets[i]) + len(sets[j]) - both):
+                joined[ci] = cj
+                out.append((i, j))
+    return out
+
+
+def remaining_links(sets: DataFrame, sig: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (x, y) between components of a family, enough to join what they join.
+
+    Live members of a family are dealt into parts of about PART classes and PART_SHINGLES shingles, and every two parts meet in one
+    group, with their sets: a family of n classes costs a class n / PART copies of its set.
+    """
+    live = materialise(sets.join(live_members(sets, num, den), "class").join(sig, "class"), "live")
+    parts = live.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / PART, F.sum("n") / PART_SHINGLES)).cast("int").alias("parts"))
+    dealt = live.join(materialise(parts, "parts"), "family").withColumn("part", F.pmod(F.xxhash64("class"), "parts").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("family", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "class", "component", "sig", "shingles")
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        names = pdf["class"].tolist()
+        found = links_of([np.asarray(x).view(np.uint64) for x in pdf["shingles"]], np.stack(pdf["sig"].to_numpy()), pdf["component"].to_numpy(), pdf["part"].to_numpy(), num, den)
+        return pd.DataFrame({"x": [names[a] for a, _ in found], "y": [names[b] for _, b in found]}, dtype="int64")
+
+    return dealt.groupBy("family", "i", "j").applyInPandas(run, "x long, y long")
 
 
 def components_of(links: DataFrame) -> DataFrame:
@@ -222,11 +292,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     families = materialise(families.join(reps.select("class", "key"), "class"), "families")
     texts = materialise(class_texts(docs, families, id_col, text_col), "class-texts")
     links = materialise(confirmed(texts, first, shingle, num, den), "links-first")
-    found = materialise(components_of(links), "components-first")
-    members = families.join(found, "class", "left").select("class", "family", F.coalesce("component", "class").alias("component"))
+    sig = classes.select("class", "sig")
+    for turn in range(ROUNDS + 1):
+        found = materialise(components_of(links), f"components-{turn}")
+        members = materialise(families.join(found, "class", "left").select("class", "family", F.coalesce("component", "class").alias("component")), f"members-{turn}")
+        if turn < ROUNDS:
+            pairs = materialise(outsiders(members, sig, num / den - MARGIN, turn), f"pairs-{turn}")
+            links = links.unionByName(materialise(confirmed(texts, pairs, shingle, num, den), f"links-{turn}"))
     open_ = members.groupBy("family").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("family")
     sets = materialise(shingled(texts, members.join(open_, "family"), shingle), "sets")
-    more = materialise(confirmed(texts, materialise(prefix_pairs(sets, num, den), "candidates"), shingle, num, den), "links-more")
+    more = materialise(remaining_links(sets, sig, num, den), "links-more")
     groups = components_of(links.unionByName(more)).withColumnRenamed("component", "group")
     known = reps.join(groups, "class", "left").withColumn("group", F.coalesce("group", "class"))
     least = known.groupBy("group").agg(F.min("rep").alias("component_id"))

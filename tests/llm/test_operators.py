@@ -95,7 +95,7 @@ def test_large_group_costs_a_text_a_pair(made, spark, monkeypatch):
     asked = asked_of(monkeypatch)
     got = minhash.near_duplicates(df, 3, 85, 100).collect()
     assert {r.component_id for r in got} == {0} and sum(r.kept for r in got) == 1
-    assert sum(asked) <= 1.02 * len(texts), asked
+    assert sum(asked) <= 1.05 * len(texts), asked
 
 
 def asked_of(monkeypatch) -> list[int]:
@@ -115,9 +115,11 @@ def test_a_family_of_unlinked_pages_costs_its_texts(made, spark, monkeypatch):
     template = made.prose(160)
     for n in (1000, 4000):
         df = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit(template), *[F.concat(F.lit(" w"), (F.col("id") * 40 + k).cast("string")) for k in range(40)]).alias("text"))
-        asked = asked_of(monkeypatch)
+        asked, live, plain = asked_of(monkeypatch), [], minhash.live_members
+        monkeypatch.setattr(minhash, "live_members", lambda *a, live=live: live.append(out := plain(*a)) or out)
         got = minhash.near_duplicates(df, 3, 85, 100)
-        assert got.where("kept").count() == n and sum(asked) <= 2 * n, asked
+        assert got.where("kept").count() == n and sum(asked) <= 4 * n, asked
+        assert live[0].count() == 0
         monkeypatch.undo()
 
 
@@ -132,7 +134,7 @@ def test_links_lead_through_rows_without_an_id(made, spark):
     assert {r.component_id for r in minhash.near_duplicates(spark.createDataFrame([(7, a), (9, b)], "doc_id long, text string"), 3, 85, 100).collect()} == {7, 9}
 
 
-def test_recall_on_mixed_families(made, spark):
+def test_recall_on_mixed_families(made, spark, monkeypatch):
     """Families whose members lie on both sides of the threshold: components equal brute force, so every link was found."""
     rng, texts = made.rng, []
     for _ in range(50):
@@ -141,7 +143,9 @@ def test_recall_on_mixed_families(made, spark):
         texts += [" ".join(w if rng.random() > far else f"{rng.randint(0, 10**9)}q" for w in base) for _ in range(24)]
     rng.shuffle(texts)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
-    test_near_duplicates_match_brute_force(df, df.collect(), 3, 85)
+    for part in (1024, 5):
+        monkeypatch.setattr(minhash, "PART", part)
+        test_near_duplicates_match_brute_force(df, df.collect(), 3, 85)
 
 
 def test_estimate_is_corrected(spark):

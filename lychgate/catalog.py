@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import classify_sql, scan_sql
 from .functions import validators as V
-from .operators import classify, detect, evaluate, images, policy, profile, redact, trail
+from .operators import classify, detect, evaluate, images, policy, profile, redact, replay, trail
 from .plans.recognizers import JURISDICTIONS, RECOGNIZERS, select
 from .sources import router
 
@@ -206,11 +207,14 @@ def scan_sentences(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return detect.each(detect.scan(df, recognizers=only(name)), "findings", "o_orderkey").select("o_orderkey", "f.*").drop("ord")
 
 
+def crowd_text() -> Column:
+    parts = [SENTENCES[n][0](F.col("o_orderkey")) for n in CROWD]
+    return F.concat(F.lit("phone, passport, tfn: "), F.concat_ws(" ", *parts), F.lit(" end"))
+
+
 def crowded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences in which findings of several recognizers overlap, scanned by all of them."""
-    parts = [SENTENCES[n][0](F.col("o_orderkey")) for n in CROWD]
-    text = F.concat(F.lit("phone, passport, tfn: "), F.concat_ws(" ", *parts), F.lit(" end"))
-    df = detect.scan(table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text")))
+    df = detect.scan(table(spark, sf_dir, "orders").select("o_orderkey", crowd_text().alias("text")))
     return detect.each(df, "findings", "o_orderkey").select("o_orderkey", "f.*").drop("ord")
 
 
@@ -222,8 +226,7 @@ def scan_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings in the crowded sentences by jurisdiction pack."""
     out = None
     for pack in JURISDICTIONS:
-        parts = [SENTENCES[n][0](F.col("o_orderkey")) for n in CROWD]
-        df = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("phone, passport, tfn: "), F.concat_ws(" ", *parts), F.lit(" end")).alias("text"))
+        df = table(spark, sf_dir, "orders").select("o_orderkey", crowd_text().alias("text"))
         one = detect.each(detect.scan(df, recognizers=select([pack])), "findings").groupBy(F.lit(pack).alias("pack"), F.col("f.entity_type").alias("entity")).agg(F.count("*").alias("n"))
         out = one if out is None else out.unionByName(one)
     return out
@@ -378,6 +381,19 @@ COLUMN_SAMPLES_SQL = " UNION ALL ".join(
 )
 
 
+def replayed_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of documents and of the crowded sentences, once cut into segments and once whole and split otherwise: what both runs have in common."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("k"), "text")
+    crowd = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), crowd_text().alias("text"))
+    whole = [replace(r, breaks=False) for r in RECOGNIZERS]
+    run = lambda df, recognizers: detect.each(detect.scan(df, recognizers=recognizers), "findings", "k").select("k", "f.*")
+    out = None
+    for name, df in (("documents", docs), ("orders", crowd)):
+        one = replay.agreement(run(df, RECOGNIZERS), run(df.repartition(17, F.xxhash64("k", F.lit("replay"))), whole)).withColumn("source", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def audit_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Roots of the table of events as audit events, a batch a kind."""
     df = table(spark, sf_dir, "events").select(F.col("event_type").alias("kind"), F.col("event_id").cast("string").alias("source_id"), F.col("props").alias("payload"), "event_type")
@@ -542,6 +558,7 @@ QUERIES: dict[str, Query] = {
     "deterministic_sample": deterministic_sample,
     "column_samples": column_samples,
     "audit_roots": audit_roots,
+    "replayed_scans": replayed_scans,
     "name_rules": name_rules,
     "eval_precision_recall": eval_precision_recall,
     "eval_corpus": eval_corpus,
@@ -586,6 +603,10 @@ ORACLES: dict[str, str] = {
     "deterministic_sample": "SELECT c_name AS value FROM customer ORDER BY c_name IS NULL, sha256(c_name), octet_length(encode(c_name)), hex(encode(c_name)) LIMIT 500",
     "column_samples": COLUMN_SAMPLES_SQL,
     "audit_roots": AUDIT_ROOTS_SQL,
+    "replayed_scans": " UNION ALL ".join(
+        f"SELECT '{name}' AS source, count(*) AS in_both, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS extra FROM ({scan_sql.rows(source, 'k')})"
+        for name, source in (("documents", scan_sql.DOCUMENTS), ("orders", CROWD_SQL))
+    ),
     "name_rules": NAME_RULES_SQL,
     "eval_precision_recall": EVAL_SQL,
     "eval_corpus": EVAL_CORPUS_SQL,

@@ -1,4 +1,4 @@
-"""Column profiles: one pass over a long table (table, column, pos, value) and one shuffle of partial aggregates."""
+"""Column profiles of a long table (table, column, pos, value): one pass over all values, or, where only the first ones count, two."""
 
 from __future__ import annotations
 
@@ -65,20 +65,22 @@ def profile(long: DataFrame, recognizers: Iterable[Recognizer] = RECOGNIZERS, pa
     """
     chosen = list(recognizers)
     v = long.withColumn("v", normalised(F.col("value")))
-    whole = v.groupBy("table", "column").agg(
+    known = F.col("v").isNotNull()
+    # values are told apart by 96 bits of two hashes, so that no text of a column is shuffled
+    counts = [
         F.count("*").alias("total_count"),
-        F.count_if(F.col("v").isNull()).alias("null_count"),
-        F.count_distinct("v").alias("distinct_count"),
+        F.count_if(~known).alias("null_count"),
+        F.count_distinct(F.when(known, F.xxhash64("v")), F.when(known, F.hash("v"))).alias("distinct_count"),
         F.coalesce(F.sum(F.length("v")), F.lit(0)).alias("chars"),
-    )
-    some = v.where("v IS NOT NULL").select("table", "column", "pos", "v")
+    ]
     limits = [n for n in (pattern_sample, type_sample) if n is not None]
+    some = v.where(known).select("table", "column", "pos", "v") if limits else v
     if limits:
         # the first values of each column: where both are limited, before the shuffle, so a column is never in one task
         first = Window.partitionBy("table", "column").orderBy("pos")
         some = some.withColumn("n", F.row_number().over(first))
         some = some.where(F.col("n") <= max(limits)) if len(limits) == 2 else some
-    used, typed = (F.lit(True) if n is None else F.col("n") <= n for n in (pattern_sample, type_sample))
+    used, typed = (known if n is None else known & (F.col("n") <= n) for n in (pattern_sample, type_sample))
     text = F.when(used, F.col("v"))
     letters = F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
     digits = F.length(F.regexp_replace(text, r"[^\p{Nd}\x{b2}\x{b3}\x{b9}]", ""))
@@ -88,7 +90,7 @@ def profile(long: DataFrame, recognizers: Iterable[Recognizer] = RECOGNIZERS, pa
     is_number = bare.rlike(r"(?U)\A[+-]?\d+(?:\.\d+)?\z")
     every = lambda test: F.coalesce(F.every(F.when(typed, test)), F.lit(False))
     hits = [F.sum(F.when(used, matches(F.col("v"), r).cast("int"))).alias(f"hit_{k}") for k, r in enumerate(chosen)]
-    firsts = some.groupBy("table", "column").agg(
+    firsts = [
         F.count_if(used).alias("sample_size"),
         F.sum(F.length(text)).alias("sample_chars"),
         F.sum(letters).alias("letters"),
@@ -97,8 +99,12 @@ def profile(long: DataFrame, recognizers: Iterable[Recognizer] = RECOGNIZERS, pa
         every(is_date).alias("d"),
         every(is_number).alias("m"),
         *hits,
-    )
-    sums = whole.join(firsts, ["table", "column"], "left").na.fill(0).na.fill(False)
+    ]
+    if limits:
+        sums = v.groupBy("table", "column").agg(*counts).join(some.groupBy("table", "column").agg(*firsts), ["table", "column"], "left")
+    else:
+        sums = v.groupBy("table", "column").agg(*counts, *firsts)
+    sums = sums.na.fill(0).na.fill(False)
     share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
     entities = list(dict.fromkeys(r.entity for r in chosen))
     ratios = [F.greatest(*[c for k, r in enumerate(chosen) if r.entity == e for c in [share(f"hit_{k}", "sample_size")]], F.lit(0.0)) for e in entities]

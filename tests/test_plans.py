@@ -57,3 +57,16 @@ def test_queries_match_their_sql(spark):
 
     for name in ("scan_findings", "egress_summary", "egress_reasons", "redact_by_label", "scan_crowded", "scan_date_of_birth", "scan_iban", "classify_made", "classify_signals", "profile_made", "fail_on_pii"):
         assert rows(catalog.QUERIES[name](spark, DATA).toPandas()) == rows(con.execute(catalog.ORACLES[name]).df()), name
+
+
+@pytest.mark.parametrize("name", ["classify_columns", "profile_made"])
+def test_profiles_scan_a_table_once(spark, name):
+    """One scan of each table, and no text of a column in a shuffle: what goes there are counts and hashes."""
+    spark.conf.set("spark.sql.maxPlanStringLength", 10_000_000)
+    df = catalog.QUERIES[name](spark, DATA)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    files = [f for f in ("region", "nation", "customer", "supplier", "part", "orders", "events") if f"{f}.parquet" in plan]
+    assert plan.count("FileScan parquet") == len(files) == (7 if name == "classify_columns" else 1)
+    assert "Join" not in plan
+    keys = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert keys and all(", v#" not in line for line in keys)

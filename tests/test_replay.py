@@ -12,3 +12,8 @@ def test_differences_count_rows(spark):
     assert tuple(replay.agreement(first, second).first()) == (2, 2, 2)
     assert replay.differences(first, first.repartition(3)).count() == 0
     assert tuple(replay.agreement(first.limit(0), first.limit(0)).first()) == (0, 0, 0)
+
+
+def test_each_run_is_made_once(spark):
+    plan = replay.agreement(spark.range(5), spark.range(3))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Range (") == 2

@@ -168,18 +168,21 @@ def scan(
     model_col: str | None = None,
     engines: Iterable[str] = (),
     out: str = "findings",
+    resolved: bool = True,
 ) -> DataFrame:
     """Adds findings, engines and text_length. A null text has no findings and no length.
 
-    Texts without a digit or an at sign are passed over in one test. model_col: findings of a model, see from_model.
+    Texts without a digit or an at sign are passed over in one test. model_col: findings of a model, see from_model. resolved: only the
+    best of what overlaps; else what each recognizer finds alone.
     """
     text = F.col(text_col)
     chosen, app = tuple(recognizers), df.sparkSession.sparkContext.applicationId
-    found = expression(app, text_col, chosen, least_confidence)
+    found = expression(app, text_col, chosen, least_confidence, resolved)
     if model_col:
         sure = F.filter(from_model(text, F.col(model_col)), lambda f: f["confidence"] >= least_confidence)
         # a model's span may lie across segments, and what it hides may hide others, so all are resolved again together
-        found = bound(F.concat(expression(app, text_col, chosen, least_confidence, False), sure), resolve)
+        every = F.concat(expression(app, text_col, chosen, least_confidence, False), sure)
+        found = bound(every, resolve) if resolved else every
     return (
         df.withColumn(out, found)
         .withColumn("engines", F.array(*[F.lit(e) for e in dict.fromkeys(["regex", *engines])]))

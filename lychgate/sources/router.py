@@ -6,6 +6,7 @@ import os
 import re
 from collections.abc import Mapping
 from dataclasses import dataclass
+from functools import reduce
 from urllib.parse import parse_qs, unquote, urlsplit
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -192,20 +193,26 @@ def sample(df: DataFrame, column: str, limit: int, order=hash_order) -> DataFram
 PARTS = 64
 
 
-def sampled(df: DataFrame, table: str, limit: int, order=hash_order) -> DataFrame:
+def sampled(df: DataFrame, table: str, limit: int, order=hash_order, apart: bool = False) -> DataFrame:
     """(table, column, pos, value): the first `limit` values of every column of a table in the given order, whatever order the source has.
 
     One scan, whatever the number of columns: a column's first values are those of its parts, and a part's those of what each task has
     read of it (Spark cuts a task's rows to `limit` before the shuffle for limits of up to 1,000, its
-    windowGroupLimitThreshold; larger samples give the same rows by a whole sort). Nothing is ever sorted by one task but `limit` values of PARTS parts.
+    windowGroupLimitThreshold; larger samples give the same rows by a whole sort).
+
+    apart: each column is read alone, for sources that store columns apart; a task then holds `limit` of a column's values and sorts no more.
     """
     if limit < 0:
         raise ValueError("a sample can't be negative")
     wide = df.select(*texts(df))
     if not wide.columns:
         raise ValueError(f"{table} has no columns")
-    long = wide.unpivot([], [F.col(f"`{c}`") for c in wide.columns], "column", "value")
     keys = F.struct(*[c.alias(f"k{k}") for k, c in enumerate(order(F.col("value")))])
+    if apart:
+        one = lambda c: wide.select(F.lit(c).alias("column"), F.col(f"`{c}`").alias("value")).select("column", "value", keys.alias("by")).orderBy("by").limit(limit)
+        first = reduce(DataFrame.unionByName, map(one, wide.columns)).withColumn("n", F.row_number().over(Window.partitionBy("column").orderBy("by")))
+        return first.select(F.lit(table).alias("table"), "column", (F.col("n") - 1).cast("long").alias("pos"), "value")
+    long = wide.unpivot([], [F.col(f"`{c}`") for c in wide.columns], "column", "value")
     first = long.select("column", "value", F.pmod(F.xxhash64("value"), F.lit(PARTS)).alias("part"), keys.alias("by"))
     for of in (["column", "part"], ["column"]):
         first = first.withColumn("n", F.row_number().over(Window.partitionBy(*of).orderBy("by"))).where(F.col("n") <= limit)
@@ -254,7 +261,7 @@ def sampled_source(spark: SparkSession, address: str, limit: int, table: str | N
     else:
         order = json_order if low.startswith("bigquery://") else hash_order
         for name, df in open_source(spark, address, table).items():
-            one = sampled(df, name, limit, order)
+            one = sampled(df, name, limit, order, apart=low.rstrip("/").endswith((".parquet", ".orc")))
             out = one if out is None else out.unionByName(one)
     if out is None:
         raise ValueError("the source has no tables")

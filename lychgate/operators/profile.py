@@ -55,6 +55,57 @@ def matches(value: Column, r: Recognizer) -> Column:
     return whole & r.validator(value) if r.validator else whole
 
 
+#: Recognizers whose hits share a long, beside three bits of types.
+BITS = 56
+LOW = 0xFFFFFFFF
+
+
+def tested(long: DataFrame, chosen: list[Recognizer]) -> DataFrame:
+    """Sums over all values of each column: a value is tested once, where it is read, and equal values with what is known of them are counted
+    as one row of a few numbers before and after the shuffle."""
+    v = F.col("v")
+    known = v.isNotNull()
+    bit = lambda test, k: F.when(test, F.lit(1 << k)).otherwise(F.lit(0)).cast("long")
+    guard = "(?U)" + "|".join(dict.fromkeys(f"(?:{r.guard})" for r in chosen))
+    held = [chosen[k : k + BITS] for k in range(0, len(chosen), BITS)]
+    masks = [F.when(v.rlike(guard), sum((bit(matches(v, r), k) for k, r in enumerate(part)), F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long")).alias(f"mask{n}") for n, part in enumerate(held)]
+    pair = lambda high, low: F.shiftleft(high.cast("long"), 32) + low.cast("long")
+    facts = [
+        F.when(known, F.xxhash64("v")).alias("one"),
+        F.when(known, pair(F.hash("v"), F.length("v"))).alias("two"),
+        F.when(known, pair(letters_of(v), digits_of(v))).alias("signs"),
+        sum((bit(test, k) for k, test in enumerate(types_of(v))), F.lit(0).cast("long")).alias("types"),
+        *masks,
+    ]
+    names = ["one", "two", "signs", "types", *[f"mask{n}" for n in range(len(held))]]
+    kinds = long.select("table", "column", normalised(F.col("value")).alias("v")).select("table", "column", *facts).groupBy("table", "column", *names).agg(F.count("*").alias("n"))
+    some = F.col("one").isNotNull()
+    low, high = (lambda c: F.col(c).bitwiseAND(F.lit(LOW))), (lambda c: F.shiftright(F.col(c), 32))
+    has = lambda c, k: F.col(c).bitwiseAND(F.lit(1 << k)) != 0
+    total = lambda c: F.coalesce(F.sum(F.when(some, F.col("n") * c)), F.lit(0))
+    every = lambda k: F.coalesce(F.every(F.when(some, has("types", k))), F.lit(False))
+    counted = lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0))
+    return kinds.groupBy("table", "column").agg(
+        F.sum("n").alias("total_count"), counted(~some).alias("null_count"), F.count("one").alias("distinct_count"), total(low("two")).alias("chars"), counted(some).alias("sample_size"),
+        total(low("two")).alias("sample_chars"), total(high("signs")).alias("letters"), total(low("signs")).alias("digits"), every(0).alias("b"), every(1).alias("d"), every(2).alias("m"),
+        *[counted(has(f"mask{k // BITS}", k % BITS)).alias(f"hit_{k}") for k in range(len(chosen))],
+    )
+
+
+def letters_of(text: Column) -> Column:
+    return F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
+
+
+def digits_of(text: Column) -> Column:
+    return F.length(F.regexp_replace(text, r"[^\p{Nd}\x{b2}\x{b3}\x{b9}]", ""))
+
+
+def types_of(value: Column) -> tuple[Column, Column, Column]:
+    """Whether a value is a boolean word, a date, a number."""
+    is_date = value.rlike(r"(?U)\A(?:\d{4}-\d{2}-\d{2}|\d{1,2}[/-]\d{1,2}[/-]\d{2,4})\z")
+    return F.lower(value).isin(*BOOLEAN_WORDS), is_date, F.translate(value, ",", "").rlike(r"(?U)\A[+-]?\d+(?:\.\d+)?\z")
+
+
 def profile(long: DataFrame, recognizers: Iterable[Recognizer] = RECOGNIZERS, pattern_sample: int | None = SAMPLE, type_sample: int | None = TYPE_SAMPLE) -> DataFrame:
     """A row for each (table, column).
 
@@ -82,19 +133,14 @@ def profile(long: DataFrame, recognizers: Iterable[Recognizer] = RECOGNIZERS, pa
         some = some.where(F.col("n") <= max(limits)) if len(limits) == 2 else some
     used, typed = (known if n is None else known & (F.col("n") <= n) for n in (pattern_sample, type_sample))
     text = F.when(used, F.col("v"))
-    letters = F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
-    digits = F.length(F.regexp_replace(text, r"[^\p{Nd}\x{b2}\x{b3}\x{b9}]", ""))
-    bare = F.translate(F.col("v"), ",", "")
-    is_boolean = F.lower("v").isin(*BOOLEAN_WORDS)
-    is_date = F.col("v").rlike(r"(?U)\A(?:\d{4}-\d{2}-\d{2}|\d{1,2}[/-]\d{1,2}[/-]\d{2,4})\z")
-    is_number = bare.rlike(r"(?U)\A[+-]?\d+(?:\.\d+)?\z")
+    is_boolean, is_date, is_number = types_of(F.col("v"))
     every = lambda test: F.coalesce(F.every(F.when(typed, test)), F.lit(False))
     hits = [F.sum(F.when(used, matches(F.col("v"), r).cast("int"))).alias(f"hit_{k}") for k, r in enumerate(chosen)]
     firsts = [
         F.count_if(used).alias("sample_size"),
         F.sum(F.length(text)).alias("sample_chars"),
-        F.sum(letters).alias("letters"),
-        F.sum(digits).alias("digits"),
+        F.sum(letters_of(text)).alias("letters"),
+        F.sum(digits_of(text)).alias("digits"),
         every(is_boolean).alias("b"),
         every(is_date).alias("d"),
         every(is_number).alias("m"),
@@ -103,7 +149,7 @@ def profile(long: DataFrame, recognizers: Iterable[Recognizer] = RECOGNIZERS, pa
     if limits:
         sums = v.groupBy("table", "column").agg(*counts).join(some.groupBy("table", "column").agg(*firsts), ["table", "column"], "left")
     else:
-        sums = v.groupBy("table", "column").agg(*counts, *firsts)
+        sums = tested(long, chosen)
     sums = sums.na.fill(0).na.fill(False)
     share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
     entities = list(dict.fromkeys(r.entity for r in chosen))

@@ -19,6 +19,7 @@ TFN_WEIGHTS = (1, 4, 3, 7, 5, 8, 6, 9, 10)
 ABN_WEIGHTS = (10, 1, 3, 5, 7, 9, 11, 13, 15, 17, 19)
 MEDICARE_WEIGHTS = (1, 3, 7, 9, 1, 3, 7, 9)
 MY_NUMBER_WEIGHTS = (6, 5, 4, 3, 2, 7, 6, 5, 4, 3, 2)
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 
 
 def _decimal_digits() -> tuple[str, str]:
@@ -148,22 +149,26 @@ def date_of_birth(value: Column) -> Column:
     return let(ascii_digits(value), _date_of_birth)
 
 
-def _date_of_birth(v: Column) -> Column:
-    parts = lambda p, sep: F.split(v, sep)[p]
-    year_of = lambda y: F.when(F.length(y) == 2, F.concat(F.lit("20"), y)).otherwise(F.lpad(y, 4, "0"))
+def _real(year: Column, month: Column, day: Column) -> Column:
+    """Whether there is such a day, told by arithmetic: a failing parse costs an exception a value."""
+    leap = (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
+    days = F.when(month == 2, F.when(leap, 29).otherwise(28)).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
+    return (year > 0) & month.between(1, 12) & (day >= 1) & (day <= days)
 
-    def real(year: Column, month: Column, day: Column) -> Column:
-        parsed = F.try_to_date(F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")), "yyyy-MM-dd")
-        return parsed.isNotNull() & (year != "0000")
 
+def _date_of_birth(v: Column) -> Column:
+    number = lambda p, k: F.element_at(p, k).cast("int")
     # two-digit years: 69 to 99 are of the last century, which matters for 29 February alone: 2000 and 1900 differ, and
     # neither 1969 to 1999 nor 2000 to 2068 holds a century year that is no leap year
+    year_of = lambda p: number(p, 3) + F.when(F.length(F.element_at(p, 3)) == 2, 2000).otherwise(0)
+    day_first = lambda p: _real(year_of(p), number(p, 2), number(p, 1))
     shape = lambda sep: v.rlike(rf"\A[0-9]{{1,2}}{sep}[0-9]{{1,2}}{sep}([0-9]{{4}}|[0-9]{{2}})\z")
-    named = F.try_to_date(F.initcap(F.lower(v)), "d MMM yyyy").isNotNull() | F.try_to_date(F.initcap(F.lower(v)), "d MMMM yyyy").isNotNull()
+    months = F.create_map(*[F.lit(x) for k, name in enumerate(MONTHS) for word in dict.fromkeys((name[:3], name)) for x in (word, k + 1)])
+    named = lambda p: F.coalesce(_real(number(p, 3), F.try_element_at(months, F.lower(F.element_at(p, 2))), number(p, 1)), F.lit(False))
     return F.coalesce(
-        F.when(shape("/"), real(year_of(parts(2, "/")), parts(1, "/"), parts(0, "/")))
-        .when(shape("-"), real(year_of(parts(2, "-")), parts(1, "-"), parts(0, "-")))
-        .when(v.rlike(r"\A[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}\z"), real(parts(0, "-"), parts(1, "-"), parts(2, "-")))
-        .when(v.rlike(r"\A[0-9]{1,2} [A-Za-z]+ [0-9]{4}\z"), named & (parts(2, " ") != "0000")),
+        F.when(shape("/"), let(F.split(v, "/"), day_first))
+        .when(shape("-"), let(F.split(v, "-"), day_first))
+        .when(v.rlike(r"\A[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}\z"), let(F.split(v, "-"), lambda p: _real(number(p, 1), number(p, 2), number(p, 3))))
+        .when(v.rlike(r"\A[0-9]{1,2} [A-Za-z]+ [0-9]{4}\z"), let(F.split(v, " "), named)),
         F.lit(False),
     )

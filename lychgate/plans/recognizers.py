@@ -33,9 +33,12 @@ class Recognizer:
     #: No match holds, or depends on, a place where detect.BREAK matches, so texts may be cut there; else texts are scanned whole.
     breaks: bool = False
 
+    #: Characters one of which every match begins with, if told: other places are passed over before boundaries are looked at.
+    first: str = ""
+
     @property
     def regex(self) -> str:
-        return "(?U)" + self.pattern
+        return "(?U)" + (f"(?={self.first})" if self.first else "") + self.pattern
 
 
 # Shapes, confidences and context words of the identifiers (context words are substrings of the lower-cased
@@ -58,7 +61,8 @@ _SHAPES: tuple[Recognizer, ...] = (
     Recognizer("passport", "PASSPORT", rf"{EDGE}[A-Z]{{1,2}}\d{{6,8}}{EDGE}", 0.4, 0.6, ("passport", "パスポート", "旅券"), None, True),
     Recognizer("date_of_birth", "DATE_OF_BIRTH", rf"(?i){EDGE}(?:\d{{1,2}}[/-]\d{{1,2}}[/-]\d{{2,4}}|\d{{4}}-\d{{2}}-\d{{2}}|\d{{1,2}} (?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]* \d{{4}}){EDGE}", 0.75, 0.95, ("born", "birth", "dob", "d.o.b", "birthday", "生年月日", "誕生日", "出生"), V.date_of_birth, True),
 )
-RECOGNIZERS: tuple[Recognizer, ...] = tuple(replace(r, breaks=True) for r in _SHAPES)
+_FIRST = {"email": "[A-Za-z0-9._%+-]", "iban": "[A-Z]", "sg_nric": "[STFGMstfgm]", "hk_hkid": "[A-Z]", "au_medicare": "[2-6]", "phone_intl": r"\+", "phone_local": r"[\d(]", "passport": "[A-Z]"}
+RECOGNIZERS: tuple[Recognizer, ...] = tuple(replace(r, breaks=True, first=_FIRST.get(r.name, r"\d")) for r in _SHAPES)
 
 
 def select(jurisdictions: Iterable[str] = JURISDICTIONS) -> tuple[Recognizer, ...]:

@@ -62,3 +62,22 @@ def test_validators_never_fail(spark, value):
     row = df.select(*[t(F.col("v")).alias(t.__name__) for t in dict.fromkeys(c[0] for c in CASES)]).first()
     assert all(x is not None for x in row)
     assert row.us_ssn == (value == "１２３-４５-６７８９")
+
+
+def test_dates_are_told_without_parsing(spark):
+    from datetime import date, timedelta
+
+    from pyspark.sql import functions as F
+
+    from lychgate.functions import validators
+
+    def real(y: int, m: int, d: int) -> bool:
+        try:
+            return (date(y, m, 1) + timedelta(d - 1)).month == m and d > 0
+        except (ValueError, OverflowError):
+            return False
+
+    cases = [(y, m, d) for y in (0, 1900, 1999, 2000, 2004, 2100) for m in range(14) for d in (0, 1, 28, 29, 30, 31, 32)]
+    df = spark.createDataFrame([(f"{d}/{m}/{y:04d}", real(y, m, d)) for y, m, d in cases], "v string, want boolean")
+    assert df.where(validators.date_of_birth(F.col("v")) != F.col("want")).count() == 0
+    assert "gettimestamp" not in df.select(validators.date_of_birth(F.col("v")))._jdf.queryExecution().optimizedPlan().toString()

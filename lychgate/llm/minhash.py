@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHash, connected_components, identified, materialise, mix, text_slices
+from .common import WordHash, connected_components, identified, likely, materialise, mix, text_slices
 
 HASHES = 128
 ROWS, BANDS = 5, 25
@@ -139,8 +139,10 @@ def candidate_families(classes: DataFrame, least: float) -> tuple[DataFrame, Dat
 
 
 def class_texts(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(class, t): one text of each class of reps (class, key). Repeated rows bring a text again, so it is picked before it is shuffled."""
-    return named(docs, id_col, text_col).select("key", "t").join(reps.select("class", "key"), "key").groupBy("class").agg(F.first("t").alias("t"))
+    """(class, t): one text of each class of reps (class, key). Repeated rows bring a text again, so it is picked before it is shuffled;
+    texts of no such class are left where they are, but for few."""
+    some = likely(named(docs, id_col, text_col).select("key", "t"), reps.select("key"), "key")
+    return some.groupBy("key").agg(F.first("t").alias("t")).join(reps.select("class", "key"), "key").select("class", "t")
 
 
 def confirmed(texts: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -202,11 +204,11 @@ def live_members(sets: DataFrame, num: int, den: int) -> DataFrame:
     value. Two sets with num / den of their union in common share one of the first n - num n / den + 1 of each, so a class
     whose first ones no other component's have can be left out.
     """
-    rows = sets.select("class", "family", "component", "n", F.explode("shingles").alias("shingle"))
-    held = rows.groupBy("family", "shingle", "component").agg(F.count("*").alias("held"))
-    across = held.groupBy("family", "shingle").agg(F.sum("held").alias("df"), F.count("*").alias("parts"))
-    across = materialise(across.where("parts > 1").drop("parts"), "across")
-    ranked = rows.join(across, ["family", "shingle"]).groupBy("class", "family", "component", "n").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("shared"))
+    rows = sets.select("class", "family", "component", F.explode("shingles").alias("shingle"))
+    held = rows.groupBy("family", "shingle").agg(F.count("*").alias("df"), F.min("component").alias("a"), F.max("component").alias("b"))
+    across = materialise(held.where("a < b").select("family", "shingle", "df"), "across")
+    shared = rows.drop("component").join(across, ["family", "shingle"]).groupBy("class").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("shared"))
+    ranked = sets.select("class", "family", "component", "n").join(shared, "class")
     most = F.col("n") - F.ceil(F.col("n") * num / den) + 1 - (F.col("n") - F.size("shared"))  # of the shared ones
     keys = ranked.where(most > 0).select("class", "family", "component", F.explode(F.slice("shared", F.lit(1), most.cast("int"))).alias("s"))
     keys = materialise(keys.select("class", "family", "component", F.col("s.shingle").alias("shingle")), "prefixes")

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lychgate.llm import licenses, media, minhash, mixing, packing, quality, sharding, suffixes, topk, warc
+from lychgate.llm import common, licenses, media, minhash, mixing, packing, quality, sharding, suffixes, topk, warc
 from lychgate.llm.common import connected_components, materialise
 from lychgate.llm.queries import tokenizer_paths
 
@@ -804,3 +804,42 @@ def test_empty_tables(docs):
     assert mixing.mix(none).count() == 0
     assert media.media(none).count() == 0
     assert topk.top_k(docs.sparkSession.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def shuffled_bytes(spark) -> int:
+    """Bytes that all stages so far have shuffled."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    lists, none = spark._jvm.java.util.ArrayList, spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+    stages, total = spark.sparkContext._jsc.sc().statusStore().stageList(lists(), False, False, none, lists()).iterator(), 0
+    while stages.hasNext():
+        total += stages.next().shuffleWriteBytes()
+    return total
+
+
+def test_texts_outside_families_are_not_shuffled(spark, made, tmp_path):
+    texts = [made.prose(300) for _ in range(400)]
+    path = str(tmp_path / "texts.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4).write.parquet(path)
+    docs = spark.read.parquet(path)
+    named = minhash.named(docs, "doc_id", "text")
+    reps = spark.createDataFrame([(k, r.key) for k, r in enumerate(named.where("id % 40 = 0").select("key").collect())], "class long, key long")
+    told = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where the keys are many
+    try:
+        before = shuffled_bytes(spark)
+        got = minhash.class_texts(docs, reps, "doc_id", "text").collect()
+        moved = shuffled_bytes(spark) - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", told)
+    assert sorted(r.t for r in got) == sorted(texts[::40])
+    assert moved < sum(map(len, texts)) / 5
+
+
+def test_likely_has_all_that_is_wanted(spark, monkeypatch):
+    rows = spark.range(20_000).select(F.xxhash64("id").alias("key"), "id").unionByName(spark.sql("SELECT CAST(NULL AS long) key, -1L id"))
+    wanted = rows.where("id % 10 = 0").select("key")
+    for most in (27, 15):
+        monkeypatch.setattr(common, "MARK_BITS", most)
+        got = {r.id for r in common.likely(rows, wanted, "key").collect()}
+        assert {k for k in range(0, 20_000, 10)} <= got and len(got) < (2_500 if most == 27 else 6_000) and -1 not in got
+    assert common.likely(rows, wanted.limit(0), "key").count() == 0

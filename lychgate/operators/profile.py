@@ -46,7 +46,10 @@ def long_form(df: DataFrame, table: str, order: list[Column] | None = None, samp
 
 def normalised(value: Column) -> Column:
     """Stripped of Unicode space; null if nothing is left."""
-    stripped = F.regexp_replace(value, r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+    visible = lambda c: F.ascii(c).between(0x21, 0x7E)
+    # values that begin and end with visible ASCII characters have nothing to strip
+    bare = visible(value) & visible(F.right(value, F.lit(1)))
+    stripped = F.when(bare, value).otherwise(F.regexp_replace(value, r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", ""))
     return F.when(stripped != "", stripped)
 
 
@@ -58,46 +61,58 @@ def matches(value: Column, r: Recognizer) -> Column:
 #: Recognizers whose hits share a long, beside three bits of types.
 BITS = 56
 LOW = 0xFFFFFFFF
+#: Values of up to so many characters are shuffled as they are and tested once each; longer ones are tested where they are read and shuffled
+#: as digests, so no long text is.
+SHORT = 64
 
 
-def tested(long: DataFrame, chosen: list[Recognizer]) -> DataFrame:
-    """Sums over all values of each column: a value is tested once, where it is read, and equal values with what is known of them are counted
-    as one row of a few numbers before and after the shuffle."""
+def measured(df: DataFrame) -> DataFrame:
+    """With the numbers of characters, letters and digits of v."""
     v = F.col("v")
-    known = v.isNotNull()
-    bit = lambda test, k: F.when(test, F.lit(1 << k)).otherwise(F.lit(0)).cast("long")
-    guard = "(?U)" + "|".join(dict.fromkeys(f"(?:{r.guard})" for r in chosen))
+    return df.withColumns({"chars": F.length(v).cast("long"), "letters": letters_of(v).cast("long"), "digits": digits_of(v).cast("long")})
+
+
+def facts_of(chosen: list[Recognizer]) -> list[Column]:
+    """What the sums need of a measured v, as a few numbers; a test is made only where the numbers of characters allow it."""
+    v, chars, letters, digits = (F.col(c) for c in ("v", "chars", "letters", "digits"))
+    others = chars - letters - digits
+    is_boolean, is_date, is_number = types_of(v)
+    types = [(chars <= max(map(len, BOOLEAN_WORDS))) & is_boolean, (letters == 0) & (others == 2) & is_date, (letters == 0) & (digits > 0) & is_number]
+    bits = lambda tests: sum((F.when(test, F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, test in enumerate(tests)), F.lit(0).cast("long"))
     held = [chosen[k : k + BITS] for k in range(0, len(chosen), BITS)]
-    masks = [F.when(v.rlike(guard), sum((bit(matches(v, r), k) for k, r in enumerate(part)), F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long")).alias(f"mask{n}") for n, part in enumerate(held)]
-    pair = lambda high, low: F.shiftleft(high.cast("long"), 32) + low.cast("long")
-    facts = [
-        F.when(known, F.xxhash64("v")).alias("one"),
-        F.when(known, pair(F.hash("v"), F.length("v"))).alias("two"),
-        F.when(known, pair(letters_of(v), digits_of(v))).alias("signs"),
-        sum((bit(test, k) for k, test in enumerate(types_of(v))), F.lit(0).cast("long")).alias("types"),
-        *masks,
-    ]
-    names = ["one", "two", "signs", "types", *[f"mask{n}" for n in range(len(held))]]
-    kinds = long.select("table", "column", normalised(F.col("value")).alias("v")).select("table", "column", *facts).groupBy("table", "column", *names).agg(F.count("*").alias("n"))
-    some = F.col("one").isNotNull()
+    masks = [bits([r.fits(letters, digits, others) & matches(v, r) for r in part]).alias(f"mask{n}") for n, part in enumerate(held)]
+    return [chars, (F.shiftleft(letters, 32) + digits).alias("signs"), bits(types).alias("types"), *masks]
+
+
+def tested(long: DataFrame, chosen: list[Recognizer]) -> DataFrame:
+    """Sums over all values of each column: equal values are counted first, before and after the shuffle, then tested once."""
+    v = F.col("v")
+    facts, names = facts_of(chosen), ["chars", "signs", "types", *[f"mask{n}" for n in range(-(-len(chosen) // BITS))]]
+    read = long.select("table", "column", normalised(F.col("value")).alias("v"))
+    read = measured(read.select("table", "column", F.when(F.length(v) <= SHORT, v).alias("short"), F.when(F.length(v) > SHORT, v).alias("v")))
+    digest = F.when(v.isNotNull(), F.struct(F.xxhash64("v").alias("one"), F.hash("v").alias("two"), *facts)).alias("digest")
+    kinds = read.select("table", "column", "short", digest).groupBy("table", "column", "short", "digest").agg(F.count("*").alias("n"))
+    kinds = measured(kinds.withColumnRenamed("short", "v")).withColumn("some", v.isNotNull() | F.col("digest").isNotNull())
+    known = [F.when(v.isNotNull(), fact).otherwise(F.col(f"digest.{name}")).alias(name) for name, fact in zip(names, facts, strict=True)]
+    kinds, some = kinds.select("table", "column", "n", "some", *known), F.col("some")
     low, high = (lambda c: F.col(c).bitwiseAND(F.lit(LOW))), (lambda c: F.shiftright(F.col(c), 32))
     has = lambda c, k: F.col(c).bitwiseAND(F.lit(1 << k)) != 0
     total = lambda c: F.coalesce(F.sum(F.when(some, F.col("n") * c)), F.lit(0))
     every = lambda k: F.coalesce(F.every(F.when(some, has("types", k))), F.lit(False))
     counted = lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0))
     return kinds.groupBy("table", "column").agg(
-        F.sum("n").alias("total_count"), counted(~some).alias("null_count"), F.count("one").alias("distinct_count"), total(low("two")).alias("chars"), counted(some).alias("sample_size"),
-        total(low("two")).alias("sample_chars"), total(high("signs")).alias("letters"), total(low("signs")).alias("digits"), every(0).alias("b"), every(1).alias("d"), every(2).alias("m"),
+        F.sum("n").alias("total_count"), counted(~some).alias("null_count"), F.count_if(some).alias("distinct_count"), total(F.col("chars")).alias("chars"), counted(some).alias("sample_size"),
+        total(F.col("chars")).alias("sample_chars"), total(high("signs")).alias("letters"), total(low("signs")).alias("digits"), every(0).alias("b"), every(1).alias("d"), every(2).alias("m"),
         *[counted(has(f"mask{k // BITS}", k % BITS)).alias(f"hit_{k}") for k in range(len(chosen))],
     )
 
 
 def letters_of(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
+    return F.length(F.regexp_replace(text, r"[^\p{L}]+", ""))
 
 
 def digits_of(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, r"[^\p{Nd}\x{b2}\x{b3}\x{b9}]", ""))
+    return F.length(F.regexp_replace(text, r"[^\p{Nd}\x{b2}\x{b3}\x{b9}]+", ""))
 
 
 def types_of(value: Column) -> tuple[Column, Column, Column]:

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 from ..functions import validators as V
 
@@ -35,6 +36,15 @@ class Recognizer:
 
     #: Characters one of which every match begins with, if told: other places are passed over before boundaries are looked at.
     first: str = ""
+    #: The least and the most letters, digits and other characters of a match (most may be None), if told: other values are not tested.
+    makeup: tuple[tuple[int, int | None], ...] = ()
+
+    def fits(self, letters: Column, digits: Column, others: Column) -> Column:
+        """Whether a whole value of so many letters, digits and other characters can be a match."""
+        fit = F.lit(True)
+        for number, (least, most) in zip((letters, digits, others), self.makeup, strict=False):
+            fit = fit & (number >= least if most is None else number == least if least == most else number.between(least, most))
+        return fit
 
     @property
     def regex(self) -> str:
@@ -62,7 +72,26 @@ _SHAPES: tuple[Recognizer, ...] = (
     Recognizer("date_of_birth", "DATE_OF_BIRTH", rf"(?i){EDGE}(?:\d{{1,2}}[/-]\d{{1,2}}[/-]\d{{2,4}}|\d{{4}}-\d{{2}}-\d{{2}}|\d{{1,2}} (?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]* \d{{4}}){EDGE}", 0.75, 0.95, ("born", "birth", "dob", "d.o.b", "birthday", "生年月日", "誕生日", "出生"), V.date_of_birth, True),
 )
 _FIRST = {"email": "[A-Za-z0-9._%+-]", "iban": "[A-Z]", "sg_nric": "[STFGMstfgm]", "hk_hkid": "[A-Z]", "au_medicare": "[2-6]", "phone_intl": r"\+", "phone_local": r"[\d(]", "passport": "[A-Z]"}
-RECOGNIZERS: tuple[Recognizer, ...] = tuple(replace(r, breaks=True, first=_FIRST.get(r.name, r"\d")) for r in _SHAPES)
+# Letters, digits and others that the patterns above ask for.
+_MAKEUP = {
+    "email": ((2, None), (0, None), (2, None)),
+    "credit_card": ((0, 0), (13, 19), (0, 18)),
+    "iban": ((2, 33), (2, 33), (0, 8)),
+    "sg_nric": ((2, 2), (7, 7), (0, 0)),
+    "hk_hkid": ((1, 3), (6, 7), (0, 2)),
+    "jp_my_number": ((0, 0), (12, 12), (0, 2)),
+    "au_tfn": ((0, 0), (9, 9), (0, 2)),
+    "au_abn": ((0, 0), (11, 11), (0, 3)),
+    "au_medicare": ((0, 0), (10, 11), (0, 5)),
+    "us_ssn": ((0, 0), (9, 9), (2, 2)),
+    "ip_address": ((0, 0), (4, 12), (3, 3)),
+    "phone_intl": ((0, 0), (2, 19), (1, 5)),
+    "phone_local": ((0, 0), (5, 16), (1, 5)),
+    "passport": ((1, 2), (6, 8), (0, 0)),
+    "date_of_birth": ((0, None), (4, 8), (2, 2)),
+}
+RECOGNIZERS: tuple[Recognizer, ...] = tuple(replace(r, breaks=True, first=_FIRST.get(r.name, r"\d"), makeup=_MAKEUP[r.name]) for r in _SHAPES)
+
 
 
 def select(jurisdictions: Iterable[str] = JURISDICTIONS) -> tuple[Recognizer, ...]:

@@ -6,7 +6,7 @@ one longer word of a pair, with its own substrings at those places. The edit lie
 the same way, one half is whole too; it is part of the key, so that a common beginning or ending is no hot key. Candidates
 are verified, and then deduplicated, for a pair may share several keys.
 
-Only built-in functions: counts are summed before they are shuffled, keys are 64-bit hashes, and an edit is told by a
+No join broadcasts a side: files of words are small beside the rows that they hold. Only built-in functions: counts are summed before they are shuffled, keys are 64-bit hashes, and an edit is told by a
 banded distance in the join itself.
 """
 
@@ -61,7 +61,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
     index = words.select(F.explode(F.array(*keys(word, length, 0))).alias("key"), F.col("word").alias("a"), F.col("n").alias("a_n"))
     probes = F.array(*keys(word, length, 0), *keys(word, length - 1, 1))
     probe = words.select(F.explode(probes).alias("key"), F.col("word").alias("b"), F.col("n").alias("b_n"))
-    met = index.join(probe, "key").where((F.length("a") < F.length("b")) | (F.col("a") < F.col("b")) & (F.length("a") == F.length("b")))
+    # entries are many times the words, which Spark's estimate doesn't see: it would broadcast them
+    met = index.join(probe.hint("merge"), "key").where((F.length("a") < F.length("b")) | (F.col("a") < F.col("b")) & (F.length("a") == F.length("b")))
     return met.where(F.levenshtein("a", "b", 1) == 1).groupBy("a", "b").agg(F.first("a_n").alias("a_n"), F.first("b_n").alias("b_n"))
 
 
@@ -70,7 +71,7 @@ def forms(words: DataFrame, pairs: DataFrame) -> DataFrame:
     sides = F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("near"), F.col("b_n").alias("near_n")), F.struct(F.col("b").alias("word"), F.col("a").alias("near"), F.col("a_n").alias("near_n")))
     each = pairs.select(F.inline(sides))
     best = each.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), F.col("near"))).alias("best"))
-    out = words.join(best, "word", "left")
+    out = words.join(best.hint("merge"), "word", "left")
     most = -F.col("best.less")
     kept = most >= 2 * F.col("n")
     return out.select("word", F.when(kept, F.col("best.near")).alias("form"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(kept, most).alias("form_n"))
@@ -80,13 +81,13 @@ def with_roots(found: DataFrame) -> DataFrame:
     """Adds root: where following forms from a word ends. Every round takes twice the steps of the one before."""
     roots = materialise(found.where("form IS NOT NULL").select("word", F.col("form").alias("root")), "roots")
     for _ in range(MOST_ROUNDS):
-        step = roots.select(F.col("word").alias("root"), F.col("root").alias("further"))
+        step = roots.select(F.col("word").alias("root"), F.col("root").alias("further")).hint("merge")
         if roots.join(step, "root", "left_semi").isEmpty():
             break
         roots = materialise(roots.join(step, "root", "left").select("word", F.coalesce("further", "root").alias("root")), "roots")
     else:
         raise RuntimeError(f"roots did not settle in {MOST_ROUNDS} rounds")
-    return found.join(roots, "word", "left").withColumn("root", F.coalesce("root", "word"))
+    return found.join(roots.hint("merge"), "word", "left").withColumn("root", F.coalesce("root", "word"))
 
 
 def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edit_every: int | None = EDIT_EVERY, least_chars: int = LEAST_CHARS, least_times: int = LEAST_TIMES) -> DataFrame:

@@ -153,6 +153,20 @@ def test_no_key_of_the_join_is_hot(spark):
     assert {(r.a, r.b) for r in pairs} == {(a, b) for a in words for b in words if a < b and near(a, b)} and len(pairs) == len({(r.a, r.b) for r in pairs})
 
 
+def test_no_side_of_a_join_is_broadcast(spark, tmp_path):
+    """Files of words are small enough for a broadcast, their entries are not."""
+    words = spark.range(1000).select(F.concat(F.lit("word"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("word"), (F.col("id") + 1).alias("n"))
+    words.write.parquet(f"{tmp_path}/words")
+    words = spark.read.parquet(f"{tmp_path}/words")
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) >= 10 << 20
+    pairs = variants.near_pairs(words)
+    found = variants.materialise(variants.forms(words, pairs), "found")
+    for df in (pairs, variants.forms(words, pairs), variants.with_roots(found)):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def expected_alignment(rows: list) -> Counter:
     from sentencepiece import SentencePieceProcessor
     from tokenizers import Tokenizer
